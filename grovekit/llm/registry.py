@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.llm import langid, mixing, sharding, urlfilter
+from grovekit.llm import jaccard_join, langid, mixing, sharding, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_table(spark, sf_dir, "documents"), words=4, percent=85).drop("class_size")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages"), urlfilter.RULES).drop("url")
 
@@ -38,9 +42,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_url_filter": op8_url_filter,
 }
 ORACLE: dict[str, str] = {
     "op3_mixing": mixing.SQL,
+    "op6_jaccard_join": jaccard_join.SQL,
     "op8_url_filter": urlfilter.SQL,
 }
