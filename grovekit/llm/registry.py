@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.llm import jaccard_join, langid, mixing, sharding, urlfilter
+from grovekit.llm import jaccard_join, langid, minhash, mixing, sharding, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edited(_table(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_table(spark, sf_dir, "documents"), words=4, percent=85).drop("class_size")
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
+    "op5_fingerprint": op5_fingerprint,
     "op6_jaccard_join": op6_jaccard_join,
     "op8_url_filter": op8_url_filter,
 }
