@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.llm import jaccard_join, langid, minhash, mixing, sharding, urlfilter
+from grovekit.llm import jaccard_join, kneserney, langid, minhash, mixing, sharding, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,13 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages"), urlfilter.RULES).drop("url")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    remainder = langid.fold(F.col("doc_id"), 5)
+    model = kneserney.train(docs.where(remainder != 1))
+    return kneserney.score(docs.select("doc_id", (remainder == 1).alias("held_out"), "text"), model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_mixing": op3_mixing,
@@ -49,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fingerprint": op5_fingerprint,
     "op6_jaccard_join": op6_jaccard_join,
     "op8_url_filter": op8_url_filter,
+    "op9_lm_score": op9_lm_score,
 }
 ORACLE: dict[str, str] = {
     "op3_mixing": mixing.SQL,
