@@ -40,6 +40,7 @@ class CountTree:
         n = int(point.sum())
         alive = np.array([0]) if self.levels else np.arange(len(self.points))
         for top, low, high in reversed(self.levels):
+            alive = alive[alive < len(top)]
             # shared >= num * (n + m) / (num + den), least for the smallest size m of the node
             bound = np.minimum(top[alive], point).sum(1)
             need = num * (n + low[alive])
