@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.llm import jaccard_join, kneserney, langid, minhash, mixing, sharding, urlfilter
+from grovekit.llm import decontaminate, jaccard_join, kneserney, langid, minhash, mixing, sharding, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneserney.score(docs.select("doc_id", (remainder == 1).alias("held_out"), "text"), model)
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_mixing": op3_mixing,
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jaccard_join": op6_jaccard_join,
     "op8_url_filter": op8_url_filter,
     "op9_lm_score": op9_lm_score,
+    "op10_decontaminate": op10_decontaminate,
 }
 ORACLE: dict[str, str] = {
     "op3_mixing": mixing.SQL,
