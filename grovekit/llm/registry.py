@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.llm import decontaminate, jaccard_join, kneserney, langid, minhash, mixing, sharding, urlfilter
+from grovekit.llm import decontaminate, html_extract, jaccard_join, kneserney, langid, line_dedup, minhash, mixing, sharding, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     remainder = langid.fold(F.col("doc_id"), 3)
@@ -38,6 +42,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_table(spark, sf_dir, "documents"), words=4, percent=85).drop("class_size")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedupe(_table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages"), urlfilter.RULES).drop("url")
 
@@ -54,11 +62,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extract": op1_html_extract,
     "op2_language_id": op2_language_id,
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
     "op5_fingerprint": op5_fingerprint,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_line_dedup": op7_line_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_lm_score": op9_lm_score,
     "op10_decontaminate": op10_decontaminate,
