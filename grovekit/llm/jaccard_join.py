@@ -186,17 +186,19 @@ def _crossing(led: DataFrame, comps: DataFrame, texts: DataFrame, words: int, pe
     """(a, b): pairs of blocks' members in different components that the R-tree can't rule out."""
     of = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
     own = lambda c: F.coalesce(f"c_{c}", c)
-    rows = led.join(of("node"), "node", "left").join(of("leader"), "leader", "left").select("sig", "leader", "node", own("leader").alias("cl"), own("node").alias("cn"))
-    split = rows.where("cl <> cn").select("sig").distinct()
-    kept = rows.join(split, "sig")
-    members = kept.select("sig", "node", F.col("cn").alias("comp")).unionByName(kept.select("sig", F.col("leader").alias("node"), F.col("cl").alias("comp"))).distinct()
+    # the leader has been verified against every member, so a block matters if it has two more of different components;
+    # blocks with the same members are searched once
+    labelled = led.join(of("node"), "node", "left").select("sig", "leader", "node", own("node").alias("comp"))
+    sets = labelled.groupBy("sig", "leader").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("h"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    chosen = sets.where("n > 1 and low <> high").groupBy("leader", "n", "h").agg(F.min("sig").alias("sig")).select("sig")
+    members = labelled.join(chosen, "sig").select("sig", "node", "comp")
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [count_vector(shingle_set(h, words)) for h in word_hashes(batch["t"])]
+            made = [count_vector(shingle_set(h, words)).tobytes() for h in word_hashes(batch["t"])]
             yield pd.DataFrame({"node": batch["node"], "point": made})
 
-    points = texts.mapInPandas(vectors, "node long, point array<int>")
+    points = texts.mapInPandas(vectors, "node long, point binary")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block: list[pd.DataFrame] = []
@@ -204,7 +206,7 @@ def _crossing(led: DataFrame, comps: DataFrame, texts: DataFrame, words: int, pe
         def pairs() -> Iterator[pd.DataFrame]:
             rows = pd.concat(block)
             node, comp = rows["node"].to_numpy(), rows["comp"].to_numpy()
-            point = np.stack(rows["point"].to_list())
+            point = np.frombuffer(b"".join(rows["point"]), np.int32).reshape(len(rows), -1)
             tree = CountTree(point)
             for i in range(len(node)):
                 near = tree.search(point[i], percent, 100)
@@ -223,7 +225,7 @@ def _crossing(led: DataFrame, comps: DataFrame, texts: DataFrame, words: int, pe
             yield from pairs()
 
     parts = int(led.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = members.join(points, "node").repartition(parts, "sig").sortWithinPartitions("sig", "node")
+    dealt = members.join(points, "node").select("sig", "node", "comp", "point").repartition(parts, "sig").sortWithinPartitions("sig", "node")
     return dealt.mapInPandas(search, "a long, b long").distinct()
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 GROUPS = 128
-FANOUT = 16
+FANOUT = 64
 
 
 def count_vector(tokens: np.ndarray) -> np.ndarray:
@@ -25,6 +25,8 @@ class CountTree:
 
     def __init__(self, points: np.ndarray):
         self.sizes = points.sum(1)
+        if points.max(initial=0) < 1 << 15:
+            points = points.astype(np.int16)
         spread = np.argsort(-points.var(0), kind="stable")[:3] if len(points) else []
         self.order = np.lexsort([*(points[:, g] for g in spread), self.sizes // 8])
         self.points = points[self.order]
@@ -37,16 +39,16 @@ class CountTree:
 
     def search(self, point: np.ndarray, num: int, den: int) -> np.ndarray:
         """Indices of the points that may reach ``den * shared >= num * union`` with ``point``."""
-        n = int(point.sum())
+        n, point = int(point.sum()), point.astype(self.points.dtype)
         alive = np.array([0]) if self.levels else np.arange(len(self.points))
         for top, low, high in reversed(self.levels):
             alive = alive[alive < len(top)]
             # shared >= num * (n + m) / (num + den), least for the smallest size m of the node
-            bound = np.minimum(top[alive], point).sum(1)
+            bound = np.minimum(top[alive], point).sum(1, dtype=np.int64)
             need = num * (n + low[alive])
             fits = ((num + den) * bound >= need) & (den * high[alive] >= num * n) & (num * low[alive] <= den * n)
             alive = (alive[fits][:, None] * FANOUT + np.arange(FANOUT)).ravel()
         alive = alive[alive < len(self.points)]
         size = self.sizes[self.order[alive]]
-        bound = np.minimum(self.points[alive], point).sum(1)
+        bound = np.minimum(self.points[alive], point).sum(1, dtype=np.int64)
         return self.order[alive[(num + den) * bound >= num * (n + size)]]
