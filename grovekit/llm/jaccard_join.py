@@ -208,11 +208,11 @@ def _crossing(led: DataFrame, comps: DataFrame, texts: DataFrame, words: int, pe
             node, comp = rows["node"].to_numpy(), rows["comp"].to_numpy()
             point = np.frombuffer(b"".join(rows["point"]), np.int32).reshape(len(rows), -1)
             tree = CountTree(point)
-            for i in range(len(node)):
-                near = tree.search(point[i], percent, 100)
-                near = near[(node[near] > node[i]) & (comp[near] != comp[i])]
-                if len(near):
-                    yield pd.DataFrame({"a": np.full(len(near), node[i]), "b": node[near]})
+            for i, j in tree.self_join(percent, 100):
+                apart = comp[i] != comp[j]
+                if apart.any():
+                    a, b = node[i[apart]], node[j[apart]]
+                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
         for batch in batches:
             cuts = np.flatnonzero(batch["sig"].to_numpy()[1:] != batch["sig"].to_numpy()[:-1]) + 1

@@ -52,3 +52,36 @@ class CountTree:
         size = self.sizes[self.order[alive]]
         bound = np.minimum(self.points[alive], point).sum(1, dtype=np.int64)
         return self.order[alive[(num + den) * bound >= num * (n + size)]]
+
+    def self_join(self, num: int, den: int):
+        """Yields (i, j) index arrays of the pairs of points that may reach ``den * shared >= num * union``, each pair once.
+
+        Both sides descend together: pairs of nodes whose bound falls short are
+        dropped with all their points, and points are compared leaf by leaf.
+        """
+        sizes = self.sizes[self.order]
+        left = right = np.zeros(1, np.int64)  # the root with itself
+        for top, low, high in reversed(self.levels):
+            inside = (left < len(top)) & (right < len(top))
+            left, right = left[inside], right[inside]
+            keep = np.zeros(len(left), bool)
+            for at in range(0, len(left), 4096):
+                a, b = left[at : at + 4096], right[at : at + 4096]
+                bound = np.minimum(top[a], top[b]).sum(1, dtype=np.int64)
+                near = (den * high[a] >= num * low[b]) & (den * high[b] >= num * low[a])
+                keep[at : at + 4096] = near & ((num + den) * bound >= num * (low[a] + low[b]))
+            left, right = left[keep], right[keep]
+            if top is self.levels[0][0]:
+                break
+            step = np.arange(FANOUT)
+            a, b = (left[:, None, None] * FANOUT + step[:, None] + 0 * step).ravel(), (right[:, None, None] * FANOUT + step + 0 * step[:, None]).ravel()
+            left, right = a[a <= b], b[a <= b]
+        for a, b in zip(left.tolist(), right.tolist(), strict=True):
+            x, y = slice(a * FANOUT, (a + 1) * FANOUT), slice(b * FANOUT, (b + 1) * FANOUT)
+            shared = np.minimum(self.points[x][:, None], self.points[y][None]).sum(2, dtype=np.int32)
+            fits = (num + den) * shared >= num * (sizes[x][:, None] + sizes[y][None])
+            if a == b:
+                fits &= np.tri(*fits.shape, -1, dtype=bool).T
+            i, j = np.nonzero(fits)
+            if len(i):
+                yield self.order[i + a * FANOUT], self.order[j + b * FANOUT]
