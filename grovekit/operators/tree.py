@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grovekit.functions import vectors as V
+from grovekit.plans.session import checkpointed
 
 NODES = T.StructType([T.StructField("node", T.LongType()), T.StructField("parent", T.LongType()), T.StructField("label", T.StringType())])
 
@@ -22,14 +23,15 @@ def closure(nodes: DataFrame, strict: bool = False) -> DataFrame:
     known = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("dist"))
     step = 1
     while True:
-        jump = jump.checkpoint() if step % 16 == 0 else jump  # cuts a long lineage; needs the session's checkpoint folder
+        # each round is materialised once: the next reads it twice, and the plan stays as deep as one round
+        jump = checkpointed(jump)
+        if jump.isEmpty():
+            break
         far = known.select(F.col("node").alias("mid"), F.col("ancestor").alias("top"), "dist")
-        known = known.unionByName(jump.join(far, jump["ancestor"] == far["mid"]).select("node", F.col("top").alias("ancestor"), (F.col("dist") + step).alias("dist")))
+        known = checkpointed(known.unionByName(jump.join(far, jump["ancestor"] == far["mid"]).select("node", F.col("top").alias("ancestor"), (F.col("dist") + step).alias("dist"))))
         again = jump.select(F.col("node").alias("mid"), F.col("ancestor").alias("top"))
         jump = jump.join(again, jump["ancestor"] == again["mid"]).select("node", F.col("top").alias("ancestor"))
         step *= 2
-        if jump.isEmpty():
-            break
     return known.where("dist > 0") if strict else known
 
 

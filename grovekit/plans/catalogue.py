@@ -49,7 +49,7 @@ def _r(c: Column | str, n: int = 6) -> Column:
 
 _E = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings)"
 _COS = "list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v)))"
-_SQ = "list_sum(list_transform(list_zip(a.v, b.v), x -> (x[1] - x[2]) * (x[1] - x[2])))"
+_SQ = "list_sum(list_transform(list_zip(a.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
 
 
 # nearest neighbours
@@ -141,7 +141,7 @@ def graph_improved(spark, d):
 
 @query(f"""WITH {_E} SELECT a.id AS a, b.id AS b, round({_COS}, 6) + 0.0 AS cosine, round(list_inner_product(a.v, b.v), 6) + 0.0 AS dot,
 round(1 / (1 + sqrt({_SQ})), 6) AS l2, round(1 / (1 + {_SQ}), 6) AS sql2, round(-({_SQ}), 6) AS negative_sql2,
-round(list_sum(list_transform(list_zip(a.v, b.v), x -> abs(x[1] - x[2]))), 6) AS l1 FROM e a JOIN e b ON b.id = a.id + 1""")
+round(list_sum(list_transform(list_zip(a.v, b.v), lambda x: abs(x[1] - x[2]))), 6) AS l1 FROM e a JOIN e b ON b.id = a.id + 1""")
 def pair_similarities(spark, d):
     p = _points(spark, d).select("id", V.wide("vec").alias("v"))
     x, y = p.select(F.col("id").alias("a"), F.col("v").alias("x")), p.select((F.col("id") - 1).alias("a"), F.col("id").alias("b"), F.col("v").alias("y"))
@@ -163,10 +163,10 @@ def _label_stats(spark: SparkSession, d: str) -> DataFrame:
     return tree.stats(anc, p.select(F.col("id").alias("node"), "vec"))
 
 
-@query(f"""WITH {_SUMS}, m AS (SELECT *, list_transform(v, x -> x / n) AS c FROM s)
+@query(f"""WITH {_SUMS}, m AS (SELECT *, list_transform(v, lambda x: x / n) AS c FROM s)
 SELECT label::BIGINT AS label, n, round(sqrt(list_inner_product(v, v)), 4) AS sum_norm, round(sq, 4) AS sumsq,
 round(c[1] / sqrt(list_inner_product(c, c)), 5) + 0.0 AS l2_first, round(c[1], 6) + 0.0 AS none_first,
-round(c[1] / list_max(list_transform(c, x -> abs(x))), 5) + 0.0 AS l_inf_first, len(list_filter(c, x -> x > 0))::DOUBLE AS binary_sum FROM m""")
+round(c[1] / list_max(list_transform(c, lambda x: abs(x))), 5) + 0.0 AS l_inf_first, len(list_filter(c, lambda x: x > 0))::DOUBLE AS binary_sum FROM m""")
 def cluster_stats(spark, d):
     s, n = F.col("sum"), F.col("n")
     first = lambda kind: V.centroid(s, n, kind)[0]
@@ -199,7 +199,7 @@ def linkage_cosine_by_label(spark, d):
 _HEAP = """k AS (SELECT count(*) AS n FROM embeddings),
 nodes AS (SELECT i AS node, CASE WHEN i > 1 THEN i // 2 END AS parent, NULL::INTEGER AS label FROM k, range(1, (SELECT n FROM k)) t(i)
   UNION ALL SELECT vec_id + n, CASE WHEN vec_id + n > 1 THEN (vec_id + n) // 2 END, label FROM embeddings, k)"""
-_GEO = """nodes AS (SELECT 0::BIGINT AS node, NULL::BIGINT AS parent, NULL AS label UNION ALL SELECT 1 + r_regionkey, 0, NULL FROM region
+_GEO = """nodes AS (SELECT 0::BIGINT AS node, NULL::BIGINT AS parent, NULL::VARCHAR AS label UNION ALL SELECT 1 + r_regionkey, 0, NULL FROM region
   UNION ALL SELECT 1000 + n_nationkey, 1 + n_regionkey, NULL FROM nation UNION ALL SELECT 1000000 + c_custkey, 1000 + c_nationkey, c_mktsegment FROM customer)"""
 _ANC = "anc AS (SELECT node, node AS ancestor, 0 AS dist, parent AS up FROM nodes UNION ALL SELECT a.node, n.node, a.dist + 1, n.parent FROM anc a JOIN nodes n ON a.up = n.node)"
 _LEAF = "leaf AS (SELECT * FROM nodes WHERE node NOT IN (SELECT parent FROM nodes WHERE parent IS NOT NULL))"
@@ -360,7 +360,7 @@ _HEAP_STATS = f"""{_HEAP}, {_ANC}, {_LEAF}, pt AS (SELECT vec_id + n AS node, em
 cell AS (SELECT ancestor AS node, pos, sum(x) AS x FROM (SELECT node, generate_subscripts(v, 1) AS pos, unnest(v) AS x FROM pt) JOIN anc USING (node) GROUP BY ALL),
 sz AS (SELECT ancestor AS node, count(*) AS n, sum(list_inner_product(v, v)) AS sq FROM pt JOIN anc USING (node) GROUP BY ALL),
 st AS (SELECT node, any_value(sz.n) AS n, any_value(sq) AS sq, list(x ORDER BY pos) AS v FROM cell JOIN sz USING (node) GROUP BY node)"""
-_AVG = "-(a.sq / a.n + b.sq / b.n - 2 * list_inner_product(list_transform(a.v, x -> x / a.n), list_transform(b.v, x -> x / b.n)))"
+_AVG = "-(a.sq / a.n + b.sq / b.n - 2 * list_inner_product(list_transform(a.v, lambda x: x / a.n), list_transform(b.v, lambda x: x / b.n)))"
 _SCORE_AVG = f"sc AS (SELECT a.node // 2 AS node, {_AVG} AS score FROM st a JOIN st b ON b.node = a.node + 1 AND a.node % 2 = 0)"
 _SCORE_COS = f"sc AS (SELECT a.node // 2 AS node, {_COS} AS score FROM st a JOIN st b ON b.node = a.node + 1 AND a.node % 2 = 0)"
 
@@ -518,8 +518,8 @@ def macro_pairwise_f1(spark, d):
 _CELLS = f"{_T}, n AS (SELECT predicted, gold, count(*) AS n FROM t GROUP BY ALL), r AS (SELECT predicted, sum(n) AS n FROM n GROUP BY ALL), c AS (SELECT gold, sum(n) AS n FROM n GROUP BY ALL), z AS (SELECT sum(n) AS n FROM n)"
 
 
-@query(f"""WITH {_CELLS}, s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM n) AS both, (SELECT sum(n * (n - 1) / 2) FROM r) AS pred, (SELECT sum(n * (n - 1) / 2) FROM c) AS gold, (SELECT n * (n - 1) / 2 FROM z) AS every)
-SELECT round((both - pred * gold / every) / ((pred + gold) / 2 - pred * gold / every), 9) AS ari FROM s""")
+@query(f"""WITH {_CELLS}, s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM n) AS shared, (SELECT sum(n * (n - 1) / 2) FROM r) AS pred, (SELECT sum(n * (n - 1) / 2) FROM c) AS gold, (SELECT n * (n - 1) / 2 FROM z) AS every)
+SELECT round((shared - pred * gold / every) / ((pred + gold) / 2 - pred * gold / every), 9) AS ari FROM s""")
 def adjusted_rand(spark, d):
     return evaluate.adjusted_rand(_clusterings(spark, d)).select(_r("ari", 9).alias("ari"))
 
@@ -575,7 +575,7 @@ _STOP = ", ".join(f"'{w}'" for w in FE.STOP_WORDS)
 
 
 @query(f"""WITH w AS (SELECT doc_id, string_split_regex(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[/.\\-'']', ' \\0 ', 'g'), '[^\\p{{L}}\\p{{N}}\\s]+', ' ', 'g'), '\\s+') AS w FROM documents),
-k AS (SELECT doc_id, list_filter(w, x -> x <> '' AND x NOT IN ({_STOP})) AS w FROM w)
+k AS (SELECT doc_id, list_filter(w, lambda x: x <> '' AND x NOT IN ({_STOP})) AS w FROM w)
 SELECT doc_id, len(w)::INTEGER AS n_words, len(list_distinct(w))::INTEGER AS n_distinct, coalesce(w[1], '') AS first_word, coalesce(w[-1], '') AS last_word FROM k""")
 def text_words(spark, d):
     docs = _read(spark, d, "documents").select("doc_id", FE.words(F.col("text")).alias("w"))
