@@ -10,8 +10,8 @@ when ``100 * |intersection| >= percent * |union|``.  The join is exact.
    groups, so linked sets agree in all of at least one group: each group's
    content is a signature, and linked sets share one.  (The number of groups
    follows the size tier; a set is also hashed as the next tier is if a partner
-   may lie there.  A set with so many empty groups that the argument fails
-   gives its ``d + 1`` least shingles instead: two such sets share one of them.)
+   may lie there.  A set with so many empty groups that the agreeing one might
+   be empty gives its ``d + 1`` least shingles too: two such sets share one.)
    A passage that many documents share doesn't fill a group, so it makes no
    block; each block is led by its least class.
 3. *Leaders.*  Each class is verified against the leaders of its blocks.
@@ -80,9 +80,8 @@ def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
         content = np.zeros(groups, np.uint64)
         np.add.at(content, at, mix(scrambled))
         filled = np.flatnonzero(np.bincount(at, minlength=groups))
-        if groups - len(filled) < groups - d:
-            out.append(mix(content[filled] ^ mix(seed + filled.astype(np.uint64))))
-        else:
+        out.append(mix(content[filled] ^ mix(seed + filled.astype(np.uint64))))
+        if len(filled) <= d:
             out.append(mix(tokens[: d + 1] * np.uint64(0xD1342543DE82EF95) ^ seed))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 

@@ -147,7 +147,7 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words:
 
     gone = joined.mapInPandas(align, "r long, gone array<int>")
     gone = gone.select("r", F.explode("gone").alias("g")).groupBy("r").agg(F.sort_array(F.collect_set("g")).alias("__gone"))  # a document's own lines
-    cleaned = keyed.join(gone, keyed["__row"] == gone["r"], "left")
+    cleaned = keyed.join(gone.withColumnRenamed("r", "__r"), F.col("__row") == F.col("__r"), "left")
     removed = F.coalesce("__gone", F.array().cast("array<int>"))
     parts = F.split(F.col(text), "\n")
     kept = F.array_join(F.transform(F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda z: ~F.array_contains(F.col("__gone"), z["i"])), lambda z: z["x"]), "\n")

@@ -127,8 +127,8 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
 
 def judge(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "html") -> DataFrame:
     """``pages``' columns but ``html``, with host, path, rule and verdict."""
-    own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", html)]
-    seen = pages.select(*own).withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url)), "__node": node_of(F.col(url))})
+    own = {c: f"c{i}" for i, c in enumerate(pages.columns) if c not in ("host", "path", "rule", "verdict", html)}
+    seen = pages.select(*[F.col(c).alias(n) for c, n in own.items()], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), node_of(F.col(url)).alias("__node"))
     seen = judge_rules(seen, rules)
     groups = components(alias_edges(pages, url, html))
     parts = {"host": host_of(F.concat(F.lit("x:"), F.col("node"))), "path": path_of(F.concat(F.lit("x:"), F.col("node")))}
@@ -137,7 +137,7 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "ht
     spread = groups.join(decided.where("said > 0"), "component").select(F.col("node").alias("__alias"), "said")
     judged = seen.join(spread, seen["__node"] == spread["__alias"], "left")
     verdict = F.coalesce(F.col("action"), F.when(F.col("said") == 1, "block").otherwise("allow"))
-    return judged.select(*own, "host", "path", "rule", verdict.alias("verdict"))
+    return judged.select(*[F.col(n).alias(c) for c, n in own.items()], "host", "path", "rule", verdict.alias("verdict"))
 
 
 _RULE_ROWS = ", ".join(f"('{r.action}', '{r.host}', '{r.path}', {i})" for i, r in enumerate(_ordered(RULES)))
