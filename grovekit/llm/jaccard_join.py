@@ -16,11 +16,12 @@ when ``100 * |intersection| >= percent * |union|``.  The join is exact.
    block; each block is led by its least class.
 3. *Leaders.*  Each class is verified against the leaders of its blocks.
    Verified links give components.
-4. *R-tree.*  Blocks that still span components are searched: an R-tree over
-   the group counts of their classes yields the pairs of different components
-   whose summed coordinate minima reach the needed overlap.  They are verified,
-   and the components are taken again.  Every pair that shares a block has then
-   been verified, ruled out by the bound or connected already.
+4. *R-tree.*  Classes with a leader in common are searched where they still
+   span components: an R-tree over their group counts, joined with itself,
+   yields the pairs of different components whose summed coordinate minima reach
+   the needed overlap.  They are verified, and the components are taken again.
+   Every pair that shares a block has then been verified, ruled out by the bound
+   or connected already.
 
 Nothing is capped: the blocks are streamed from sorted partitions, pairs within
 a component are never formed, and a class costs a row for each signature.
@@ -134,7 +135,7 @@ def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _led(signed: DataFrame) -> DataFrame:
-    """(sig, leader, node): the members of each block but its leader, the least."""
+    """(a, b): each block's leader, its least class, with each other member; once for each pair."""
 
     def lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last_sig, last_leader, last_node = None, 0, 0
@@ -151,10 +152,10 @@ def _led(signed: DataFrame) -> DataFrame:
             before[0], before[1:] = last_node, node[:-1]
             keep = (node != leader) & (first | (node != before))
             last_sig, last_leader, last_node = sig[-1], leader[-1], node[-1]
-            yield pd.DataFrame({"sig": sig[keep], "leader": leader[keep], "node": node[keep]})
+            yield pd.DataFrame({"a": leader[keep], "b": node[keep]})
 
     parts = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return signed.repartition(parts, "sig").sortWithinPartitions("sig", "node").mapInPandas(lead, "sig long, leader long, node long")
+    return signed.repartition(parts, "sig").sortWithinPartitions("sig", "node").mapInPandas(lead, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -181,16 +182,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInPandas(verify, "a long, b long")
 
 
-def _crossing(led: DataFrame, comps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): pairs of blocks' members in different components that the R-tree can't rule out."""
-    of = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
-    own = lambda c: F.coalesce(f"c_{c}", c)
-    # the leader has been verified against every member, so a block matters if it has two more of different components;
-    # blocks with the same members are searched once
-    labelled = led.join(of("node"), "node", "left").select("sig", "leader", "node", own("node").alias("comp"))
-    sets = labelled.groupBy("sig", "leader").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("h"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    chosen = sets.where("n > 1 and low <> high").groupBy("leader", "n", "h").agg(F.min("sig").alias("sig")).select("sig")
-    members = labelled.join(chosen, "sig").select("sig", "node", "comp")
+def _crossing(pairs: DataFrame, comps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): pairs of classes led by one class, in different components, that the R-tree can't rule out.
+
+    Two classes that share a block have its leader in common, so all classes of
+    one leader are searched together, each once.
+    """
+    own = comps.select(F.col("node").alias("b"), F.col("component").alias("comp"))
+    members = pairs.join(own, "b", "left").select(F.col("a").alias("leader"), F.col("b").alias("node"), F.coalesce("comp", "b").alias("comp"))
+    # each class has been verified against the leader: what is left are two more of different components
+    open_ = members.groupBy("leader").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("leader")
+    members = members.join(open_, "leader")
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -214,17 +216,17 @@ def _crossing(led: DataFrame, comps: DataFrame, texts: DataFrame, words: int, pe
                     yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
         for batch in batches:
-            cuts = np.flatnonzero(batch["sig"].to_numpy()[1:] != batch["sig"].to_numpy()[:-1]) + 1
+            cuts = np.flatnonzero(batch["leader"].to_numpy()[1:] != batch["leader"].to_numpy()[:-1]) + 1
             for part in (batch.iloc[x:y] for x, y in zip([0, *cuts], [*cuts, len(batch)], strict=True)):
-                if block and part["sig"].iloc[0] != block[0]["sig"].iloc[0]:
+                if block and part["leader"].iloc[0] != block[0]["leader"].iloc[0]:
                     yield from pairs()
                     block = []
                 block.append(part)
         if block:
             yield from pairs()
 
-    parts = int(led.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = members.join(points, "node").select("sig", "node", "comp", "point").repartition(parts, "sig").sortWithinPartitions("sig", "node")
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.join(points, "node").select("leader", "node", "comp", "point").repartition(parts, "leader").sortWithinPartitions("leader", "node")
     return dealt.mapInPandas(search, "a long, b long").distinct()
 
 
@@ -233,8 +235,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
     sets, _ = scratch.settle(_sets(rows, words), "sets")
-    led, _ = scratch.settle(_led(_signed(rows, words, percent)), "blocks")
-    pairs, _ = scratch.settle(led.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    pairs, _ = scratch.settle(_led(_signed(rows, words, percent)), "pairs")
 
     classes = sets.where("n > 0").groupBy("node", "check").agg(F.min("doc_id").alias("first"), F.count("*").alias("class_size"))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -247,7 +248,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
 
     links, _ = scratch.settle(_verified(pairs, texts, words, percent), "links")
     comps = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    left = _crossing(led, comps, texts, words, percent).join(pairs, ["a", "b"], "left_anti")
+    left = _crossing(pairs, comps, texts, words, percent).join(pairs, ["a", "b"], "left_anti")
     left, _ = scratch.settle(left, "crossing")
     if left.limit(1).count():
         more, _ = scratch.settle(_verified(left, texts, words, percent), "links")
