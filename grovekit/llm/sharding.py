@@ -30,6 +30,10 @@ from pyspark.sql import functions as F
 from grovekit.llm import scratch
 
 
+#: A table of shards is broadcast up to this many (about 20 MB), and joined by shuffling beyond.
+BROADCAST_SHARDS = 100_000
+
+
 @dataclass(frozen=True)
 class Shard:
     path: str  # below the store's root
@@ -202,6 +206,7 @@ def shard(docs: DataFrame, target_bytes: int = 64 << 20, fanin: int = 4) -> tupl
     store.vacuum()
     table = [(s.path.rsplit("/", 1)[1], s.level, s.n_rows, s.n_bytes) for s in store.shards(version)]
     info = spark.createDataFrame(table, "shard string, shard_level int, shard_rows long, shard_bytes long")
-    # one row for each file, so a few hundred bytes for each target_bytes of data; Spark broadcasts it below its own threshold
+    # one row for each file, so about 200 bytes for each target_bytes of data
+    info = F.broadcast(info) if len(table) <= BROADCAST_SHARDS else info
     rows = store.read(version).join(info, "shard", "left").withColumn("shard_version", F.lit(version))
     return store, rows.select([c for c in rows.columns if c not in own] + own)
