@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -134,6 +136,18 @@ def hashing_features(tokens_col: str, out_col: str, size: int = 1 << 20, normali
     return Pipeline(stages=[counts] + ([Normalizer(inputCol=out_col + "_counts", outputCol=out_col)] if normalise else []))
 
 
+def embedding(model, dim_type: str = "array<double>"):
+    """A Column function of a text model: ``model(texts)`` gives one row for each text; rows are scaled to length 1 (0 stays 0)."""
+
+    @F.pandas_udf(dim_type)
+    def run(texts: pd.Series) -> pd.Series:
+        rows = np.asarray(model(texts.fillna("").tolist()), float)
+        length = np.sqrt((rows * rows).sum(1, keepdims=True))
+        return pd.Series(list(rows / np.where(length > 0, length, 1.0)))
+
+    return run
+
+
 def clean_label(label: Column) -> Column:
     """A label fit for a quoted DOT string."""
     return F.regexp_replace(F.coalesce(label, F.lit("None")), r"[^\w .:-]", "_")

@@ -676,6 +676,17 @@ def online_tree_collapsed(spark, d):
     return online.build(_online_points(spark, d), online.ClusterConfig(max_leaves=40), "block")
 
 
+@query()
+def online_after_batch(spark, d):
+    """A batch tree of each block's first 50 points, extended one by one."""
+    return online.build(_online_points(spark, d), online.ClusterConfig(batch=50), "block")
+
+
+@query()
+def online_statistics(spark, d):
+    return online.run_statistics(_online_points(spark, d), online.ClusterConfig(), "block")
+
+
 @query()
 def learned_weights(spark, d):
     p = _points(spark, d).select("id", "vec", F.col("label").alias("kind"), F.col("label").alias("cluster"))

@@ -147,7 +147,9 @@ def test_pairwise_example(spark):
     assert evaluate.pairwise_f1(empty).first()["f1"] == 0
 
 
-def test_hac_equals_one_at_a_time(spark):
+@pytest.mark.parametrize("finish", [1, 8, 2000])
+def test_hac_equals_one_at_a_time(spark, monkeypatch, finish):
+    monkeypatch.setattr(hac, "FINISH", finish)
     v = np.random.default_rng(5).standard_normal((24, 4))
     want = _brute_hac(v)
     assert _clusters([(m[0], m[1]) for m in hac.chain(v)], 24) == want
@@ -233,3 +235,33 @@ def test_learning_finds_the_useful_feature(spark):
     assert best["threshold"] == 0.2 and best["f1"] == pytest.approx(1)
     with pytest.raises(ValueError):
         FE.FeatureSpec("x", "location")
+
+
+def test_insertion_into_a_batch_tree(spark):
+    v, labels = _separable(groups=4)
+    rows = [(str(i), str(labels[i]), v[i].tolist(), (i * 7) % len(v)) for i in range(len(v))]
+    df = spark.createDataFrame(rows, "pid string, label string, vec array<double>, seq long")
+    out = online.build(df, online.ClusterConfig(batch=12)).collect()
+    _check_tree(out)
+    assert {r["pid"] for r in out if r["pid"] is not None} == {str(i) for i in range(len(v))}
+    told = {r["name"]: r["value"] for r in online.run_statistics(df).collect()}
+    assert told["points"] == len(v) and told["comparisons"] > len(v)
+
+
+def test_command_line(spark, tmp_path):
+    from grovekit.plans import cli
+    from grovekit.sources import files
+
+    v, labels = _separable(groups=3)
+    df = spark.createDataFrame([(str(i), str(labels[i]), v[i].tolist(), i) for i in range(len(v))], "pid string, label string, vec array<double>, seq long")
+    files.write_points(df, f"{tmp_path}/points")
+    cli.main(["cluster", f"{tmp_path}/points", f"{tmp_path}/tree", "--linkage", "average"], spark)
+    assert cli.main(["score", f"{tmp_path}/tree"], spark) == pytest.approx(1)
+    assert cli.main(["score", f"{tmp_path}/tree", "--strict"], spark) == pytest.approx(1)
+
+
+def test_pluggable_embeddings(spark):
+    df = spark.createDataFrame([("a bb",), (None,)], "text string")
+    embed = FE.embedding(lambda texts: np.array([[len(t), 3.0 * (len(t) > 0)] for t in texts]))
+    got = [list(r[0]) for r in df.select(embed(F.col("text"))).collect()]
+    assert got == [pytest.approx([0.8, 0.6]), [0.0, 0.0]]
