@@ -19,7 +19,8 @@ when ``100 * |intersection| >= percent * |union|``.  The join is exact.
 4. *R-tree.*  Classes with a leader in common are searched where they still
    span components: an R-tree over their group counts, joined with itself,
    yields the pairs of different components whose summed coordinate minima reach
-   the needed overlap.  They are verified, and the components are taken again.
+   the needed overlap.  They are verified, the likeliest first, and the
+   components are taken again before all that are left are searched.
    Every pair that shares a block has then been verified, ruled out by the bound
    or connected already.
 
@@ -182,11 +183,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInPandas(verify, "a long, b long")
 
 
-def _crossing(pairs: DataFrame, comps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _crossing(pairs: DataFrame, comps: DataFrame, texts: DataFrame, words: int, percent: int, first: bool) -> DataFrame:
     """(a, b): pairs of classes led by one class, in different components, that the R-tree can't rule out.
 
     Two classes that share a block have its leader in common, so all classes of
-    one leader are searched together, each once.
+    one leader are searched together, each once.  With ``first``, a class gets
+    only its likeliest partner in each leaf of the tree.
     """
     own = comps.select(F.col("node").alias("b"), F.col("component").alias("comp"))
     members = pairs.join(own, "b", "left").select(F.col("a").alias("leader"), F.col("b").alias("node"), F.coalesce("comp", "b").alias("comp"))
@@ -209,10 +211,15 @@ def _crossing(pairs: DataFrame, comps: DataFrame, texts: DataFrame, words: int,
             node, comp = rows["node"].to_numpy(), rows["comp"].to_numpy()
             point = np.frombuffer(b"".join(rows["point"]), np.int32).reshape(len(rows), -1)
             tree = CountTree(point)
-            for i, j in tree.self_join(percent, 100):
+            for i, j, spare in tree.self_join(percent, 100):
                 apart = comp[i] != comp[j]
-                if apart.any():
-                    a, b = node[i[apart]], node[j[apart]]
+                i, j, spare = i[apart], j[apart], spare[apart]
+                if first:
+                    order = np.lexsort((j, -spare, i))
+                    lead = order[np.unique(i[order], return_index=True)[1]]
+                    i, j = i[lead], j[lead]
+                if len(i):
+                    a, b = node[i], node[j]
                     yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
         for batch in batches:
@@ -248,12 +255,15 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
 
     links, _ = scratch.settle(_verified(pairs, texts, words, percent), "links")
     comps = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    left = _crossing(pairs, comps, texts, words, percent).join(pairs, ["a", "b"], "left_anti")
-    left, _ = scratch.settle(left, "crossing")
-    if left.limit(1).count():
-        more, _ = scratch.settle(_verified(left, texts, words, percent), "links")
-        both = links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        comps = components(both)
+    tried = pairs
+    for first in (True, False):  # likeliest pairs first: what they connect needs no more pairs; then all that are left
+        left = _crossing(pairs, comps, texts, words, percent, first).join(tried, ["a", "b"], "left_anti")
+        left, _ = scratch.settle(left, "crossing")
+        if left.limit(1).count():
+            more, _ = scratch.settle(_verified(left, texts, words, percent), "links")
+            links, tried = links.union(more), tried.union(left)
+            if more.limit(1).count():
+                comps = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     named = classes.join(comps, "node").select("component", "first").groupBy("component").agg(F.min("first").alias("least"))
     linked = comps.join(named, "component").select("node", "least")

@@ -54,7 +54,7 @@ class CountTree:
         return self.order[alive[(num + den) * bound >= num * (n + size)]]
 
     def self_join(self, num: int, den: int):
-        """Yields (i, j) index arrays of the pairs of points that may reach ``den * shared >= num * union``, each pair once.
+        """Yields (i, j, spare) arrays: pairs of points that may reach ``den * shared >= num * union``, each pair once, and how far the bound is above that.
 
         Both sides descend together: pairs of nodes whose bound falls short are
         dropped with all their points, and points are compared leaf by leaf.
@@ -79,9 +79,10 @@ class CountTree:
         for a, b in zip(left.tolist(), right.tolist(), strict=True):
             x, y = slice(a * FANOUT, (a + 1) * FANOUT), slice(b * FANOUT, (b + 1) * FANOUT)
             shared = np.minimum(self.points[x][:, None], self.points[y][None]).sum(2, dtype=np.int32)
-            fits = (num + den) * shared >= num * (sizes[x][:, None] + sizes[y][None])
+            spare = (num + den) * shared.astype(np.int64) - num * (sizes[x][:, None] + sizes[y][None])
+            fits = spare >= 0
             if a == b:
                 fits &= np.tri(*fits.shape, -1, dtype=bool).T
             i, j = np.nonzero(fits)
             if len(i):
-                yield self.order[i + a * FANOUT], self.order[j + b * FANOUT]
+                yield self.order[i + a * FANOUT], self.order[j + b * FANOUT], spare[i, j]
