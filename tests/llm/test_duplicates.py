@@ -107,7 +107,7 @@ def test_tree_finds_all_pairs():
         p[1::3] = p[: len(p[1::3])]
         tree, size = CountTree(p), p.sum(1)
         want = {(i, j) for i, j in itertools.combinations(range(n), 2) if 185 * np.minimum(p[i], p[j]).sum() >= 85 * (size[i] + size[j])}
-        got = [tuple(sorted(x)) for i, j in tree.self_join(85, 100) for x in zip(i.tolist(), j.tolist(), strict=True)]
+        got = [tuple(sorted(x)) for i, j, _ in tree.self_join(85, 100) for x in zip(i.tolist(), j.tolist(), strict=True)]
         assert set(got) == want and len(got) == len(want)
 
 
