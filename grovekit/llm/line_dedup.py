@@ -9,9 +9,14 @@
 2. *Alignment.*  Pairs are aligned on the lines that are rarest between them,
    those that are unique in both documents, by patience diff: the longest run of
    them in the same order is kept, equal ends are matched, and the gaps between
-   are aligned in the same way.
+   are aligned in the same way.  A gap all of whose common lines repeat is
+   aligned by their longest common subsequence.  In each gap lines of
+   ``min_block_words`` words or more come before shorter ones.
 3. *Deletion.*  Aligned common blocks of at least ``min_block_words`` words are
-   deleted from the later document (the greater doc_id).
+   deleted from the later document (the greater doc_id), and so are its further
+   copies of aligned lines, wherever a run of so many words stands that the
+   owner holds as a run.  Shared lines that are aligned nowhere, because the two
+   documents hold them in another order, stay.
 
 Only hashes of lines travel between documents.  Lines are whole, and each pair
 is aligned whole.
@@ -36,9 +41,16 @@ from pyspark.sql import functions as F
 
 from grovekit.llm import scratch
 
+#: Bits of the table kept for tracing a longest common subsequence.
+TABLE_BITS = 1 << 27
 
-def patience(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
-    """Aligned blocks (start in a, start in b, length) of two sequences, in order."""
+
+def patience(a: np.ndarray, b: np.ndarray, long_lines: set[int] | None = None) -> list[tuple[int, int, int]]:
+    """Aligned blocks (start in a, start in b, length) of two sequences, in order.
+
+    In each gap ``long_lines`` (by default all) are aligned before the rest, and
+    lines that are unique in both before those that repeat.
+    """
     out: list[tuple[int, int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     a_list, b_list = a.tolist(), b.tolist()
@@ -60,11 +72,19 @@ def patience(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
         if a0 >= a1 or b0 >= b1:
             continue
         in_a, in_b = Counter(a_list[a0:a1]), Counter(b_list[b0:b1])
-        place = {x: j for j, x in enumerate(b_list[b0:b1], b0) if in_b[x] == 1}
-        anchors = [(i, place[x]) for i, x in enumerate(a_list[a0:a1], a0) if in_a[x] == 1 and x in place]
-        if not anchors:
+        common = in_a.keys() & in_b.keys()
+        if not common:
             continue
-        run = _longest(anchors)
+        if long_lines is not None:
+            common = common & long_lines or common
+        place = {x: j for j, x in enumerate(b_list[b0:b1], b0) if in_b[x] == 1 and x in common}
+        anchors = [(i, place[x]) for i, x in enumerate(a_list[a0:a1], a0) if in_a[x] == 1 and x in place]
+        if anchors:
+            run = _longest(anchors)
+        else:  # every common line repeats
+            at_a = [i for i in range(a0, a1) if a_list[i] in common]
+            at_b = [j for j in range(b0, b1) if b_list[j] in common]
+            run = [(at_a[i], at_b[j]) for i, j in longest_common([a_list[i] for i in at_a], [b_list[j] for j in at_b])]
         before_a, before_b = a0, b0
         for i, j in [*run, (a1, b1)]:
             if i > before_a and j > before_b:
@@ -82,6 +102,55 @@ def patience(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
     return joined
 
 
+def _rows(a: list[int], b: list[int], keep: bool) -> list[int]:
+    """Bit rows of the lengths' table: bit j is 0 where b[: j + 1] gives one more than b[:j]; all rows, or the last."""
+    full = (1 << len(b)) - 1
+    held: dict[int, bytearray] = {}
+    for j, x in enumerate(b):
+        held.setdefault(x, bytearray((len(b) + 7) // 8))[j >> 3] |= 1 << (j & 7)
+    where = {x: int.from_bytes(bits, "little") for x, bits in held.items()}
+    row, rows = full, [full]
+    for x in a:
+        u = row & where.get(x, 0)
+        row = ((row + u) | (row - u)) & full
+        if keep:
+            rows.append(row)
+    return rows if keep else [row]
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of a with each prefix of b."""
+    bits = np.frombuffer(_rows(a, b, False)[0].to_bytes((len(b) + 7) // 8, "little"), np.uint8)
+    return np.concatenate([[0], np.cumsum(1 - np.unpackbits(bits, bitorder="little")[: len(b)].astype(np.int64))])
+
+
+def longest_common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, in order; halved (Hirschberg) where the table is large."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        x, y = a[a0:a1], b[b0:b1]
+        if not x or not y:
+            continue
+        if len(x) > 1 and len(x) * len(y) > TABLE_BITS:
+            half = len(x) // 2
+            k = int(np.argmax(_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]))
+            todo += [(a0, a0 + half, b0, b0 + k), (a0 + half, a1, b0 + k, b1)]
+            continue
+        rows = _rows(x, y, True)
+        i, j = len(x), len(y)
+        while i and j:
+            if x[i - 1] == y[j - 1]:
+                i, j = i - 1, j - 1
+                out.append((a0 + i, b0 + j))
+            elif rows[i] >> (j - 1) & 1:
+                j -= 1
+            else:
+                i -= 1
+    return sorted(out)
+
+
 def _longest(anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest run of anchors that rises in both places."""
     tails: list[int] = []
@@ -102,13 +171,48 @@ def _longest(anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _windows(lines: list[int], words: list[int], least: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the shortest runs of ``least`` words or more from each line on, and up to each line; a count below 0 parts runs."""
+    for step in (1, -1):
+        order = range(len(lines))[::step]
+        first, total = 0, 0  # the run is order[first : at + 1], the shortest that ends at order[at]
+        for at, i in enumerate(order):
+            if words[i] < 0:
+                first, total = at + 1, 0
+                continue
+            total += words[i]
+            while total - words[order[first]] >= least and first < at:
+                total -= words[order[first]]
+                first += 1
+            if total >= least and words[i]:
+                yield (order[first], i + 1) if step == 1 else (i, order[first] + 1)
+
+
+def _copies(later: np.ndarray, words: np.ndarray, owner: np.ndarray, aligned: set[int], gone: np.ndarray, least: int) -> None:
+    """Marks in ``gone`` all copies of aligned lines: runs of ``least`` words or more that the owner holds as a run."""
+    count = dict(zip(later.tolist(), words.tolist(), strict=True))
+    left = [(count[x] if x in aligned else -1) for x in later.tolist()]
+    if not any(n >= 0 and not g for n, g in zip(left, gone.tolist(), strict=True)):
+        return
+    mine, theirs = later.tolist(), owner.tolist()
+    held = {tuple(theirs[i:j]) for i, j in _windows(theirs, [count[x] if x in aligned else -1 for x in theirs], least)}
+    for i, j in _windows(mine, left, least):
+        if tuple(mine[i:j]) in held:
+            gone[i:j] = True
+
+
 def removed_lines(later: np.ndarray, words: np.ndarray, owners: list[np.ndarray], min_block_words: int) -> np.ndarray:
-    """Places of the later document's lines that lie in an aligned block with an owner."""
+    """Places of the later document's lines that lie in an aligned block with an owner, or are further copies of such lines."""
     gone = np.zeros(len(later), bool)
+    long_lines = set(later[words >= min_block_words].tolist())
     for owner in owners:
-        for start, _, n in patience(later, owner):
+        mine, aligned = np.zeros(len(later), bool), set()
+        for start, _, n in patience(later, owner, long_lines):
+            aligned.update(later[start : start + n].tolist())
             if words[start : start + n].sum() >= min_block_words:
-                gone[start : start + n] = True
+                mine[start : start + n] = True
+        _copies(later, words, owner, aligned, mine, min_block_words)
+        gone |= mine
     return np.flatnonzero(gone)
 
 

@@ -178,6 +178,45 @@ def test_patience():
     assert line_dedup.patience(a, a[:0]) == []
 
 
+def test_longest_common(monkeypatch):
+    rng = random.Random(4)
+    for bits in (1 << 27, 8):
+        monkeypatch.setattr(line_dedup, "TABLE_BITS", bits)
+        for _ in range(200):
+            a, b = ([rng.randrange(4) for _ in range(rng.randrange(14))] for _ in "ab")
+            best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, j in itertools.product(range(len(a)), range(len(b))):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+            got = line_dedup.longest_common(a, b)
+            assert all(a[i] == b[j] for i, j in got) and len(got) == best[-1][-1]
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in itertools.pairwise(got))
+
+
+def test_repeated_lines_go(spark):
+    x, y, z = ("the shared line number %d here" % i for i in range(3))
+    own = ["an own line of text %d" % i for i in range(9)]
+    cases = [  # the owner's lines, the later document's, and the places that go
+        ([own[0], x, own[1]], [own[2], x, own[3], x, own[4]], [1, 3]),
+        ([own[0], x, own[1], x, own[2]], [own[3], x, own[4]], [1]),
+        ([own[0], x, own[1], x, own[2]], [own[3], x, own[4], x, own[5], x, own[6]], [1, 3, 5]),
+        ([own[0], "", x, x, "", own[1]], [own[2], x, "", "", "", x, own[3]], [1, 5]),
+        ([own[0], "so", "so", x, x, own[1]], [own[2], x, x, "so", "so", own[3]], [1, 2]),
+        ([own[0], "a b c", "d e f", own[1]], [own[2], "a b c", "d e f", own[3], "a b c", "d e f", own[4], "d e f", own[5]], [1, 2, 4, 5]),
+        ([own[0], x, y, own[1]], [own[2], y, own[3], x, own[4]], None),  # another order: one of the two is aligned
+        ([own[0], z, own[1]], [own[2], "", own[3]], []),
+    ]
+    code = {s: i for i, s in enumerate(sorted({s for a, b, _ in cases for s in (*a, *b)}))}
+    rows = []
+    for n, (owner, later, want) in enumerate(cases):
+        a, b = (np.array([code[s] for s in side]) for side in (later, owner))
+        gone = line_dedup.removed_lines(a, np.array([len(s.split()) for s in later]), [b], 5).tolist()
+        assert gone == want if want is not None else len(gone) == 1, n
+        rows += [(2 * n, "\n".join(f"{n} {s}" if s in (x, y, z) or s in own else s for s in owner)), (2 * n + 1, "\n".join(f"{n} {s} " if s in (x, y, z) else f"{n} later {s}" if s in own else s for s in later))]
+    df = spark.createDataFrame(rows[:8], "doc_id long, text string")
+    got = {r["doc_id"]: list(r["removed"]) for r in line_dedup.dedupe(df).collect()}
+    assert [got[2 * n + 1] for n in range(4)] == [want for *_, want in cases[:4]] and not any(got[2 * n] for n in range(4))
+
+
 def test_line_dedup(spark):
     p = ["this is line %d of a shared passage" % i for i in range(4)]
     rows = [
