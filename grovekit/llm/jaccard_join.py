@@ -35,7 +35,7 @@ members' are null; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -109,7 +109,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInPandas(measure, "doc_id long, n long, node long, check long")
 
 
-def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _signed(docs: DataFrame, words: int, percent: int, sign_set: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:
     """(sig, node): each class's signatures, once for each task that holds a member."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,7 +126,7 @@ def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 if len(seen) >= 200_000:  # only saves repeats
                     seen.clear()
                 seen.add(node)
-                made = signatures(tokens, percent)
+                made = sign_set(tokens, percent)
                 sigs.append(made)
                 nodes.append(np.full(len(made), node, np.int64))
             if sigs:
@@ -237,12 +237,18 @@ def _crossing(pairs: DataFrame, comps: DataFrame, texts: DataFrame, words: int,
     return dealt.mapInPandas(search, "a long, b long").distinct()
 
 
-def join(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_size) for each row of ``docs``; class_size counts rows with the same set."""
+def join(
+    docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", sign_set: Callable[[np.ndarray, int], np.ndarray] = signatures,
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, class_size) for each row of ``docs``; class_size counts rows with the same set.
+
+    With another ``sign_set`` (sorted distinct tokens and percent to signatures),
+    the pairs that share one of its signatures are those joined.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
     sets, _ = scratch.settle(_sets(rows, words), "sets")
-    pairs, _ = scratch.settle(_led(_signed(rows, words, percent)), "pairs")
+    pairs, _ = scratch.settle(_led(_signed(rows, words, percent, sign_set)), "pairs")
 
     classes = sets.where("n > 0").groupBy("node", "check").agg(F.min("doc_id").alias("first"), F.count("*").alias("class_size"))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()

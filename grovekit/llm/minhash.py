@@ -24,9 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grovekit.llm import scratch
-from grovekit.llm.components import components
-from grovekit.llm.hashing import combine, mix, shingle_set, word_hashes
+from grovekit.llm.hashing import combine, mix, word_hashes
+from grovekit.llm.jaccard_join import join
 
 PERMUTATIONS = 128
 #: 32 bands of 4: a pair of similarity 0.8 shares one with probability 1 - 5e-8.
@@ -149,41 +148,23 @@ def edited(docs: DataFrame, words: int = 5, key: str = "doc_id", text: str = "te
     return dealt.mapInPandas(run, schema)
 
 
+def bands(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """A code for each band of a set's fingerprint."""
+    sig = signature(tokens).astype(np.uint64).reshape(BANDS, PERMUTATIONS // BANDS)
+    code = np.arange(BANDS, dtype=np.uint64)
+    for column in sig.T:
+        code = mix(code ^ column)
+    return code
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, class_id): documents joined by bands of their signatures, verified by Jaccard similarity.
 
-    In each band's bucket every document is verified against the least one, so a
-    bucket of any size gives as many pairs as members; classes are the
-    components of the verified pairs, named by their least doc_id.
+    The members of each band's bucket are verified against its leader first, so
+    a bucket of any size gives as many pairs as members; those still in
+    different components are then searched by ``jaccard_join``'s tree, until
+    each pair of a bucket is verified, ruled out by exact bounds, or connected.
+    Classes are the components of the verified pairs, named by their least doc_id.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t")).where("doc_id is not null")
-    width = PERMUTATIONS // BANDS
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def bands(texts: pd.Series) -> pd.Series:
-        out = []
-        for h in word_hashes(texts):
-            sig = signature(shingles(h, words)).astype(np.uint64).reshape(BANDS, width)
-            code = np.arange(BANDS, dtype=np.uint64)
-            for j in range(width):
-                code = mix(code ^ sig[:, j])
-            out.append(code.view(np.int64).tolist() if len(h) else [])
-        return pd.Series(out)
-
-    banded, _ = scratch.settle(rows.select("doc_id", F.explode(bands("t")).alias("band")), "bands")
-    led = banded.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z")
-    pairs = banded.join(led, "band").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    texts = lambda c: rows.select(F.col("doc_id").alias(c), F.col("t").alias(f"t{c}"))
-
-    @F.pandas_udf(T.BooleanType())
-    def links(ta: pd.Series, tb: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(word_hashes(ta), word_hashes(tb), strict=True):
-            p, q = shingle_set(x, words), shingle_set(y, words)
-            shared = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(100 * shared >= percent * (len(p) + len(q) - shared) and shared > 0)
-        return pd.Series(out, dtype=bool)
-
-    linked = pairs.join(texts("b"), "b").join(texts("a"), "a").where(links("ta", "tb")).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    comps = components(linked)
-    return rows.select("doc_id").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
+    found = join(docs.where(F.col(key).isNotNull()), words, percent, key, text, bands)
+    return found.select("doc_id", F.col("component_id").alias("class_id"))

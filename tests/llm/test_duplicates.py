@@ -169,6 +169,20 @@ def test_fingerprint_edges(spark):
     assert {r["fp"] for r in df.where("doc_id = 1").select(minhash.fingerprint(F.col("text")).alias("fp")).collect()} == {same[1]}
 
 
+def test_near_duplicates_around_the_threshold(spark):
+    """Links between two members of a bucket that don't link with its leader count too."""
+    rng = random.Random(8)
+    base, texts = [f"x{i}" for i in range(204)], []
+    for _ in range(150):
+        w = list(base)
+        for at in rng.sample(range(0, 204, 12), rng.randint(3, 4)):  # each edit changes five shingles of 200
+            w[at] = f"e{rng.randrange(10**9)}"
+        texts.append(" ".join(w))
+    sets = {i: _shingles(t, 5) for i, t in enumerate(texts)}
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == _components(list(sets), sets, 80)
+
+
 def test_patience():
     a, b = np.array([1, 2, 3, 9, 4, 5, 1]), np.array([7, 1, 2, 3, 4, 5, 8, 1])
     blocks = line_dedup.patience(a, b)
