@@ -1,11 +1,15 @@
 """Mixing sources to target weights, by Poisson replication.  DataFrame functions only.
 
 Each source gets a mean repetition rate
-``rate = documents * weight(source) / documents(source)``, at most ``max_rate``.
+``rate = documents * weight(source) / documents(source)``, whatever its size;
+only where ``max_rate`` is given it is cut there, and the source then stays
+below its target.
 Each document draws its number of copies from a Poisson distribution with that
 mean: a hash of (seed, doc_id) gives a uniform number, which the inverse of the
-cumulative distribution turns into a count.  The document is exploded by the
-count, and the copies are dealt out and sorted by a hash: a global shuffle.
+cumulative distribution turns into a count.  A mean above ``LARGEST_RATE`` is
+the sum of equal smaller ones, each with its own draw.  The document is exploded
+by the count, and the copies are dealt out and sorted by a hash: a global
+shuffle.
 
 Target weights are given by source, or follow ``documents(source) ** alpha``.
 With given weights, sources that are not named share what is left of 1 in
@@ -26,19 +30,20 @@ from pyspark.sql import functions as F
 BROADCAST_SOURCES = 20_000
 #: Beyond, each source's rate is dealt to so many salted keys.
 SALTS = 64
-#: Beyond this rate exp(-rate) has no double.
+#: The largest mean of one draw; exp(-rate) soon has no double beyond.
 LARGEST_RATE = 500.0
 
 
-def rates(docs: DataFrame, source: str, alpha: float, target_weights: dict[str, float] | None, max_rate: float) -> DataFrame:
+def rates(docs: DataFrame, source: str, alpha: float, target_weights: dict[str, float] | None, max_rate: float | None) -> DataFrame:
     """(src, n, rate): one row per source."""
-    if not 0 < max_rate <= LARGEST_RATE:
+    if max_rate is not None and not 0 < max_rate <= LARGEST_RATE:
         raise ValueError(f"max_rate must be in (0, {LARGEST_RATE}]")
+    cut = (lambda rate: rate) if max_rate is None else (lambda rate: F.least(F.lit(max_rate), rate))
     counted = docs.groupBy(F.col(source).alias("src")).agg(F.count("*").alias("n"))
     if target_weights is None:
         weighed = counted.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(alpha)))
         total = weighed.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
-        return weighed.crossJoin(F.broadcast(total)).select("src", "n", F.least(F.lit(max_rate), F.col("all_n") * (F.col("w") / F.col("all_w")) / F.col("n")).alias("rate"))
+        return weighed.crossJoin(F.broadcast(total)).select("src", "n", cut(F.col("all_n") * (F.col("w") / F.col("all_w")) / F.col("n")).alias("rate"))
     given: Column = F.lit(None).cast("double")
     for name, weight in target_weights.items():
         given = F.when(F.col("src") == name, F.lit(float(weight))).otherwise(given)
@@ -46,7 +51,7 @@ def rates(docs: DataFrame, source: str, alpha: float, target_weights: dict[str,
     left = max(0.0, 1.0 - sum(target_weights.values()))
     total = weighed.agg(F.sum("n").alias("all_n"), F.sum(F.when(F.col("given").isNull(), F.col("n")).otherwise(0)).alias("rest_n"))
     weight = F.coalesce(F.col("given"), F.lit(left) * F.col("n") / F.col("rest_n"))
-    return weighed.crossJoin(F.broadcast(total)).select("src", "n", F.least(F.lit(max_rate), F.col("all_n") * weight / F.col("n")).alias("rate"))
+    return weighed.crossJoin(F.broadcast(total)).select("src", "n", cut(F.col("all_n") * weight / F.col("n")).alias("rate"))
 
 
 def poisson_cdf(rate: Column) -> Column:
@@ -65,12 +70,13 @@ def uniform(*parts: Column) -> Column:
 
 def replicate(
     docs: DataFrame, source: str = "source", key: str = "doc_id", alpha: float = 0.5,
-    target_weights: dict[str, float] | None = None, max_rate: float = 8.0, seed: int = 11,
+    target_weights: dict[str, float] | None = None, max_rate: float | None = None, seed: int = 11,
 ) -> DataFrame:
     """``docs``' columns with ``copy`` (from 1), ``repeats`` and ``rate``, in shuffled order."""
     spark = docs.sparkSession
     docs = docs.select([c for c in docs.columns if c not in ("copy", "repeats", "rate")])
-    table = rates(docs, source, alpha, target_weights, max_rate).withColumn("cdf", poisson_cdf(F.col("rate")))
+    table = rates(docs, source, alpha, target_weights, max_rate)
+    table = table.withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / LARGEST_RATE)).cast("int")).withColumn("cdf", poisson_cdf(F.col("rate") / F.col("draws")))
     n_sources = docs.select(source).distinct().count()
     names = {c: f"d{i}" for i, c in enumerate(docs.columns)}
     renamed = docs.select([F.col(c).alias(a) for c, a in names.items()])
@@ -81,7 +87,10 @@ def replicate(
         renamed = renamed.withColumn("salt", F.pmod(F.xxhash64(names[key]), F.lit(SALTS)).cast("int"))
         joined = renamed.join(salted, renamed[names[source]].eqNullSafe(salted["src"]) & (renamed["salt"] == salted["salt"]))
     draw = uniform(F.lit(seed), F.col(names[key]))
-    counted = joined.withColumn("u", draw).withColumn("repeats", F.size(F.filter("cdf", lambda c: c <= F.col("u")))).where("repeats > 0")
+    further = lambda k: uniform(F.lit(seed), F.col(names[key]), k)
+    count = lambda u: F.size(F.filter("cdf", lambda c: c <= u))
+    more = F.aggregate(F.sequence(F.lit(2), F.col("draws")), F.lit(0), lambda total, k: total + count(further(k)))
+    counted = joined.withColumn("u", draw).withColumn("repeats", count(F.col("u")) + F.when(F.col("draws") > 1, more).otherwise(0)).where("repeats > 0")
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
     dealt = copies.withColumn("place", F.xxhash64(F.lit(seed), F.col(names[key]), F.col("copy")))
     columns = [F.col(a).alias(c) for c, a in names.items()]
@@ -89,7 +98,7 @@ def replicate(
     return dealt.select(*names.values(), "copy", "repeats", "rate", "place").repartition(parts, "place").sortWithinPartitions("place").select(*columns, "copy", "repeats", "rate")
 
 
-#: The same rows in DuckDB, with alpha 0.5, max_rate 8 and seed 11.
+#: The same rows in DuckDB, with alpha 0.5, max_rate 8 and seed 11; without max_rate they are equal where no rate is above 8.
 SQL = """
 WITH RECURSIVE counted AS (SELECT source AS src, count(*) AS n FROM documents GROUP BY 1),
 total AS (SELECT sum(n) AS all_n, sum(sqrt(n::DOUBLE)) AS all_w FROM counted),

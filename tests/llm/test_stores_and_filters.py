@@ -45,6 +45,34 @@ def test_mixing_edges(spark, monkeypatch):
         mixing.replicate(docs, max_rate=1000.0)
 
 
+def test_rare_sources_reach_their_weights(spark):
+    def rows(*sizes):
+        docs = spark.range(sum(sizes)).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+        ends = [sum(sizes[: i + 1]) for i in range(len(sizes))]
+        source = F.lit(None).cast("string")
+        for i, end in reversed(list(enumerate(ends))):
+            source = F.when(F.col("doc_id") < end, F.lit(f"s{i}")).otherwise(source)
+        return docs.withColumn("source", source)
+
+    def reached(out):
+        return {r["source"]: r["n"] for r in out.groupBy("source").agg(F.count("*").alias("n")).collect()}
+
+    near = lambda n, want: abs(n - want) < 5 * math.sqrt(want)
+    docs = rows(40, 3960)
+    got = reached(mixing.replicate(docs, target_weights={"s0": 0.5}))  # a rate of 50
+    assert near(got["s0"], 2000) and near(got["s1"], 2000)
+    got = reached(mixing.replicate(docs, target_weights={"s0": 0.5}, max_rate=8.0))
+    assert near(got["s0"], 320)  # cut only where it is asked for
+    got = reached(mixing.replicate(rows(1, 9999)))  # the square roots give a rate of 99
+    assert near(got["s0"], 10000 / (1 + math.sqrt(9999)))
+    docs = rows(10, 11990)
+    out = mixing.replicate(docs, target_weights={"s0": 0.9})  # a rate of 1080: three draws for each document
+    got = reached(out)
+    assert near(got["s0"], 10800) and near(got["s1"], 1200)
+    each = [r["repeats"] for r in out.where("source = 's0'").select("doc_id", "repeats").distinct().collect()]
+    assert len(each) == 10 and all(near(n, 1080) for n in each) and len(set(each)) > 5
+
+
 def test_store(spark):
     store = sharding.ShardStore(spark, scratch.fresh(spark, "store"), target_bytes=60_000, fanin=3, small_bytes=4_000)
     df = spark.range(6000).select(F.col("id"), F.md5(F.col("id").cast("string")).alias("text"), F.lit(None).cast("string").alias("shard_note"))
