@@ -658,33 +658,34 @@ def hac_by_block(spark, d):
 
 
 def _online_points(spark: SparkSession, d: str) -> DataFrame:
-    return _points(spark, d).select(F.col("id").cast("string").alias("pid"), F.col("label").cast("string").alias("label"), "vec", F.col("id").alias("seq"), F.pmod("id", F.lit(5)).alias("block"))
+    # no column of the table is a canopy: one tree over all points
+    return _points(spark, d).select(F.col("id").cast("string").alias("pid"), F.col("label").cast("string").alias("label"), "vec", F.col("id").alias("seq"))
 
 
 @query()
 def online_tree(spark, d):
-    return online.build(_online_points(spark, d), online.ClusterConfig(), "block")
+    return online.build(_online_points(spark, d), online.ClusterConfig())
 
 
 @query()
 def online_tree_average(spark, d):
-    return online.build(_online_points(spark, d), online.ClusterConfig(linkage="average", rotate_cap=100, graft_cap=100, restructure_cap=100, single_search=True, single_elimination=True), "block")
+    return online.build(_online_points(spark, d), online.ClusterConfig(linkage="average", rotate_cap=100, graft_cap=100, restructure_cap=100, single_search=True, single_elimination=True))
 
 
 @query()
 def online_tree_collapsed(spark, d):
-    return online.build(_online_points(spark, d), online.ClusterConfig(max_leaves=40), "block")
+    return online.build(_online_points(spark, d), online.ClusterConfig(max_leaves=40))
 
 
 @query()
 def online_after_batch(spark, d):
-    """A batch tree of each block's first 50 points, extended one by one."""
-    return online.build(_online_points(spark, d), online.ClusterConfig(batch=50), "block")
+    """A batch tree of the first 50 points, extended one by one."""
+    return online.build(_online_points(spark, d), online.ClusterConfig(batch=50))
 
 
 @query()
 def online_statistics(spark, d):
-    return online.run_statistics(_online_points(spark, d), online.ClusterConfig(), "block")
+    return online.run_statistics(_online_points(spark, d), online.ClusterConfig())
 
 
 @query()
@@ -697,7 +698,7 @@ def learned_weights(spark, d):
 
 @query()
 def dev_threshold(spark, d):
-    p = _points(spark, d).select("id", "vec", F.col("label").alias("gold"), F.pmod("id", F.lit(4)).alias("block"))
+    p = _points(spark, d).select("id", "vec", F.col("label").alias("gold"), F.lit(0).alias("block"))
     return train.best_threshold(p, "block", [0.5, 0.8, 1.1, 1.4, 1.7, 2.0])
 
 

@@ -265,3 +265,16 @@ def test_pluggable_embeddings(spark):
     embed = FE.embedding(lambda texts: np.array([[len(t), 3.0 * (len(t) > 0)] for t in texts]))
     got = [list(r[0]) for r in df.select(embed(F.col("text"))).collect()]
     assert got == [pytest.approx([0.8, 0.6]), [0.0, 0.0]]
+
+
+def test_online_queries_build_one_tree(spark):
+    from grovekit.plans.catalogue import QUERIES
+
+    sf_dir = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    for name in ("online_tree", "online_tree_average", "online_tree_collapsed", "online_after_batch"):
+        rows = QUERIES[name](spark, sf_dir).collect()
+        assert [r["n"] for r in rows if r["parent"] is None] == [n], name
+        assert len({r["pid"] for r in rows if r["pid"] is not None}) == n
+    told = [r["value"] for r in QUERIES["online_statistics"](spark, sf_dir).collect() if r["name"] == "points"]
+    assert told == [n]
