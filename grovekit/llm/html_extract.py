@@ -13,7 +13,8 @@ of the input is used for training.
 
 Defined results: a null or empty page, or one without a block of main text, has
 empty text and 0 characters; repeated rows are treated alike; pages of any
-length are read whole; other columns are ignored.
+length and depth are read whole, in time proportional to their length and, above
+``PIECE`` blocks, piece by piece; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,38 +33,43 @@ from grovekit.llm.html_blocks import Block, blocks
 
 PATH, WORDS, MEASURES, HIDDEN = 256, 48, 8, 20
 SIZE = PATH + WORDS + MEASURES
-_PATHS: dict[tuple[str, ...], np.ndarray] = {}
+_PATHS: dict[tuple, np.ndarray] = {}
+#: Blocks of a page that are read at once; longer pages are read piece by piece, with the states carried on.
+PIECE = 2048
 
 
 # what the labeller reads
 
 
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
+def _path_vector(path: tuple[tuple[str, ...], ...]) -> np.ndarray:
     found = _PATHS.get(path)
     if found is None:
         found = np.zeros(PATH, np.float32)
-        for f in set(path):
-            h = crc32(f.encode())
+        features = [f for element in path for f in element]
+        for f in set(features):
+            h = crc32(f.encode("utf-8", "surrogatepass"))
             found[h % PATH] += 1.0 if h >> 16 & 1 else -1.0
-        for f in path[-1:]:
-            found[crc32(b"last " + f.encode()) % PATH] += 1.0
-        if len(_PATHS) > 50_000:
+        for f in features[-1:]:
+            found[crc32(b"last " + f.encode("utf-8", "surrogatepass")) % PATH] += 1.0
+        if len(_PATHS) > 5_000:
             _PATHS.clear()
         _PATHS[path] = found
     return found
 
 
-def vectors(page: list[Block]) -> np.ndarray:
-    """One row for each block."""
-    x = np.zeros((len(page), SIZE), np.float32)
-    for i, b in enumerate(page):
-        x[i, :PATH] = _path_vector(b.path)
+def vectors(page: list[Block], start: int = 0, stop: int | None = None) -> np.ndarray:
+    """One row for each block, or for a part of them."""
+    part = page[start:stop]
+    x = np.zeros((len(part), SIZE), np.float32)
+    for row, b in enumerate(part):
+        i = start + row
+        x[row, :PATH] = _path_vector(b.path)
         words = b.text.lower().split()
         counts = np.bincount([crc32(w.encode("utf-8", "surrogatepass")) % WORDS for w in words], minlength=WORDS)
-        x[i, PATH : PATH + WORDS] = counts / np.sqrt((counts * counts).sum())
+        x[row, PATH : PATH + WORDS] = counts / np.sqrt((counts * counts).sum())
         n = len(b.text)
         ends = sum(b.text.count(c) for c in ".!?,;:")
-        x[i, PATH + WORDS :] = (np.log1p(n) / 6, np.log1p(len(words)) / 4, min(1.0, b.linked / n), min(1.0, 10 * ends / n), i / len(page), 1.0 / (1 + i), 1.0 / (len(page) - i), np.log1p(len(page)) / 5)
+        x[row, PATH + WORDS :] = (np.log1p(n) / 6, np.log1p(len(words)) / 4, min(1.0, b.linked / n), min(1.0, 10 * ends / n), i / len(page), 1.0 / (1 + i), 1.0 / (len(page) - i), np.log1p(len(page)) / 5)
     return x
 
 
@@ -85,11 +91,11 @@ class Labeller:
         self.w["v"] = (rng.standard_normal(2 * HIDDEN) * 0.2).astype(np.float32)
         self.w["o"] = np.zeros(1, np.float32)
 
-    def _forward(self, x: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
-        """States (time, batch, hidden) of the inputs (time, batch, size)."""
+    def _forward(self, x: np.ndarray, d: str, keep: bool, state: list | None = None) -> tuple[np.ndarray, list]:
+        """States (time, batch, hidden) of the inputs (time, batch, size); ``state`` [h, c] is carried on from piece to piece."""
         steps, n, _ = x.shape
         z_all = (x.reshape(-1, SIZE) @ self.w[f"w{d}"]).reshape(steps, n, -1) + self.w[f"c{d}"]
-        h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+        h, c = state or (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
         out, tape = np.empty((steps, n, HIDDEN), np.float32), []
         for t in range(steps):
             z = z_all[t] + h @ self.w[f"u{d}"]
@@ -103,6 +109,8 @@ class Labeller:
                 tape.append((i, f, o, g, before, s, h))
             h = o * s
             out[t] = h
+        if state is not None:
+            state[:] = h, c
         return out, tape
 
     def _backward(self, x: np.ndarray, d: str, tape: list, grad: np.ndarray, into: dict[str, np.ndarray]) -> None:
@@ -152,6 +160,19 @@ class Labeller:
         s = forth @ self.w["v"][:HIDDEN] + self._turned(back, lengths) @ self.w["v"][HIDDEN:] + self.w["o"]
         return [s[:n, k] for k, n in enumerate(lengths)]
 
+    def long_scores(self, page: list[Block]) -> np.ndarray:
+        """``scores`` of one page of any length: only the states' share of each score is kept."""
+        out = np.full(len(page), self.w["o"][0], np.float32)
+        cuts = list(range(0, len(page), PIECE))
+        for d, order, v in (("f", cuts, self.w["v"][:HIDDEN]), ("b", cuts[::-1], self.w["v"][HIDDEN:])):
+            state = [np.zeros((1, HIDDEN), np.float32), np.zeros((1, HIDDEN), np.float32)]
+            for at in order:
+                x = vectors(page, at, at + PIECE)
+                states, _ = self._forward((x if d == "f" else x[::-1])[:, None], d, False, state)
+                share = states[:, 0] @ v
+                out[at : at + PIECE] += share if d == "f" else share[::-1]
+        return out
+
     def step(self, pages: list[np.ndarray], labels: list[np.ndarray]) -> tuple[float, dict[str, np.ndarray]]:
         """Mean logistic loss, and its gradients."""
         x, y, mask = self._padded(pages)
@@ -219,8 +240,8 @@ def _links(rng: random.Random, n: int) -> str:
     return (" | " if kind < 0.8 else "").join(f"<a href='/{w}'>{w}</a>" if kind < 0.8 else f"<div><a href='/{w}'>{w} {_word(rng)}</a></div>" for w in words)
 
 
-def _noise(rng: random.Random, names: list[str]) -> str:
-    opening = rng.choice(names)
+def _noise(rng: random.Random, names: list[str], plain: bool = False) -> str:
+    opening = rng.choice(["<div>", "<div>", "<p>", "<td>"]) if plain else rng.choice(names)
     opening = opening.replace(">", " data-mark=\"0\">", 1)
     if names is MENU or names is SHARE:
         inner = _links(rng, rng.randint(2, 9))
@@ -231,7 +252,7 @@ def _noise(rng: random.Random, names: list[str]) -> str:
         kind = rng.choice(["<div class='comment'>", "<li>", "<article class='comment'>", "<div>", "<div class='reply'>", "<p>"])
         inner = (f"<h3>{rng.randint(1, 40)} {rng.choice(STOCK)}</h3>" if rng.random() < 0.5 else "") + "".join(f"{kind}<b>{_word(rng)}</b> <p>{_prose(rng, rng.randint(2, 50))}</p>{_ending(kind)}" for _ in range(rng.randint(1, 6)))
     elif names is FOOTER:
-        inner = f"&copy; {rng.choice(['2020 ', ''])}{_word(rng)}.example {rng.choice(['&middot;', '|', '-'])} {_prose(rng, rng.randint(1, 18))}" + (_links(rng, 4) if rng.random() < 0.4 else "")
+        inner = f"{rng.choice(['&copy;', '&copy;', '&copy;', 'Copyright', 'Copyright &copy;', '(c)'])} {rng.choice([f'{rng.randint(1998, 2030)} ', ''])}{_word(rng)}.example {rng.choice(['', '', 'All rights reserved. '])}{rng.choice(['&middot;', '|', '-'])} {_prose(rng, rng.randint(1, 18))}" + (_links(rng, 4) if rng.random() < 0.4 else "")
     elif names is SIDE and rng.random() < 0.6:
         inner = (f"<h3>{_prose(rng, 2)}</h3>" if rng.random() < 0.6 else "") + _links(rng, rng.randint(2, 6))
     else:
@@ -240,8 +261,8 @@ def _noise(rng: random.Random, names: list[str]) -> str:
     return opening + inner + _ending(opening)
 
 
-def _article(rng: random.Random) -> str:
-    opening = rng.choice(MAIN) if rng.random() < 0.6 else "<article>"
+def _article(rng: random.Random, opening: str | None = None) -> str:
+    opening = opening or (rng.choice(MAIN) if rng.random() < 0.6 else "<article>")
     out = [opening.replace(">", " data-mark=\"1\">", 1)]
     if rng.random() < 0.75:
         out.append(f"<h1>{_prose(rng, rng.randint(1, 12))}</h1>")
@@ -253,6 +274,8 @@ def _article(rng: random.Random) -> str:
             few = [_word(rng) for _ in range(rng.choice((1, 1, 2, 6)))]
             text = " ".join((few * 60)[: rng.randint(2, 60)])
             text = text.upper() if junk < 0.02 else text.replace(" ", rng.choice(["*** ", "$$$ ", "!! ", " "]))
+        elif junk < 0.1:  # a notice that is part of the article
+            text = " ".join(sorted([rng.choice(STOCK) for _ in range(rng.randint(1, 5))] + [_word(rng) for _ in range(rng.randint(1, 8))], key=lambda _: rng.random())).capitalize() + "."
         kind = rng.random()
         if ragged and kind < 0.4:
             out.append(f"<p><b>{text}<br>")
@@ -280,6 +303,10 @@ def _article(rng: random.Random) -> str:
 def training_page(rng: random.Random) -> str:
     """A page whose blocks carry their label in ``data-mark``."""
     some = lambda p, names: _noise(rng, names) if rng.random() < p else ""
+    if rng.random() < 0.07:  # nothing is named: only what can be told by its words and links
+        plain = lambda p, names: _noise(rng, names, True) if rng.random() < p else ""
+        body = plain(0.7, MENU) + plain(0.2, FORM) + _article(rng, rng.choice(["<div>", "<div>", "<td>", "<article>", "<main>"])) + plain(0.3, MENU) + plain(0.8, FOOTER)
+        return f"<html><head><title>{_prose(rng, 4)}</title></head><body data-mark=\"0\">{body}</body></html>"
     before = [some(0.4, HEADER), some(0.75, MENU), some(0.3, NOTICE), some(0.5, ADVERT), some(0.25, FORM), some(0.2, SIDE)]
     after = [some(0.3, SIDE), some(0.3, COMMENT), some(0.3, ADVERT), some(0.2, FORM), some(0.2, NOTICE), some(0.15, MENU), some(0.75, FOOTER), some(0.1, NOTICE)]
     if rng.random() < 0.3:
@@ -329,9 +356,15 @@ def extract(pages: list[str | None], net: Labeller) -> list[str]:
     order = sorted((i for i in range(len(pages)) if parsed[i]), key=lambda i: len(parsed[i]))
     at = 0
     while at < len(order):
+        if len(parsed[order[at]]) > PIECE:
+            i = order[at]
+            out[i] = "\n".join(b.text for b, x in zip(parsed[i], net.long_scores(parsed[i]), strict=True) if x > 0)
+            parsed[i] = []
+            at += 1
+            continue
         n = max(1, min(64, 12_000 // len(parsed[order[at]])))
         group = order[at : at + n]
-        while len(group) > 1 and len(parsed[group[-1]]) > 1.5 * len(parsed[group[0]]) + 8:
+        while len(group) > 1 and len(parsed[group[-1]]) > min(PIECE, 1.5 * len(parsed[group[0]]) + 8):
             group.pop()
         for i, s in zip(group, net.scores([vectors(parsed[i]) for i in group]), strict=True):
             out[i] = "\n".join(b.text for b, x in zip(parsed[i], s, strict=True) if x > 0)

@@ -5,6 +5,7 @@ import html
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -28,6 +29,36 @@ def test_blocks_of_ragged_html():
     assert [b.text for b in html_blocks.blocks("a < b <p class='x")] == ["a < b <p class='x"]
 
 
+def test_formulas_and_media_stay_in_their_sentence(net):
+    page = "<article><p>We know that <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds.</p><p>See <video><source src=x>the film</video> <svg><text>no</text></svg>here.</p></article>"
+    assert [b.text for b in html_blocks.blocks(page)] == ["We know that x=1 holds.", "See the film here."]
+    assert [b.text for b in html_blocks.blocks("<p>a <math><mi>x<p>b<svg><text>no<div>c")] == ["a x", "b", "c"]
+    plain = "<body><div>Home | About</div><div><p>The river rose quickly after the storm and the town was flooded.</p><p>People moved to the hills, and nobody was hurt in the end.</p></div><div>Copyright 2020 Example Inc. All rights reserved.</div>"
+    assert html_extract.extract([plain], net) == ["The river rose quickly after the storm and the town was flooded.\nPeople moved to the hills, and nobody was hurt in the end."]
+
+
+@pytest.mark.parametrize(("part", "found"), [("<a ", 1), ("<div>x", 1), ('<a "', 1), ("<a '>", 0), ("<span></b>", 0), ("<!--", 0), ("<p>x<![CDATA[", 1), ("<table><tr><td>y", 1), ("<b><i>z</p></b>", 1), ("</p>", 0)])
+def test_blocks_take_linear_time(part, found):
+    took = []
+    for n in (4000, 40_000):
+        began = time.process_time()
+        made = html_blocks.blocks(part * n)
+        took.append(time.process_time() - began)
+        assert bool(made) == bool(found)
+    assert took[1] < 40 * max(took[0], 0.02)  # ten times the page; a quadratic reader takes a hundred times as long
+
+
+def test_long_pages_are_labelled_as_a_whole(net, monkeypatch):
+    rng = random.Random(4)
+    pages = [html_blocks.blocks(html_extract.training_page(rng)) for _ in range(12)]
+    monkeypatch.setattr(html_extract, "PIECE", 7)
+    for page in pages:
+        if page:
+            assert np.allclose(net.long_scores(page), net.scores([html_extract.vectors(page)])[0], atol=1e-3)
+    deep = "<div>" * 3000 + "<p>Words in the deep.</p>" + "</div>" * 3000
+    assert len(html_blocks.blocks(deep)) == 1 and len(html_blocks.blocks(deep)[0].path) == html_blocks.OUTER + html_blocks.INNER
+
+
 def test_labeller_gradients():
     net = html_extract.Labeller(3)
     rng = np.random.default_rng(0)
@@ -68,12 +99,12 @@ def test_extraction_of_the_tables(spark, net):
 
 
 def test_extraction_edges(spark, net):
-    long = "<article>" + "<p>Some words of text, and more.</p>" * 3000 + "</article>"
+    long = "<article>" + "<p>Some words of text, and more.</p>" * 30_000 + "</article>"
     rows = [(1, "u", None, "old"), (2, None, "", "old"), (3, "u", long, None), (3, "u", long, None)]
     df = spark.createDataFrame(rows, "page_id int, url string, html string, text string")
     out = html_extract.main_text(df).orderBy("page_id").collect()
     assert [(r["text"], r["n_chars"]) for r in out[:2]] == [("", 0), ("", 0)]
-    assert out[2] == out[3] and out[2]["text"].count("\n") == 2999
+    assert out[2] == out[3] and out[2]["text"].count("\n") == 29_999
     assert html_extract.main_text(df.where("false")).count() == 0
 
 
