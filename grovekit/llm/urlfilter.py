@@ -4,14 +4,19 @@ A rule (action, host, path) fits the host and its subdomains where the url's
 path starts with the rule's; the longest fitting rule decides (at equal length,
 allow before block).  A url that no rule fits takes its decision from its
 aliases: the urls reachable over redirect edges (``<meta http-equiv=refresh>``)
-and canonical-link edges (``<link rel=canonical>``, ``og:url``), as connected
-components computed by Spark.  In a component with a blocked member such urls
+and canonical-link edges (``<link rel=canonical>``), as connected components
+computed by Spark.  In a component with a blocked member such urls
 are blocked, unless a member is explicitly allowed: an explicit allow takes
 precedence over block, both for the url itself and for what is propagated.
 
-Two urls are one node when host (A-Z lower-cased), path and query agree; scheme
-and fragment don't count.  A target that is relative is resolved against the
-page's host.  Targets need not be pages themselves.
+Two urls are one node when host (A-Z lower-cased), path (without ``.`` and
+``..`` segments) and query agree; scheme and fragment don't count.  Character
+references in a target are decoded (numeric ones and the five of XML); a
+relative target is resolved against the page's ``<base href>``, or else its url:
+``//host``, ``/path``, ``path``, ``../path``, ``?query``; an empty target or a
+fragment is the page itself.  Targets of other schemes (``mailto:``) make no
+edge, and neither do tags within comments, scripts, styles, templates, titles or
+text areas.  Targets need not be pages themselves.
 
 Defined results: a null url or one without ``://`` has an empty host and path,
 no alias, and is allowed unless a rule with an empty host fits; a null html has
@@ -68,9 +73,20 @@ def _query_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1), F.lit(""))
 
 
+def _plain_path(path: Column) -> Column:
+    """Without ``.`` and ``..`` segments."""
+    parts = F.split(F.substring(path, 2, 1 << 30), "/")
+    dots = F.when((F.element_at(parts, -1) == ".") | (F.element_at(parts, -1) == ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    walked = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda seen, x: F.when(x == "..", F.slice(seen, 1, F.greatest(F.size(seen) - 1, F.lit(0)))).when(x == ".", seen).otherwise(F.concat(seen, F.array(x))),
+    )
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(F.concat(walked, dots), "/"))).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
     """The url's node: //host/path?query; null without a host."""
-    host, path = host_of(url), path_of(url)
+    host, path = host_of(url), _plain_path(path_of(url))
     return F.when(host != "", F.concat(F.lit("//"), host, F.when(path == "", "/").otherwise(path), _query_of(url)))
 
 
@@ -105,24 +121,61 @@ def judge_rules(urls: DataFrame, rules: list[Rule]) -> DataFrame:
     return urls.join(best, ["host", "path"], "left")
 
 
+#: What holds no tags, and an attribute's value with its quotes.
+_NO_TAGS = r"(?is)<!--.*?(?:-->|$)|<(script|style|template|title|textarea)\b[^>]*+>.*?(?:</\1\b[^>]*+>|$)"
+_TAG = r"(?is)<%s\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+_VALUE = r"\s*=\s*(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++)"
+_XML = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of a tag's attribute, decoded and trimmed; empty if it has none."""
+    raw = F.regexp_replace(F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}{_VALUE}", 1), r"^[\"']|[\"']$", "")
+    pieces = F.regexp_extract_all(raw, F.lit(r"&#[xX][0-9a-fA-F]{1,6};|&#[0-9]{1,7};|&[a-z]{2,4};|[^&]+|&"), F.lit(0))
+
+    def decoded(x: Column) -> Column:
+        digits = F.when(x.rlike("^&#[xX]"), F.substring(x, 4, 6)).otherwise(F.substring(x, 3, 7))
+        code = F.conv(F.regexp_replace(digits, ";", ""), 10, 16)
+        code = F.when(x.rlike("^&#[xX]"), F.regexp_replace(digits, ";", "")).otherwise(code)
+        out = F.when(x.rlike("^&#.+;$"), F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"))
+        for ref, sign in _XML.items():
+            out = out.when(x == f"&{ref};", sign)
+        return out.otherwise(x)
+
+    return F.trim(F.regexp_replace(F.array_join(F.transform(pieces, decoded), ""), r"[\x09-\x0d]", ""))
+
+
+def resolve(base: Column, to: Column) -> Column:
+    """The target as a whole url; null for other schemes."""
+    root = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*", 0)
+    path = path_of(base)
+    folder = F.when(path.contains("/"), F.regexp_extract(path, r"(?s)^.*/", 0)).otherwise("/")
+    return (
+        F.when(to.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), to)
+        .when(to.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(to.startswith("//"), F.concat(F.lit("http:"), to))
+        .when((to == "") | to.startswith("#"), base)
+        .when(to.startswith("/"), F.concat(root, to))
+        .when(to.startswith("?"), F.concat(root, path, to))
+        .otherwise(F.concat(root, folder, to))
+    )
+
+
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(u, v): nodes joined by a redirect or a canonical link."""
-    page, text = F.col(url), F.col(html)
-    tag = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    links = F.filter(tag(r"(?is)<link\b[^>]*>"), lambda t: t.rlike(r"(?i)\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b"))
-    metas = tag(r"(?is)<meta\b[^>]*>")
-    refresh = F.filter(metas, lambda t: t.rlike(r"(?i)http-equiv\s*=\s*[\"']?refresh"))
-    og = F.filter(metas, lambda t: t.rlike(r"(?i)\bproperty\s*=\s*[\"']?og:url"))
-    take = lambda tags, pattern: F.transform(tags, lambda t: F.regexp_extract(t, pattern, 1))
-    value = r"\s*=\s*[\"']?\s*([^\"'>\s]+)"
+    linking = pages.where(F.col(html).rlike(r"(?i)canonical|refresh")).select(F.col(url).alias("url"), F.regexp_replace(F.col(html), _NO_TAGS, " ").alias("html"))
+    tags = lambda name: F.regexp_extract_all("html", F.lit(_TAG % name), F.lit(0))
+    canonical = F.filter(tags("link"), lambda t: (F.concat(F.lit(" "), F.lower(_attribute(t, "rel")), F.lit(" "))).rlike(r"\scanonical\s"))
+    refresh = F.filter(tags("meta"), lambda t: F.lower(_attribute(t, "http-equiv")) == "refresh")
+    after = r"(?is)^\s*[0-9.]*\s*[;,]?\s*url\s*=\s*(.*)$"
     targets = F.concat(
-        take(links, r"(?i)\bhref" + value), take(og, r"(?i)\bcontent" + value),
-        take(refresh, r"(?i)content\s*=\s*[\"']?[^\"'>]*?url\s*=\s*[\"']?\s*([^\"'>\s]+)"),
+        F.transform(canonical, lambda t: _attribute(t, "href")),
+        F.transform(F.filter(F.transform(refresh, lambda t: _attribute(t, "content")), lambda c: c.rlike(after)), lambda c: F.trim(F.regexp_replace(F.regexp_extract(c, after, 1), r"^[\"']|[\"'].*$", ""))),
     )
-    found = pages.where(text.rlike(r"(?i)canonical|refresh|og:url")).select(page.alias("url"), F.explode(targets).alias("to")).where("to <> ''")
-    to = F.regexp_replace("to", "&amp;", "&")
-    whole = F.when(to.contains("://"), to).when(to.startswith("//"), F.concat(F.lit("http:"), to)).when(to.startswith("/"), F.concat(F.lit("http://"), host_of(F.col("url")), to))
-    return found.select(node_of(F.col("url")).alias("u"), node_of(whole).alias("v")).where("u is not null and v is not null and u <> v")
+    base = F.coalesce(_attribute(F.get(tags("base"), F.lit(0)), "href"), F.lit(""))
+    found = linking.select("url", base.alias("base"), F.explode(targets).alias("to"))
+    whole = resolve(F.coalesce(resolve(F.col("url"), F.col("base")), F.col("url")), F.col("to"))
+    return found.select(node_of(F.col("url")).alias("u"), node_of(F.when(F.col("to") == "", F.col("url")).otherwise(whole)).alias("v")).where("u is not null and v is not null and u <> v")
 
 
 def judge(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "html") -> DataFrame:
