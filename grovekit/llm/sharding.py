@@ -9,8 +9,11 @@
   shuffled.  It repeats until no tier has enough shards, then commits once.
 * A commit writes ``manifest-<version>.json`` under a temporary name and renames
   it without overwriting: either a whole version is there or none.  A writer
-  that loses the race retries on the newer version.  Shards that no manifest
-  names (of failed or superseded work) are removed by ``vacuum``.
+  that loses the race retries on the newer version.  A commit makes sure that
+  the shards it adds are still there.
+* ``vacuum`` removes shards that no retained version names, once they are older
+  than any writer may take from writing a shard to committing it, and the
+  manifests of versions that aren't retained.
 
 Only the manifest (one entry for each file, never for each document) is held by
 the driver.  Defined results: an empty arrival adds no shard; null values,
@@ -21,6 +24,7 @@ arrival must have the columns of the store.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -43,7 +47,7 @@ class Shard:
 
 
 class ConflictError(RuntimeError):
-    """Another writer committed this version first."""
+    """Another writer committed this version first, or shards to be committed are gone."""
 
 
 class ShardStore:
@@ -75,8 +79,18 @@ class ShardStore:
     def shards(self, version: int | None = None) -> list[Shard]:
         return [Shard(**s) for s in self.manifest(version)[1]["shards"]]
 
-    def _commit(self, version: int, schema: str, shards: list[Shard]) -> int:
+    def _files(self, folder: str) -> dict[str, tuple[int, int]]:
+        """(bytes, time of writing in ms) of the shards in a folder below the root."""
+        fs, p = scratch.filesystem(self.spark, f"{self.root}/{folder}")
+        listed = fs.listStatus(p) if fs.exists(p) else []
+        return {s.getPath().getName(): (s.getLen(), s.getModificationTime()) for s in listed if s.getPath().getName().endswith(".parquet")}
+
+    def _commit(self, version: int, schema: str, kept: list[Shard], added: list[Shard]) -> int:
         """Makes ``version + 1`` of the given shards, or raises ConflictError."""
+        shards = kept + added
+        there = {f"{folder}/{name}" for folder in {s.path.rsplit("/", 1)[0] for s in added} for name in self._files(folder)}
+        if lost := [s.path for s in added if s.path not in there]:
+            raise ConflictError(f"{len(lost)} shards were removed before they were committed, the first {lost[0]}")
         name = f"{self.root}/manifests/manifest-{version + 1:08d}.json"
         fs, final = scratch.filesystem(self.spark, name)
         _, draft = scratch.filesystem(self.spark, f"{self.root}/manifests/.draft-{uuid.uuid4().hex}")
@@ -92,7 +106,7 @@ class ShardStore:
         except Exception as e:
             fs.delete(draft, False)
             if fs.exists(final):
-                raise ConflictError(name) from e
+                raise FileExistsError(name) from e
             raise
         return version + 1
 
@@ -102,8 +116,7 @@ class ShardStore:
         """Writes ``df`` as one shard for each non-empty task."""
         folder = f"shards/{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{folder}")
-        fs, p = scratch.filesystem(self.spark, f"{self.root}/{folder}")
-        sizes = {s.getPath().getName(): s.getLen() for s in fs.listStatus(p) if s.getPath().getName().endswith(".parquet")}
+        sizes = {f: n for f, (n, _) in self._files(folder).items()}
         stored = self.spark.read.schema(df.schema).parquet(f"{self.root}/{folder}")
         rows = {r["f"]: r["n"] for r in stored.groupBy(F.col("_metadata.file_name").alias("f")).agg(F.count("*").alias("n")).collect()}
         return [Shard(f"{folder}/{f}", n, rows[f], level) for f, n in sorted(sizes.items()) if rows.get(f)]
@@ -116,8 +129,8 @@ class ShardStore:
             if now["schema"] not in (None, df.schema.json()):
                 raise ValueError("the arrival's columns are not the store's")
             try:
-                return self._commit(version, df.schema.json(), [*(Shard(**s) for s in now["shards"]), *made])
-            except ConflictError:
+                return self._commit(version, df.schema.json(), [Shard(**s) for s in now["shards"]], made)
+            except FileExistsError:
                 continue
 
     def tier(self, n_bytes: int) -> int:
@@ -160,22 +173,35 @@ class ShardStore:
             lost = set(start) - set(current)
             if lost:
                 raise ConflictError("shards were compacted by another writer")
-            arrived = [s for s in current if s not in set(start)]
+            before = set(start)
+            kept = [s for s in shards if s in before] + [s for s in current if s not in before]
             try:
-                return self._commit(version, now["schema"], shards + arrived)
-            except ConflictError:
+                return self._commit(version, now["schema"], kept, [s for s in shards if s not in before])
+            except FileExistsError:
                 continue
 
-    def vacuum(self) -> int:
-        """Removes shard files that the newest manifest doesn't name; their number."""
-        named = {s.path for s in self.shards()}
-        fs, p = scratch.filesystem(self.spark, f"{self.root}/shards")
-        gone = 0
+    def vacuum(self, keep_versions: int = 10, min_age_seconds: float = 7 * 86400) -> int:
+        """Removes what no longer counts; the number of shards removed.
+
+        The newest ``keep_versions`` versions stay readable.  A shard that none
+        of them names goes when it is older than ``min_age_seconds``, which must
+        exceed the longest time from a shard's writing to its commit.
+        """
+        newest = self.version()
+        oldest = max(1, newest - keep_versions + 1)
+        named = {s.path for v in range(oldest, newest + 1) for s in self.shards(v)}
+        fs, manifests = scratch.filesystem(self.spark, f"{self.root}/manifests")
+        for s in fs.listStatus(manifests) if fs.exists(manifests) else []:
+            name = s.getPath().getName()
+            if name.startswith("manifest-") and int(name[9:-5]) < oldest:
+                fs.delete(s.getPath(), False)
+        _, p = scratch.filesystem(self.spark, f"{self.root}/shards")
+        now, gone = time.time() * 1000, 0
         for folder in fs.listStatus(p) if fs.exists(p) else []:
-            for s in fs.listStatus(folder.getPath()):
-                name = s.getPath().getName()
-                if name.endswith(".parquet") and f"shards/{folder.getPath().getName()}/{name}" not in named:
-                    gone += bool(fs.delete(s.getPath(), False))
+            at = f"shards/{folder.getPath().getName()}"
+            for name, (_, written) in self._files(at).items():
+                if f"{at}/{name}" not in named and now - written >= 1000 * min_age_seconds:
+                    gone += bool(fs.delete(scratch.filesystem(self.spark, f"{self.root}/{at}/{name}")[1], False))
         return gone
 
     def read(self, version: int | None = None) -> DataFrame:
@@ -192,18 +218,23 @@ class ShardStore:
         return df.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_metadata.file_name").alias("shard"))
 
 
-def shard(docs: DataFrame, target_bytes: int = 64 << 20, fanin: int = 4) -> tuple[ShardStore, DataFrame]:
-    """Appends ``docs`` to a new store in the shared folder and compacts it: the store, and its rows with shard columns.
+def shard(docs: DataFrame, key: str = "doc_id", arrivals: int = 3, target_bytes: int = 64 << 20, fanin: int = 4) -> tuple[ShardStore, DataFrame]:
+    """Stores ``docs`` in a new store in the shared folder: the store, and its rows with shard columns.
 
-    A column named as one of the added ones (``shard``, ``shard_version``,
-    ``shard_level``, ``shard_rows``, ``shard_bytes``) is replaced.
+    The rows come in ``arrivals`` parts, dealt by a hash of ``key`` (nulls
+    together); the store is compacted after each.  As nobody else writes to this
+    store, what a compaction has replaced is removed at once.  A column named as
+    one of the added ones (``shard``, ``shard_version``, ``shard_level``,
+    ``shard_rows``, ``shard_bytes``) is replaced.
     """
     spark = docs.sparkSession
     own = ["shard", "shard_version", "shard_level", "shard_rows", "shard_bytes"]
     store = ShardStore(spark, scratch.fresh(spark, "store"), target_bytes, fanin)
-    store.append(docs.select([c for c in docs.columns if c not in own]))
-    version = store.compact()
-    store.vacuum()
+    kept = docs.select([c for c in docs.columns if c not in own])
+    for n in range(arrivals):
+        store.append(kept.where(F.pmod(F.xxhash64(F.col(key)), F.lit(arrivals)) == n))
+        version = store.compact()
+        store.vacuum(keep_versions=1, min_age_seconds=0)
     table = [(s.path.rsplit("/", 1)[1], s.level, s.n_rows, s.n_bytes) for s in store.shards(version)]
     info = spark.createDataFrame(table, "shard string, shard_level int, shard_rows long, shard_bytes long")
     # one row for each file, so about 200 bytes for each target_bytes of data
