@@ -1,31 +1,37 @@
 """Line deduplication by pairwise alignment.
 
-1. *Overlapping documents.*  The hashes of a document's lines (trimmed, of
-   ``min_words`` words or more) are counted over all documents.  A line that two
-   or more documents share is owned by the first of them (the least doc_id); the
-   document and the owner are a pair.  A line has one owner however many share
-   it, so a frequent line nominates no more pairs for a document than a rare
-   one, and no line has to be left out for its frequency.
-2. *Alignment.*  Pairs are aligned on the lines that are rarest between them,
-   those that are unique in both documents, by patience diff: the longest run of
-   them in the same order is kept, equal ends are matched, and the gaps between
-   are aligned in the same way.  A gap all of whose common lines repeat is
-   aligned by their longest common subsequence.  In each gap lines of
-   ``min_block_words`` words or more come before shorter ones.
+1. *Overlapping documents.*  What can be deleted is a run of lines with
+   ``min_block_words`` words or more, so the shortest such runs, mostly single
+   lines, are hashed (lines are trimmed) and counted over all documents.  A run
+   that at most ``RARE`` documents share pairs each of them with all before it.
+   A more frequent one pairs each document with the first that holds it (the
+   least doc_id), so it nominates no more pairs for a document than a rare one,
+   and none has to be left out for its frequency.
+2. *Alignment.*  Pairs are aligned by patience diff: the longest run of lines
+   that are unique in both documents and in the same order is kept, equal ends
+   are matched, and the gaps between are aligned in the same way.  A gap all of
+   whose common lines repeat is aligned by their longest common subsequence.  In
+   each gap lines of ``min_block_words`` words or more come before shorter ones.
 3. *Deletion.*  Aligned common blocks of at least ``min_block_words`` words are
-   deleted from the later document (the greater doc_id), and so are its further
-   copies of aligned lines, wherever a run of so many words stands that the
-   owner holds as a run.  Shared lines that are aligned nowhere, because the two
-   documents hold them in another order, stay.
+   deleted from the later document (the greater doc_id).  What the alignment
+   passes by, because it stands in another order or is a further copy, is
+   deleted as well where a run of so many words stands that the earlier document
+   holds as a run.
+
+So a line that isn't blank is deleted exactly if it lies in a run of
+``min_block_words`` words or more that an earlier document holds as a run: the
+first document with the run is always among those that are aligned.
 
 Only hashes of lines travel between documents.  Lines are whole, and each pair
-is aligned whole.
+is aligned whole.  A document that thousands of others overlap with is dealt out
+with its partners in parts of bounded size.
 
 Defined results: rows with a null text or doc_id, and texts without a long
-enough line, are returned as they are with 0 lines removed; rows that repeat
-doc_id and text are one document and cleaned alike; of rows with one doc_id and
-different texts, the order is by the texts' hash; a text all of whose lines go
-becomes empty; columns named as the added ones are replaced.
+enough run, are returned as they are with 0 lines removed; a line that both
+documents hold several times goes from the later one wherever it stands there;
+rows that repeat doc_id and text are one document and cleaned alike; of rows
+with one doc_id and different texts, the order is by the texts' hash; a text all
+of whose lines go becomes empty; columns named as the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -40,7 +46,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grovekit.llm import scratch
+from grovekit.llm.dealing import dealt
+from grovekit.llm.hashing import mix
 
+#: A run that so many documents hold pairs all of them.
+RARE = 4
 #: Bits of the table kept for tracing a longest common subsequence.
 TABLE_BITS = 1 << 27
 
@@ -188,35 +198,57 @@ def _windows(lines: list[int], words: list[int], least: int) -> Iterator[tuple[i
                 yield (order[first], i + 1) if step == 1 else (i, order[first] + 1)
 
 
-def _copies(later: np.ndarray, words: np.ndarray, owner: np.ndarray, aligned: set[int], gone: np.ndarray, least: int) -> None:
-    """Marks in ``gone`` all copies of aligned lines: runs of ``least`` words or more that the owner holds as a run."""
+def run_keys(lines: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
+    """A hash for each shortest run of ``least`` words or more; that of a single line is the line's own."""
+    made: set[int] = set()
+    for i, j in set(_windows(lines.tolist(), words.tolist(), least)):
+        key = lines[i : i + 1].astype(np.int64).view(np.uint64)
+        for x in lines[i + 1 : j].astype(np.int64).view(np.uint64):
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) ^ x)
+        made.add(int(key.view(np.int64)[0]))
+    return np.array(sorted(made), np.int64)
+
+
+def _passed_by(later: np.ndarray, words: np.ndarray, owner: np.ndarray, gone: np.ndarray, least: int) -> None:
+    """Marks in ``gone`` what no block holds: runs of ``least`` words or more of common lines that the owner holds as a run."""
     count = dict(zip(later.tolist(), words.tolist(), strict=True))
-    left = [(count[x] if x in aligned else -1) for x in later.tolist()]
-    if not any(n >= 0 and not g for n, g in zip(left, gone.tolist(), strict=True)):
-        return
     mine, theirs = later.tolist(), owner.tolist()
-    held = {tuple(theirs[i:j]) for i, j in _windows(theirs, [count[x] if x in aligned else -1 for x in theirs], least)}
+    common = count.keys() & set(theirs)
+    left = [(count[x] if x in common else -1) for x in mine]
+    if not any(n > 0 and not g for n, g in zip(left, gone.tolist(), strict=True)):
+        return
+    held = {tuple(theirs[i:j]) for i, j in _windows(theirs, [count[x] if x in common else -1 for x in theirs], least)}
     for i, j in _windows(mine, left, least):
         if tuple(mine[i:j]) in held:
             gone[i:j] = True
 
 
 def removed_lines(later: np.ndarray, words: np.ndarray, owners: list[np.ndarray], min_block_words: int) -> np.ndarray:
-    """Places of the later document's lines that lie in an aligned block with an owner, or are further copies of such lines."""
+    """Places of the later document's lines that lie in an aligned block with an owner, or in a run that the alignment passes by."""
     gone = np.zeros(len(later), bool)
     long_lines = set(later[words >= min_block_words].tolist())
     for owner in owners:
-        mine, aligned = np.zeros(len(later), bool), set()
+        mine = np.zeros(len(later), bool)
         for start, _, n in patience(later, owner, long_lines):
-            aligned.update(later[start : start + n].tolist())
             if words[start : start + n].sum() >= min_block_words:
                 mine[start : start + n] = True
-        _copies(later, words, owner, aligned, mine, min_block_words)
+        _passed_by(later, words, owner, mine, min_block_words)
         gone |= mine
     return np.flatnonzero(gone)
 
 
-def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5, min_block_words: int = 5) -> DataFrame:
+def overlapping(keyed: DataFrame) -> DataFrame:
+    """(a, b): pairs of an earlier and a later document, from ``keyed(d, r, keys)``."""
+    held = keyed.select("d", "r", F.explode("keys").alias("key")).distinct()
+    shared = held.groupBy("key").agg(F.min_by("r", F.struct("d", "r")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    met = held.join(shared, "key")
+    rare = met.where(F.col("n") <= RARE)
+    earlier, later = rare.select("key", F.col("d").alias("d0"), F.col("r").alias("a")), rare.select("key", F.col("d").alias("d1"), F.col("r").alias("b"))
+    among = earlier.join(later, "key").where("d0 < d1 or (d0 = d1 and a < b)").select("a", "b")
+    return met.where((F.col("n") > RARE) & (F.col("r") != F.col("first"))).select(F.col("first").alias("a"), F.col("r").alias("b")).union(among).distinct()
+
+
+def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", min_block_words: int = 5) -> DataFrame:
     """``docs``' columns with the cleaned text, ``n_lines`` and ``removed`` (places of deleted lines)."""
     own = [c for c in docs.columns if c not in ("n_lines", "removed")]
     keyed = docs.select(*own).withColumn("__row", F.xxhash64(F.col(key), F.col(text)))
@@ -229,32 +261,38 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words:
         F.transform("l", lambda x: F.xxhash64(x)).alias("h"),
         F.transform("l", lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, " +")))).alias("w"),
     )
-    hashed, _ = scratch.settle(hashed, "lines")
 
-    long_lines = F.array_distinct(F.transform(F.filter(F.arrays_zip("h", "w"), lambda z: z["w"] >= min_words), lambda z: z["h"]))
-    held = hashed.select("d", "r", F.explode(long_lines).alias("line")).distinct()
-    owners = held.groupBy("line").agg(F.min_by("r", F.struct("d", "r")).alias("owner"), F.count("*").alias("n")).where("n > 1")
-    pairs = held.join(owners, "line").where("r <> owner").select("r", "owner").distinct()
-    pairs, _ = scratch.settle(pairs, "pairs")
-    one = hashed.groupBy("r").agg(F.first("h").alias("h"), F.first("w").alias("w"))  # rows that repeat are equal
-    owned = pairs.join(one.select(F.col("r").alias("owner"), F.col("h").alias("oh")), "owner")
-    joined = owned.join(one, "r").select("r", "h", "w", "oh")
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(keys=[run_keys(np.asarray(h), np.asarray(w), min_block_words) for h, w in zip(batch["h"], batch["w"], strict=True)])
+
+    hashed, lines_path = scratch.settle(hashed.mapInPandas(runs, "d long, r long, h array<long>, w array<int>, keys array<long>"), "lines")
+    pairs, pairs_path = scratch.settle(overlapping(hashed.select("d", "r", "keys")), "pairs")
+    one = hashed.select(F.col("r").alias("node"), "h", "w").dropDuplicates(["node"])  # rows that repeat are equal
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        owner = np.empty(0, np.int64)
         for batch in batches:
             made = []
-            for r, h, w, oh in batch.itertuples(index=False):
-                gone = removed_lines(np.asarray(h), np.asarray(w), [np.asarray(oh)], min_block_words)
+            for is_own, r, h, w in zip(batch["own"], batch["b"], batch["h"], batch["w"], strict=True):
+                if is_own:
+                    owner = np.asarray(h)
+                    continue
+                gone = removed_lines(np.asarray(h), np.asarray(w), [owner], min_block_words)
                 if len(gone):
                     made.append((r, gone.tolist()))
             yield pd.DataFrame(made, columns=["r", "gone"])
 
-    gone = joined.mapInPandas(align, "r long, gone array<int>")
+    gone = dealt(pairs, one, "h", "w").mapInPandas(align, "r long, gone array<int>")
     gone = gone.select("r", F.explode("gone").alias("g")).groupBy("r").agg(F.sort_array(F.collect_set("g")).alias("__gone"))  # a document's own lines
-    cleaned = keyed.join(gone.withColumnRenamed("r", "__r"), F.col("__row") == F.col("__r"), "left")
-    removed = F.coalesce("__gone", F.array().cast("array<int>"))
-    parts = F.split(F.col(text), "\n")
-    kept = F.array_join(F.transform(F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda z: ~F.array_contains(F.col("__gone"), z["i"])), lambda z: z["x"]), "\n")
+    gone, _ = scratch.settle(gone, "gone")
+    scratch.drop(docs.sparkSession, lines_path, pairs_path)
+    parted = keyed.join(gone.withColumnRenamed("r", "__r"), F.col("__row") == F.col("__r"), "left").withColumn("__parts", F.split(F.col(text), "\n"))
+    count = F.coalesce(F.size("__parts"), F.lit(0))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), "__gone")
+    kept = F.array_join(F.transform(stay, lambda i: F.get("__parts", i)), "\n")
     new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept)
-    count = F.coalesce(F.size(parts), F.lit(0))
-    return cleaned.select(*[new.alias(c) if c == text else F.col(c) for c in own], F.when(F.col(text).isNull(), 0).otherwise(count).alias("n_lines"), removed.alias("removed"))
+    return parted.select(
+        *[new.alias(c) if c == text else F.col(c) for c in own], F.when(F.col(text).isNull(), 0).otherwise(count).alias("n_lines"),
+        F.coalesce("__gone", F.array().cast("array<int>")).alias("removed"),
+    )
