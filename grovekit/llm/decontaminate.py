@@ -15,12 +15,16 @@ of ``m`` characters shares ``m - q + 1 - k * q`` q-grams with it or more, on
 
 The benchmark is taken in blocks of about ``BLOCK_CHARS`` characters: a block's
 index is broadcast (about 40 bytes a character), and each block is one pass over
-the documents.
+the documents, with one block's index in the workers at a time.
 
-Defined results: null or empty texts and items have no hit; an item of fewer
-than ``LEAST`` normalised characters is no evidence and isn't searched; repeated
-items and rows are reported as often as they occur, an item with a null id as
-item null; other columns are ignored, or kept by ``clean``.
+An item of fewer than ``LEAST`` normalised characters has no room for edits: it
+is found where it stands whole, between spaces, by the hashes of all runs of its
+length.
+
+Defined results: null or empty texts and items, and those without a letter or
+digit, have no hit; repeated items and rows are reported as often as they occur,
+an item with a null id as item null; a text that repeats itself gives a region
+for each place; other columns are ignored, or kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -43,6 +47,8 @@ LEAST = 24
 BLOCK_CHARS = 1_000_000
 BITS = 20
 CHUNK = 1 << 17
+#: Shared q-grams that are counted at once.
+HITS = 1 << 21
 _TABLES: list[np.ndarray] = []
 
 
@@ -74,16 +80,16 @@ def normalise(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.where(word, lower[points], np.uint32(32))[stay], stay
 
 
-def qgrams(points: np.ndarray) -> np.ndarray:
-    """Hashes of all runs of Q code points, by doubling."""
-    if len(points) < Q:
+def qgrams(points: np.ndarray, q: int = Q) -> np.ndarray:
+    """Hashes of all runs of ``q`` code points, by doubling."""
+    if len(points) < q:
         return np.empty(0, np.uint64)
     one = points.astype(np.uint64)
     h, width = one, 1
-    while width * 2 <= Q:
+    while width * 2 <= q:
         h = (h[:-width] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[width:] * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(1)) ^ (h[width:] << np.uint64(7))
         width *= 2
-    for at in range(width, Q):
+    for at in range(width, q):
         h = (h[: len(one) - at] * np.uint64(0x9E3779B97F4A7C15)) ^ one[at:]
     return mix(h)
 
@@ -142,6 +148,7 @@ class Index:
     window_of: np.ndarray
     place_of: np.ndarray
     maybe: np.ndarray
+    short: dict[int, dict[int, list[int]]]  # windows of items shorter than LEAST, by length and hash
 
     def _bands(self, points: np.ndarray) -> list[tuple[int, int, int]]:
         """(window, lowest, highest diagonal) of the bands that reach the lemma's bound."""
@@ -157,13 +164,22 @@ class Index:
         place, row = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (places, rows))
         if len(place) < int(self.need.min()):
             return []
-        many = self.first[row + 1] - self.first[row]
-        flat = np.repeat(self.first[row] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-        window, diagonal = self.window_of[flat], np.repeat(place, many) - self.place_of[flat]
-        band = (diagonal + WINDOW) // (self.edits[window] + 1)  # diagonals below 0 too
         size = len(points) + 2 * WINDOW + 4
-        code = np.concatenate([window * size + band, (window * size + band - 1)[band > 0]])
-        code, count = np.unique(code, return_counts=True)
+        many = self.first[row + 1] - self.first[row]
+        code = count = np.empty(0, np.int64)
+        ends = np.cumsum(many)
+        at = 0
+        while at < len(row):  # a part of the hits at once, as those of a text that repeats itself are many
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HITS, "right")))
+            part, r = many[at:to], row[at:to]
+            flat = np.repeat(self.first[r] - np.concatenate([[0], np.cumsum(part)[:-1]]), part) + np.arange(part.sum())
+            window, diagonal = self.window_of[flat], np.repeat(place[at:to], part) - self.place_of[flat]
+            band = (diagonal + WINDOW) // (self.edits[window] + 1)  # diagonals below 0 too
+            codes, counts = np.unique(np.concatenate([window * size + band, (window * size + band - 1)[band > 0]]), return_counts=True)
+            both = np.concatenate([code, codes])
+            code, back = np.unique(both, return_inverse=True)
+            count = np.bincount(back, np.concatenate([count, counts]), len(code)).astype(np.int64)
+            at = to
         kept = []
         for c in code[count >= self.need[code // size]].tolist():
             w, b = divmod(c, size)
@@ -172,6 +188,17 @@ class Index:
             kept.append((w, low - k, low + 2 * (k + 1) - 1 + k))
         return kept
 
+    def _whole(self, points: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(window, start, end, 0) of the short items that stand whole in the text."""
+        found = []
+        for m, held in self.short.items():
+            known = np.fromiter(held, np.uint64, len(held))
+            h = qgrams(points, m)
+            for at in np.flatnonzero(np.isin(h, known)).tolist():
+                if (at == 0 or points[at - 1] == 32) and (at + m == len(points) or points[at + m] == 32):
+                    found += [(w, at, at + m, 0) for w in held[int(h[at])] if (self.windows[w] == points[at : at + m]).all()]
+        return found
+
     def search(self, texts: Iterator[str | None]) -> list[list[tuple]]:
         """For each text its verified regions: (item_id, start, end, item_start, item_end, edits).
 
@@ -201,10 +228,12 @@ class Index:
 
         for t, text in enumerate(texts):
             out.append([])
-            if not text or not len(self.keys):
+            if not text or not self.windows:
                 continue
             points, stay = normalise(text)
-            for w, low, high in self._bands(points):
+            if whole := self._whole(points):
+                found[t], kept[t] = whole, stay
+            for w, low, high in self._bands(points) if len(self.keys) else ():
                 m = len(self.windows[w])
                 a, b = max(0, low), min(len(points), high + m)
                 if a >= b:
@@ -244,7 +273,7 @@ def build_index(items: list[tuple[int | None, str | None]]) -> Index:
     ids, windows, item_of, start_of = [], [], [], []
     for item_id, text in items:
         points, _ = normalise(text or "")
-        if len(points) < LEAST:
+        if not len(points):
             continue
         last = max(0, len(points) - WINDOW)
         for start in sorted({*range(0, last, WINDOW // 2), last}):
@@ -253,7 +282,11 @@ def build_index(items: list[tuple[int | None, str | None]]) -> Index:
             start_of.append(start)
         ids.append(item_id)
     limits = np.array([budget(len(w)) for w in windows], np.int64).reshape(-1, 2)
-    grams = [qgrams(w) for w in windows]
+    short: dict[int, dict[int, list[int]]] = {}
+    for w, points in enumerate(windows):
+        if len(points) < LEAST:
+            short.setdefault(len(points), {}).setdefault(int(qgrams(points, len(points))[0]), []).append(w)
+    grams = [qgrams(w) if len(w) >= LEAST else np.empty(0, np.uint64) for w in windows]
     h = np.concatenate([np.empty(0, np.uint64), *grams])
     window_of = np.repeat(np.arange(len(windows)), [len(g) for g in grams])
     place_of = np.concatenate([np.empty(0, np.int64), *(np.arange(len(g)) for g in grams)])
@@ -261,7 +294,8 @@ def build_index(items: list[tuple[int | None, str | None]]) -> Index:
     keys, first = np.unique(h[order], return_index=True)
     maybe = np.zeros(1 << BITS, bool)
     maybe[(keys >> np.uint64(64 - BITS)).astype(np.int64)] = True
-    return Index(ids, windows, np.array(item_of), np.array(start_of), limits[:, 1], limits[:, 0], keys, np.append(first, len(h)), window_of[order].astype(np.int64), place_of[order].astype(np.int64), maybe)
+    need = np.where([len(w) >= LEAST for w in windows], limits[:, 1], 1 << 40) if windows else limits[:, 1]
+    return Index(ids, windows, np.array(item_of), np.array(start_of), need, limits[:, 0], keys, np.append(first, len(h)), window_of[order].astype(np.int64), place_of[order].astype(np.int64), maybe, short)
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[Index]:
@@ -288,11 +322,13 @@ def _searcher(docs: DataFrame, index: Index):
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each region of a document that repeats a benchmark passage: doc_id, item_id, doc_start, doc_end, item_start, item_end, edits."""
-    found = None
+    found = before = None
     for index in _blocks(benchmark, item, item_text):
-        hits = docs.select(F.col(key).alias("doc_id"), F.explode(_searcher(docs, index)(F.col(text))).alias("h")).select("doc_id", "h.*")
-        found = hits if found is None else found.unionByName(hits)
-    return found
+        if before is not None:  # one block's index at a time in the workers
+            done, _ = scratch.settle(before, "hits")
+            found = done if found is None else found.unionByName(done)
+        before = docs.select(F.col(key).alias("doc_id"), F.explode(_searcher(docs, index)(F.col(text))).alias("h")).select("doc_id", "h.*")
+    return before if found is None else found.unionByName(before)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
