@@ -228,6 +228,6 @@ def fold(key: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % folds
 
 
-def accept(docs: DataFrame, model: LanguageModel, min_score: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` in a learned language; ``und`` and doubtful ones go."""
+def accept(docs: DataFrame, model: LanguageModel, min_score: float = 0.0, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` in a learned language; ``und`` goes, and so do scores below ``min_score``."""
     return predict(docs, model, text).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*docs.columns)
