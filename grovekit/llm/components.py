@@ -33,6 +33,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Nulls and loops are ignored.  The ids may be of any ordered type.
     """
+    return stored_components(edges, max_rounds)[0]
+
+
+def stored_components(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFrame, str]:
+    """``components`` with the path of the working table that it is read from."""
     spark = edges.sparkSession
     start = edges.where("u is not null and v is not null and u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     now, path = scratch.settle(start, "edges")
@@ -47,4 +52,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         now, path = after, new_path
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return now.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+    found = now.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+    return found, path

@@ -13,24 +13,26 @@ when ``100 * |intersection| >= percent * |union|``.  The join is exact.
    may lie there.  A set with so many empty groups that the agreeing one might
    be empty gives its ``d + 1`` least shingles too: two such sets share one.)
    A passage that many documents share doesn't fill a group, so it makes no
-   block; each block is led by its least class.
-3. *Leaders.*  Each class is verified against the leaders of its blocks.
-   Verified links give components.
-4. *R-tree.*  Classes with a leader in common are searched where they still
-   span components: an R-tree over their group counts, joined with itself,
-   yields the pairs of different components whose summed coordinate minima reach
-   the needed overlap.  They are verified, the likeliest first, and the
-   components are taken again before all that are left are searched.
-   Every pair that shares a block has then been verified, ruled out by the bound
-   or connected already.
-
-Nothing is capped: the blocks are streamed from sorted partitions, pairs within
-a component are never formed, and a class costs a row for each signature.
+   block; each block is led by one of its classes.
+3. *R-tree.*  Each class is a point of group counts.  The points of the classes
+   with one leader are indexed in R-trees of bounded size, which the leader
+   searches: the members whose summed coordinate minima reach the needed
+   overlap are verified.  Verified links give components.
+4. Classes with a leader in common are searched where they still span
+   components: their R-trees are joined, tile by tile, and yield the pairs of
+   different components that reach the needed overlap.  They are verified, the
+   likeliest first, and the components are taken again before all that are left
+   are searched.  Every pair that shares a block has then been verified, ruled
+   out by the bound or connected already.
+
+Nothing is capped: a block's members are dealt out in parts of bounded size,
+pairs within a component are never formed, and a class costs some bytes for
+each signature.
 
 Defined results: a null or wordless text has an empty set and links with
 nothing, so its component is its own doc_id; rows that repeat a doc_id are
 returned as often; a null doc_id is never a component's name unless all its
-members' are null; other columns are ignored.
+members' are null, but its row links as any other; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,14 +45,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grovekit.llm import scratch
-from grovekit.llm.components import components
+from grovekit.llm.components import stored_components
+from grovekit.llm.dealing import dealt
 from grovekit.llm.hashing import mix, shingle_set, word_hashes
-from grovekit.llm.rtree import CountTree, count_vector
+from grovekit.llm.rtree import CountTree, count_vector, packed, unpacked
 
-#: A list of ids is broadcast up to this length (8 MB), and joined by shuffling beyond.
+#: A list of ids is broadcast up to this length (16 MB), and joined by shuffling beyond.
 BROADCAST_IDS = 1_000_000
 #: Sizes of a tier: from lo to 1.5 * lo.
 TIER_RATIO = 1.5
+#: Signatures that a task packs or sorts at once.
+SIGNATURES = 500_000
+#: Bytes kept of a signature besides its bucket; a chance agreement costs a search, not a wrong link.
+WIDTH = 5
+#: Points of a tile.
+TILE = 2048
 
 
 def largest_difference(total: int, percent: int) -> int:
@@ -94,28 +103,55 @@ def _set_hash(tokens: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, node, check): size and two hashes of each document's set."""
+def _sets(rows: DataFrame, words: int) -> DataFrame:
+    """(doc_id, k, n, node, check): size and two hashes of each document's set."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            found = []
             for h in word_hashes(batch["t"]):
                 tokens = shingle_set(h, words)
-                rows.append((len(tokens), *(_set_hash(tokens) if len(tokens) else (0, 0))))
-            n, node, check = (np.array(c, np.int64) for c in zip(*rows, strict=True)) if rows else (np.empty(0, np.int64),) * 3
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": n, "node": node, "check": check})
+                found.append((len(tokens), *(_set_hash(tokens) if len(tokens) else (0, 0))))
+            n, node, check = (np.array(c, np.int64) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "k": batch["k"], "n": n, "node": node, "check": check})
 
-    return docs.mapInPandas(measure, "doc_id long, n long, node long, check long")
+    return rows.mapInPandas(measure, "doc_id long, k long, n long, node long, check long")
 
 
-def _signed(docs: DataFrame, words: int, percent: int, sign_set: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:
-    """(sig, node): each class's signatures, once for each task that holds a member."""
+def pack(sig: np.ndarray, node: np.ndarray, buckets: int) -> pd.DataFrame:
+    """Signatures with their classes by bucket: for each bucket the classes, how many signatures each has, and the low bytes of these."""
+    at = (sig % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    at, node = at[order], node[order]
+    low = (sig[order] // np.uint64(buckets)).view(np.uint8).reshape(-1, 8)[:, :WIDTH]
+    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (node[1:] != node[:-1])]))
+    counts = np.diff(np.append(first, len(at))).astype(np.uint32)
+    cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    ends, runs = np.append(cut[1:], len(at)), np.searchsorted(first, np.append(cut, len(at)))
+    return pd.DataFrame({
+        "bucket": at[cut],
+        "nodes": [node[first[x:y]].tobytes() for x, y in zip(runs, runs[1:], strict=False)],
+        "counts": [counts[x:y].tobytes() for x, y in zip(runs, runs[1:], strict=False)],
+        "sigs": [low[x:y].tobytes() for x, y in zip(cut, ends, strict=True)],
+    })
+
+
+def unpack(nodes: bytes, counts: bytes, sigs: bytes) -> tuple[np.ndarray, np.ndarray]:
+    low = np.frombuffer(sigs, np.uint8).reshape(-1, WIDTH)
+    whole = np.zeros((len(low), 8), np.uint8)
+    whole[:, :WIDTH] = low
+    return whole.view(np.uint64).ravel(), np.repeat(np.frombuffer(nodes, np.int64), np.frombuffer(counts, np.uint32))
+
+
+def _signed(rows: DataFrame, words: int, percent: int, sign_set: Callable[[np.ndarray, int], np.ndarray], buckets: int) -> DataFrame:
+    """(bucket, nodes, counts, sigs): each class's signatures, once for each task that holds a member."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
+        sigs: list[np.ndarray] = []
+        nodes: list[np.ndarray] = []
+        size = 0
         for batch in batches:
-            sigs, nodes = [], []
             for h in word_hashes(batch["t"]):
                 tokens = shingle_set(h, words)
                 if not len(tokens):
@@ -127,183 +163,323 @@ def _signed(docs: DataFrame, words: int, percent: int, sign_set: Callable[[np.nd
                     seen.clear()
                 seen.add(node)
                 made = sign_set(tokens, percent)
-                sigs.append(made)
-                nodes.append(np.full(len(made), node, np.int64))
-            if sigs:
-                yield pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "node": np.concatenate(nodes)})
+                for at in range(0, len(made), SIGNATURES):
+                    part = made[at : at + SIGNATURES]
+                    sigs.append(part)
+                    nodes.append(np.full(len(part), node, np.int64))
+                    size += len(part)
+                    if size >= SIGNATURES:
+                        yield pack(np.concatenate(sigs), np.concatenate(nodes), buckets)
+                        sigs, nodes, size = [], [], 0
+        if size:
+            yield pack(np.concatenate(sigs), np.concatenate(nodes), buckets)
 
-    return docs.select("t").mapInPandas(sign, "sig long, node long")
+    return rows.select("t").mapInPandas(sign, "bucket long, nodes binary, counts binary, sigs binary")
+
+
+def lead(sig: np.ndarray, node: np.ndarray, leads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, sig, leader): pairs of a signature's leader with its other classes, and the leader of each signature.
+
+    ``leads`` marks the leaders that are known already; else the least class leads.
+    """
+    order = np.lexsort((node, ~leads, sig))
+    sig, node = sig[order], node[order]
+    first = np.concatenate([[True], sig[1:] != sig[:-1]])
+    leader = node[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
+    other = node != leader
+    a, b = leader[other], node[other]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    once = np.ones(len(a), bool)
+    once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[once], b[once], sig[first], node[first]
 
 
 def _led(signed: DataFrame) -> DataFrame:
-    """(a, b): each block's leader, its least class, with each other member; once for each pair."""
+    """(a, b): each block's leader with each other member; once for each pair."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket, held, size, known = None, [], 0, None
+
+        def settle() -> Iterator[pd.DataFrame]:
+            """What is held gives its pairs; one leader for each signature stays."""
+            nonlocal held, size, known
+            if not held:
+                return
+            sig, node = (np.concatenate(x) for x in zip(*held, *([known] if known else []), strict=True))
+            leads = np.zeros(len(sig), bool)
+            leads[size:] = True
+            a, b, *known = lead(sig, node, leads)
+            held, size = [], 0
+            if len(a):
+                yield pd.DataFrame({"a": a, "b": b})
 
-    def lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_sig, last_leader, last_node = None, 0, 0
         for batch in batches:
-            sig, node = batch["sig"].to_numpy(), batch["node"].to_numpy()
-            if not len(sig):
-                continue
-            first = np.empty(len(sig), bool)
-            first[0] = last_sig is None or sig[0] != last_sig
-            first[1:] = sig[1:] != sig[:-1]
-            at = np.maximum.accumulate(np.where(first, np.arange(len(sig)), -1))
-            leader = np.where(at >= 0, node[at], last_leader)
-            before = np.empty(len(sig), np.int64)
-            before[0], before[1:] = last_node, node[:-1]
-            keep = (node != leader) & (first | (node != before))
-            last_sig, last_leader, last_node = sig[-1], leader[-1], node[-1]
-            yield pd.DataFrame({"a": leader[keep], "b": node[keep]})
+            for at, *blobs in batch.itertuples(index=False):
+                if at != bucket:
+                    yield from settle()
+                    bucket, known = at, None
+                held.append(unpack(*blobs))
+                size += len(held[-1][0])
+                if size >= 6 * SIGNATURES:
+                    yield from settle()
+        yield from settle()
 
     parts = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return signed.repartition(parts, "sig").sortWithinPartitions("sig", "node").mapInPandas(lead, "a long, b long").distinct()
+    return signed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(run, "a long, b long").distinct()
+
+
+def _searched(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that remain when a searches the R-tree of its partners."""
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, point, members = None, None, ([], [])
+
+        def found() -> Iterator[pd.DataFrame]:
+            if members[0]:
+                tree = CountTree(unpacked(members[1]))
+                near = np.array(members[0], np.int64)[tree.search(point, percent, 100)]
+                yield pd.DataFrame({"a": np.full(len(near), group[0]), "b": near})
+
+        for batch in batches:
+            made = []
+            for a, salt, own, b, data in batch.itertuples(index=False):
+                if own:
+                    made += found()
+                    group, point, members = (a, salt), unpacked([data])[0], ([], [])
+                else:
+                    members[0].append(b)
+                    members[1].append(data)
+            if made:
+                yield pd.concat(made)
+        yield from found()
+
+    return dealt(pairs, points, "data").mapInPandas(search, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by their exact sets."""
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x = np.empty(0, np.uint64)
         for batch in batches:
-            sets: dict[int, np.ndarray] = {}
-            size, links = 0, []
-            for a, b, ta, tb in batch.itertuples(index=False):
-                for node, text in ((a, ta), (b, tb)):
-                    if node not in sets:
-                        if size > 4_000_000:  # tokens kept for further pairs
-                            sets, size = {}, 0
-                        sets[node] = shingle_set(next(word_hashes([text])), words)
-                        size += len(sets[node])
-                x = sets.get(a) if a in sets else shingle_set(next(word_hashes([ta])), words)
-                y = sets[b]
+            links = []
+            for own, h in zip(batch["own"], word_hashes(batch["data"]), strict=True):
+                y = shingle_set(h, words)
+                if own:
+                    x = y
+                    links.append(False)
+                    continue
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 links.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.loc[np.array(links, bool), ["a", "b"]]
 
-    left, right = (texts.select(F.col("node").alias(c), F.col("t").alias(f"t{c}")) for c in "ab")
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInPandas(verify, "a long, b long")
+    return dealt(pairs, texts, "data").mapInPandas(verify, "a long, b long")
 
 
-def _crossing(pairs: DataFrame, comps: DataFrame, texts: DataFrame, words: int, percent: int, first: bool) -> DataFrame:
+def _crossing(pairs: DataFrame, comps: DataFrame, points: DataFrame, percent: int, first: bool) -> DataFrame:
     """(a, b): pairs of classes led by one class, in different components, that the R-tree can't rule out.
 
     Two classes that share a block have its leader in common, so all classes of
-    one leader are searched together, each once.  With ``first``, a class gets
-    only its likeliest partner in each leaf of the tree.
+    one leader are searched together, each once.  A leader's classes are dealt
+    into tiles, and each pair of tiles is one join of two trees.  With
+    ``first``, a class gets only its likeliest partner in each leaf of the tree.
     """
     own = comps.select(F.col("node").alias("b"), F.col("component").alias("comp"))
     members = pairs.join(own, "b", "left").select(F.col("a").alias("leader"), F.col("b").alias("node"), F.coalesce("comp", "b").alias("comp"))
-    # each class has been verified against the leader: what is left are two more of different components
-    open_ = members.groupBy("leader").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("leader")
-    members = members.join(open_, "leader")
-
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = [count_vector(shingle_set(h, words)).tobytes() for h in word_hashes(batch["t"])]
-            yield pd.DataFrame({"node": batch["node"], "point": made})
-
-    points = texts.mapInPandas(vectors, "node long, point binary")
+    # each class has met the leader: what is left are two more of different components
+    open_ = members.groupBy("leader").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / TILE).alias("tiles")).where("low <> high").select("leader", "tiles")
+    tiled = members.join(open_, "leader").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles")).join(points, "node")
+    met = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda other: F.struct(F.least("tile", other).alias("i"), F.greatest("tile", other).alias("j"))))
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = tiled.select("leader", met.alias("met"), "tile", "node", "comp", "data").select("leader", "met.i", "met.j", "tile", "node", "comp", "data")
+    spread = spread.repartition(parts, "leader", "i", "j").sortWithinPartitions("leader", "i", "j")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block: list[pd.DataFrame] = []
-
-        def pairs() -> Iterator[pd.DataFrame]:
-            rows = pd.concat(block)
-            node, comp = rows["node"].to_numpy(), rows["comp"].to_numpy()
-            point = np.frombuffer(b"".join(rows["point"]), np.int32).reshape(len(rows), -1)
-            tree = CountTree(point)
-            for i, j, spare in tree.self_join(percent, 100):
-                apart = comp[i] != comp[j]
+        def found(group: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+            sides = []
+            for tile in dict.fromkeys(group[1:]):
+                node, comp, data = zip(*x, strict=True) if (x := [r[1:] for r in rows if r[0] == tile]) else ((), (), ())
+                sides.append((np.array(node, np.int64), np.array(comp, np.int64), CountTree(unpacked(data))))
+            (node, comp, tree), (node2, comp2, tree2) = sides[0], sides[-1]
+            for i, j, spare in tree.join(tree2, percent, 100):
+                apart = comp[i] != comp2[j]
                 i, j, spare = i[apart], j[apart], spare[apart]
                 if first:
                     order = np.lexsort((j, -spare, i))
-                    lead = order[np.unique(i[order], return_index=True)[1]]
-                    i, j = i[lead], j[lead]
+                    best = order[np.unique(i[order], return_index=True)[1]]
+                    i, j = i[best], j[best]
                 if len(i):
-                    a, b = node[i], node[j]
+                    a, b = node[i], node2[j]
                     yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
+        group, rows = None, []
         for batch in batches:
-            cuts = np.flatnonzero(batch["leader"].to_numpy()[1:] != batch["leader"].to_numpy()[:-1]) + 1
-            for part in (batch.iloc[x:y] for x, y in zip([0, *cuts], [*cuts, len(batch)], strict=True)):
-                if block and part["leader"].iloc[0] != block[0]["leader"].iloc[0]:
-                    yield from pairs()
-                    block = []
-                block.append(part)
-        if block:
-            yield from pairs()
+            for leader, i, j, *row in batch.itertuples(index=False):
+                if (leader, i, j) != group:
+                    if rows:
+                        yield from found(group, rows)
+                    group, rows = (leader, i, j), []
+                rows.append(row)
+        if rows:
+            yield from found(group, rows)
 
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = members.join(points, "node").select("leader", "node", "comp", "point").repartition(parts, "leader").sortWithinPartitions("leader", "node")
-    return dealt.mapInPandas(search, "a long, b long").distinct()
+    return spread.mapInPandas(search, "a long, b long").distinct()
 
 
-def join(
-    docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", sign_set: Callable[[np.ndarray, int], np.ndarray] = signatures,
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_size) for each row of ``docs``; class_size counts rows with the same set.
+def _chosen(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, doc_id, k): a row of each class that has a pair, by its doc_id and its text's hash, so that one without a doc_id is found as well."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    return sets.where("n > 0").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min_by("k", "doc_id"), F.min("k")).alias("k"))
 
-    With another ``sign_set`` (sorted distinct tokens and percent to signatures),
-    the pairs that share one of its signatures are those joined.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
-    sets, _ = scratch.settle(_sets(rows, words), "sets")
-    pairs, _ = scratch.settle(_led(_signed(rows, words, percent, sign_set)), "pairs")
 
-    classes = sets.where("n > 0").groupBy("node", "check").agg(F.min("doc_id").alias("first"), F.count("*").alias("class_size"))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    chosen = classes.join(wanted, "node").groupBy("node").agg(F.min("first").alias("doc_id"))
-    chosen, _ = scratch.settle(chosen, "chosen")
+def _texts(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(node, data): the texts of the chosen rows; rows that repeat give a node several times."""
     ids = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
-    # rows that repeat a doc_id are told apart by their own hash
-    texts = rows.join(ids, "doc_id").select("node", "t")
-    texts, _ = scratch.settle(_only(texts, words), "texts")
+    return rows.join(ids, rows["doc_id"].eqNullSafe(ids["doc_id"]) & (rows["k"] == ids["k"])).select("node", F.col("t").alias("data"))
 
-    links, _ = scratch.settle(_verified(pairs, texts, words, percent), "links")
-    comps = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    tried = pairs
+
+def _points(texts: DataFrame, words: int) -> DataFrame:
+    """(node, data): the group counts of each class."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["node"], "data": [packed(count_vector(shingle_set(h, words))) for h in word_hashes(batch["data"])]})
+
+    return texts.mapInPandas(count, "node long, data binary").dropDuplicates(["node"])
+
+
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    t = F.col(text).cast("binary")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), t.alias("t"), F.xxhash64(t).alias("k"))
+
+
+class _Work:
+    """The working tables of one join; all go when it is done."""
+
+    def __init__(self, docs: DataFrame, words: int, percent: int, key: str, text: str, sign_set: Callable[[np.ndarray, int], np.ndarray]):
+        self.spark, self.words, self.percent, self.paths = docs.sparkSession, words, percent, []
+        self.rows = rows = _rows(docs, key, text)
+        self.sets, self.sets_path = scratch.settle(_sets(rows, words), "sets")
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        total = self.sets.agg(F.sum("n")).first()[0] or 0
+        self.pairs = self.keep(_led(_signed(rows, words, percent, sign_set, max(parts, total // (4 * SIGNATURES)))), "pairs")
+        self.chosen = self.keep(_chosen(self.sets, self.pairs), "chosen")
+        self.points = self.keep(_points(_texts(rows, self.chosen), words), "points")
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        made, path = scratch.settle(df, name)
+        self.paths.append(path)
+        return made
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        texts = self.keep(_texts(self.rows, self.chosen.join(named, "node", "left_semi")).dropDuplicates(["node"]), "texts")
+        links = self.keep(_verified(pairs, texts, self.words, self.percent), "links")
+        self.paths.remove(path := self.paths[-2])
+        scratch.drop(self.spark, path)
+        return links
+
+    def crossing(self, comps: DataFrame, first: bool) -> DataFrame:
+        return _crossing(self.pairs, comps, self.points, self.percent, first)
+
+    def led(self) -> DataFrame:
+        """The leaders' links."""
+        return self.verified(self.keep(_searched(self.pairs, self.points, self.percent), "near"))
+
+    def components(self, links: DataFrame) -> tuple[DataFrame, str]:
+        return stored_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+    def done(self) -> None:
+        scratch.drop(self.spark, *self.paths)
+        self.paths = []
+
+
+def _joined(docs: DataFrame, words: int, percent: int, key: str, text: str, sign_set: Callable[[np.ndarray, int], np.ndarray]) -> tuple[DataFrame, list[str]]:
+    """(doc_id, k, n, group, least, class_size) for each row, and the paths that it is read from; group names a component of any rows."""
+    work = _Work(docs, words, percent, key, text, sign_set)
+    links = work.led()
+    comps, path = work.components(links)
+    tried = work.pairs
     for first in (True, False):  # likeliest pairs first: what they connect needs no more pairs; then all that are left
-        left = _crossing(pairs, comps, texts, words, percent, first).join(tried, ["a", "b"], "left_anti")
-        left, _ = scratch.settle(left, "crossing")
+        left = work.keep(work.crossing(comps, first).join(tried, ["a", "b"], "left_anti"), "crossing")
         if left.limit(1).count():
-            more, _ = scratch.settle(_verified(left, texts, words, percent), "links")
+            more = work.verified(left)
             links, tried = links.union(more), tried.union(left)
             if more.limit(1).count():
-                comps = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+                scratch.drop(work.spark, path)
+                comps, path = work.components(links)
+    work.done()
 
+    classes = work.sets.where("n > 0").groupBy("node", "check").agg(F.min("doc_id").alias("first"), F.count("*").alias("class_size"))
     named = classes.join(comps, "node").select("component", "first").groupBy("component").agg(F.min("first").alias("least"))
-    linked = comps.join(named, "component").select("node", "least")
-    told = classes.join(linked, "node", "left").where("class_size > 1 or least is not null").select("node", "check", F.coalesce("least", "first").alias("least"), "class_size")
-    joined = sets.join(told, ["node", "check"], "left")
+    linked = comps.join(named, "component").select("node", "component", "least")
+    told = classes.join(linked, "node", "left").where("class_size > 1 or component is not null")
+    told = told.select("node", "check", F.coalesce("component", "node").alias("group"), F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("least")).alias("least"), "class_size")
+    joined = work.sets.join(told, ["node", "check"], "left")
     return joined.select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(F.col("n") > 0, F.coalesce("class_size", F.lit(1))).otherwise(F.lit(1)).cast("long").alias("class_size"),
-    )
+        "doc_id", "k", "n", F.coalesce("group", "node").alias("group"),
+        F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("least"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+    ), [work.sets_path, path]
 
 
-def _only(texts: DataFrame, words: int) -> DataFrame:
-    """(node, t): the rows whose set is the node's, one for each node and task."""
+def join(
+    docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", sign_set: Callable[[np.ndarray, int], np.ndarray] = signatures,
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, class_size) for each row of ``docs``; class_size counts rows with the same set.
 
-    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = [len(s) > 0 and _set_hash(s)[0] == node for node, s in zip(batch["node"], (shingle_set(h, words) for h in word_hashes(batch["t"])), strict=True)]
-            yield batch[np.array(keep, bool)]
+    With another ``sign_set`` (sorted distinct tokens and percent to signatures),
+    the pairs that share one of its signatures are those joined.
+    """
+    found, _ = _joined(docs, words, percent, key, text, sign_set)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), "class_size")
 
-    return texts.mapInPandas(own, "node long, t binary").dropDuplicates(["node"])
+
+def links(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, class_id, n_links) for each row of ``docs``: its class of equal sets and the number of other rows that it links with.
+
+    Here each pair of classes is verified, also those that are connected by
+    others, so a group of near copies costs the square of its different texts.
+    """
+    work = _Work(docs, words, percent, key, text, signatures)
+    nobody = work.pairs.select(F.col("a").alias("node"), F.col("a").alias("component")).where("false")
+    found = work.led().union(work.verified(work.keep(work.crossing(nobody, False).join(work.pairs, ["a", "b"], "left_anti"), "crossing")))
+    both, _ = scratch.settle(found.union(found.select("b", "a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "verified")
+    work.done()
+    classes = work.sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("size"))
+    ends = both.union(both.select("b", "a")).toDF("node", "other")
+    more = ends.join(classes.select(F.col("node").alias("other"), "size"), "other").groupBy("node").agg(F.sum("size").alias("more"))
+    told = classes.join(more, "node", "left").select("node", "class_id", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+    empty = F.col("n") == 0
+    return work.sets.join(told, "node", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(empty, 0).otherwise(F.col("n_links")).cast("long").alias("n_links")
+    )
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are the least doc_id of their component; repeats of a row count once, rows without doc_id stay."""
-    found = join(docs, words, percent, key, text)
-    found, _ = scratch.settle(found.select("doc_id", "component_id"), "joined")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    """The rows of ``docs`` that are the least doc_id of their component.
+
+    Repeats of a row count once.  A row without doc_id goes if its component has
+    one with a doc_id; else one of the component's rows stays, that with the
+    least hash of its text.  Rows without words link with nothing and stay.
+    """
+    found, paths = _joined(docs, words, percent, key, text, signatures)
+    found, _ = scratch.settle(found, "joined")
+    scratch.drop(docs.sparkSession, *paths)
+    gone = found.where("doc_id <> least").select(F.col("doc_id").alias(key)).distinct()
     stay = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, key, "left_anti")
     again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key))
-    if not again.limit(1).count():
-        return stay
-    once = stay.join(again, key, "left_semi").dropDuplicates([key])
-    return stay.join(again, key, "left_anti").unionByName(once)
+    if again.limit(1).count():
+        once = stay.join(again, key, "left_semi").dropDuplicates([key])
+        stay = stay.join(again, key, "left_anti").unionByName(once)
+    unnamed = found.where("doc_id is null and n > 0")
+    if unnamed.limit(1).count():
+        kept = unnamed.where("least is null").groupBy("group").agg(F.min("k").alias("_k"))
+        hashed = stay.where(F.col(key).isNull()).withColumn("_k", F.xxhash64(F.col(text).cast("binary")))
+        wordless = hashed.join(unnamed.select(F.col("k").alias("_k")).distinct(), "_k", "left_anti")
+        once = hashed.join(kept.select("_k"), "_k", "left_semi").dropDuplicates(["_k"])
+        stay = stay.where(F.col(key).isNotNull()).unionByName(wordless.unionByName(once).select(*docs.columns))
+    return stay
 
 
 #: The same rows in DuckDB (component_id by iterated minimum over the links).

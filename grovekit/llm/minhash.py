@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grovekit.llm.hashing import combine, mix, word_hashes
+from grovekit.llm import scratch
 from grovekit.llm.jaccard_join import join
 
 PERMUTATIONS = 128
@@ -104,6 +105,7 @@ def edited(docs: DataFrame, words: int = 5, key: str = "doc_id", text: str = "te
     the first).  The rows are sorted by ranges of the key, each of which also
     gets the row that follows it, so one shuffle of the texts is all.
     """
+    scratch.small_batches(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = neighbours(docs, key, text, 8 * parts).repartition(parts, "part").sortWithinPartitions("part", "extra", F.desc("k"), "t")
 
@@ -164,7 +166,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     a bucket of any size gives as many pairs as members; those still in
     different components are then searched by ``jaccard_join``'s tree, until
     each pair of a bucket is verified, ruled out by exact bounds, or connected.
-    Classes are the components of the verified pairs, named by their least doc_id.
+    Classes are the components of the verified pairs, named by their least doc_id
+    (null if all have none).
     """
-    found = join(docs.where(F.col(key).isNotNull()), words, percent, key, text, bands)
+    found = join(docs, words, percent, key, text, bands)
     return found.select("doc_id", F.col("component_id").alias("class_id"))

@@ -1,8 +1,9 @@
 """Working tables in the folder that the cluster shares.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset
-(single-machine tests) a temporary folder is made and set. Tables written here
-survive the loss of any executor, and cut lineage as a checkpoint does.
+The folder is the session's ``spark.checkpoint.dir``. Only on a local master
+where that is unset (tests) a temporary folder is made and set; on a cluster an
+unset folder is an error.  Tables written here survive the loss of any executor,
+and cut lineage as a checkpoint does.
 """
 
 from __future__ import annotations
@@ -13,12 +14,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes that Spark hands to a Python worker at once, so that a batch of long texts stays small.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 _MADE: dict[str, SparkSession] = {}
 
 
 def root(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="grovekit-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -40,16 +45,27 @@ def filesystem(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    fs, p = filesystem(spark, path)
-    fs.delete(p, True)
-    _MADE.pop(path, None)
+def drop(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        fs, p = filesystem(spark, path)
+        fs.delete(p, True)
+        _MADE.pop(path, None)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands texts to Python workers in batches of ``BATCH_BYTES`` at most.
+
+    The operators that read whole texts in Python set this for the session, as
+    the rows that they return are read by jobs that they don't start.
+    """
+    spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
 def settle(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Writes ``df`` to the shared folder and reads it back, with its path."""
     spark = df.sparkSession
     path = fresh(spark, name)
+    small_batches(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
