@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grovekit.functions import vectors as V
@@ -96,6 +97,25 @@ def distance_below_largest(s: Column, largest: Column) -> Column:
     return largest - s
 
 
+@dataclass(frozen=True)
+class Encoder:
+    """A feature of records: its specification, and how a record's columns give its value."""
+
+    spec: FeatureSpec
+    value: Column
+
+
+def encode(records: DataFrame, encoders: list[Encoder], keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of the records, and one column for each feature."""
+    return records.select(*keep, *[e.value.alias(e.spec.name) for e in encoders])
+
+
+def initial_weights(specs: list[FeatureSpec], must_link: set[str] = frozenset(), must_not_link: set[str] = frozenset()) -> FeatureWeights:
+    """Weights before learning: features that are named as rules have the rule's weight, all others weight 1 and a small bias."""
+    rules = {s.name: MUST_LINK if s.name in must_link else MUST_NOT_LINK for s in specs if s.name in must_link or s.name in must_not_link}
+    return FeatureWeights({s.name: (DEFAULT_WEIGHT, DEFAULT_BIAS) for s in specs if s.name not in rules}, rules)
+
+
 # text encoders
 
 
@@ -107,15 +127,25 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: (w != "") & ~F.array_contains(stop, w))
 
 
-def hashed_counts(tokens: Column, size: int = 1 << 20) -> Column:
-    """Bag of tokens as map from hash bucket to count."""
-    buckets = F.transform(tokens, lambda w: F.pmod(F.hash(w), F.lit(size)))
-    return F.map_from_entries(F.transform(F.array_distinct(buckets), lambda b: F.struct(b, F.size(F.filter(buckets, lambda x: x == b)).cast("double"))))
+def md5_hash(text: Column) -> Column:
+    """The first 31 bits of MD5, for hashes that other engines can repeat."""
+    return F.shiftright(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), 1).cast("int")
+
+
+def hashed_counts(tokens: Column, size: int = 1 << 20, hashed: Callable[[Column], Column] = F.hash) -> Column:
+    """Bag of tokens as map from hash bucket to count, by sorting the buckets."""
+    buckets = F.array_sort(F.transform(tokens, lambda w: F.pmod(hashed(w), F.lit(size))))
+
+    def counted(s: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return V.let(firsts, lambda f: F.map_from_entries(F.transform(f, lambda i, j: F.struct(F.get(s, i), (F.coalesce(F.get(f, j + 1), F.size(s)) - i).cast("double")))))
+
+    return F.when(F.size(tokens) > 0, V.let(buckets, counted)).otherwise(F.create_map().cast("map<int,double>"))
 
 
-def single_bucket(tokens: Column, size: int = 1 << 20) -> Column:
+def single_bucket(tokens: Column, size: int = 1 << 20, hashed: Callable[[Column], Column] = F.hash) -> Column:
     """One hash bucket for the whole token list; -1 for none."""
-    return F.when(F.size(tokens) == 0, F.lit(-1)).otherwise(F.pmod(F.hash(F.concat_ws(" ", tokens)), F.lit(size)))
+    return F.when(F.size(tokens) == 0, F.lit(-1)).otherwise(F.pmod(hashed(F.concat_ws(" ", tokens)), F.lit(size)))
 
 
 def count_vectorizer(tokens_col: str, out_col: str, vocabulary: int = 1 << 16, idf: bool = True):

@@ -37,6 +37,11 @@ def subtract(x: Column, y: Column) -> Column:
     return checked(x, y, F.zip_with(x, y, lambda a, b: a - b))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it occurs there."""
+    return F.transform(F.array(value), body)[0]
+
+
 def divide(x: Column, n: Column) -> Column:
     return F.transform(x, lambda a: a / n)
 
@@ -97,8 +102,8 @@ def centroid(sums: Column, n: Column, kind: str = "none") -> Column:
         return mean
     if kind == "binary":
         return F.transform(mean, lambda a: (a > 0).cast("double"))
-    size = {"l2": norm(mean), "l_inf": F.array_max(F.transform(mean, F.abs))}[kind]
-    return F.when(size > 0, divide(mean, size)).otherwise(mean)
+    size = {"l2": norm, "l_inf": lambda m: F.array_max(F.transform(m, F.abs))}[kind]
+    return let(mean, lambda m: let(size(m), lambda z: F.when(z > 0, divide(m, z)).otherwise(m)))
 
 
 def sparse_dot(x: Column, y: Column) -> Column:
@@ -129,6 +134,11 @@ def average_link(n_a: Column, sum_a: Column, sq_a: Column, n_b: Column, sum_b: C
     return -(sq_a / n_a + sq_b / n_b - 2 * dot(divide(sum_a, n_a), divide(sum_b, n_b)))
 
 
+def centroid_link(n_a: Column, sum_a: Column, n_b: Column, sum_b: Column, kind: str = "l2", similarity: str = "dot") -> Column:
+    """Similarity of two clusters' centroids of the given kind."""
+    return SIMILARITIES[similarity](centroid(sum_a, n_a, kind), centroid(sum_b, n_b, kind))
+
+
 def cosine_link(sum_a: Column, sum_b: Column) -> Column:
     """Cosine of the clusters' sums."""
     return cosine(sum_a, sum_b)

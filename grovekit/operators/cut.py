@@ -28,18 +28,22 @@ def by_distance(anc: DataFrame, leaf_nodes: DataFrame, heights: DataFrame, thres
 
 def sweep(anc: DataFrame, leaf_nodes: DataFrame, scores: DataFrame, thresholds: DataFrame) -> DataFrame:
     """(threshold, node, cluster) for every threshold, in one query; ``thresholds(threshold)`` is a short list."""
+    stops = sorted({float(r[0]) for r in thresholds.select("threshold").collect()})  # the stated list
     path = anc.join(leaf_nodes.select("node"), "node", "left_semi")
-    open_at = path.join(scores.select(F.col("node").alias("ancestor"), "score"), "ancestor")
-    # the threshold list is crossed with leaves and paths, which it is to be applied to in full
-    hit = open_at.crossJoin(thresholds).where("score >= threshold").groupBy("threshold", "node").agg(F.max(F.struct("dist", "ancestor")).alias("m"))
-    every = leaf_nodes.select("node").crossJoin(thresholds)
-    return every.join(hit, ["threshold", "node"], "left").select("threshold", "node", F.coalesce("m.ancestor", "node").alias("cluster"))
+    scored = path.join(scores.select(F.col("node").alias("ancestor"), "score"), "ancestor")
+    # one pass: each leaf's highest ancestor at or above each threshold
+    tops = [F.max(F.when(F.col("score") >= t, F.struct("dist", "ancestor"))).alias(f"m{i}") for i, t in enumerate(stops)]
+    best = scored.groupBy("node").agg(*tops) if stops else scored.select("node").where("false")
+    cuts = F.array(*[F.struct(F.lit(t).alias("threshold"), F.coalesce(F.col(f"m{i}.ancestor"), F.col("node")).alias("cluster")) for i, t in enumerate(stops)])
+    every = leaf_nodes.select("node").join(best, "node", "left")
+    return every.select("node", F.explode(cuts).alias("c")).select("c.threshold", "node", "c.cluster") if stops else every.select(F.lit(0.0).alias("threshold"), "node", F.col("node").alias("cluster")).where("false")
 
 
 def candidate_thresholds(scores: DataFrame, n: int) -> DataFrame:
-    """(threshold): quantiles of the scores, evenly spaced."""
+    """(threshold): quantiles of the scores, evenly spaced; each is a score, the least that so great a share doesn't exceed."""
     points = [i / (n + 1) for i in range(1, n + 1)]
-    return scores.agg(F.percentile("score", F.array(*[F.lit(p) for p in points])).alias("q")).select(F.explode("q").alias("threshold")).distinct()
+    # a sketch with a relative error of one in a million in rank: exact up to that many scores, bounded beyond
+    return scores.agg(F.percentile_approx("score", points, 1_000_000).alias("q")).select(F.explode("q").alias("threshold")).distinct()
 
 
 def clustered_thresholds(scores: DataFrame, n: int, seed: int = 3) -> DataFrame:

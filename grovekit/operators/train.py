@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from grovekit.functions.features import FeatureSpec, FeatureWeights
 from grovekit.functions import vectors as V
-from grovekit.operators import evaluate, hac
+from grovekit.operators import cut, evaluate, hac
 
 
 def sample_triplets(points: DataFrame, per_cluster: int, seed: int = 1) -> DataFrame:
@@ -80,6 +80,35 @@ def fit_weights(triplets: DataFrame, points: DataFrame, specs: list[FeatureSpec]
     return Fit(FeatureWeights({n: (x, 0.0) for n, x in w.items()}), losses)
 
 
+def save_weights(weights: FeatureWeights, spark: SparkSession, path: str, threshold: float | None = None) -> None:
+    """Writes a learned model as a small table: a row for each feature or rule, and one for the threshold."""
+    rows = [(n, "learned", w, b) for n, (w, b) in weights.learned.items()] + [(n, "rule", w, None) for n, w in weights.rules.items()]
+    rows += [("threshold", "cut", float(threshold), None)] if threshold is not None else []
+    spark.createDataFrame(rows, "feature string, kind string, weight double, bias double").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_weights(spark: SparkSession, path: str) -> tuple[FeatureWeights, float | None]:
+    rows = spark.read.parquet(path).collect()  # a row for each feature
+    cut = [r["weight"] for r in rows if r["kind"] == "cut"]
+    return FeatureWeights({r["feature"]: (r["weight"], r["bias"]) for r in rows if r["kind"] == "learned"}, {r["feature"]: r["weight"] for r in rows if r["kind"] == "rule"}), cut[0] if cut else None
+
+
+def dev_blocks(points: DataFrame, block: str, gold: str, below: int = 5000, most: int = 50) -> DataFrame:
+    """(block, n, labelled): of the blocks of fewer than ``below`` rows, the ``most`` with the most labelled rows (gold not null or '-1')."""
+    known = F.col(gold).isNotNull() & (F.col(gold).cast("string") != "-1")
+    sizes = points.groupBy(F.col(block).alias("block")).agg(F.count("*").alias("n"), F.count(F.when(known, 1)).alias("labelled"))
+    return sizes.where(F.col("n") < below).orderBy(F.desc("labelled"), "block").limit(most)
+
+
+def dev_evaluation(points: DataFrame, block: str, thresholds: int = 10, seed: int = 3) -> DataFrame:
+    """``best_threshold`` over thresholds taken from the trees: the centres of all merges' distances in ``thresholds`` clusters."""
+    merges = hac.within_blocks(points, block).select(F.col("distance").alias("score"))
+    if not merges.limit(1).count():
+        return best_threshold(points, block, [0.0])
+    found = cut.clustered_thresholds(merges, thresholds, seed).collect()  # so many numbers
+    return best_threshold(points, block, sorted({r["threshold"] for r in found}))
+
+
 def best_threshold(points: DataFrame, block: str, thresholds: list[float]) -> DataFrame:
     """(threshold, precision, recall, f1, best): pairwise scores of cutting each block's average-linkage tree at each distance.
 

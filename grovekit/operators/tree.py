@@ -100,15 +100,45 @@ def stats(anc: DataFrame, points: DataFrame) -> DataFrame:
     return size.join(sums, "ancestor").select(F.col("ancestor").alias("node"), "n", "sum", "sumsq")
 
 
-def node_scores(nodes: DataFrame, node_stats: DataFrame, linkage: str = "average") -> DataFrame:
+def link(linkage: str, a: dict[str, Column], b: dict[str, Column], centroid: str = "l2", similarity: str = "dot") -> Column:
+    """Linkage of two clusters with columns n, sum and sumsq: ``average``, ``cosine`` or ``centroid`` (of a kind and similarity)."""
+    if linkage == "average":
+        return V.average_link(a["n"], a["sum"], a["sumsq"], b["n"], b["sum"], b["sumsq"])
+    if linkage == "cosine":
+        return V.cosine_link(a["sum"], b["sum"])
+    if linkage == "centroid":
+        return V.centroid_link(a["n"], a["sum"], b["n"], b["sum"], centroid, similarity)
+    raise ValueError(f"unknown linkage {linkage!r}")
+
+
+def node_scores(nodes: DataFrame, node_stats: DataFrame, linkage: str = "average", centroid: str = "l2", similarity: str = "dot") -> DataFrame:
     """(node, score): the linkage of a binary node's two children."""
-    if linkage not in ("average", "cosine"):
-        raise ValueError(f"unknown linkage {linkage!r}")
     kids = nodes.where("parent is not null").join(node_stats, "node")
     pair = kids.groupBy("parent").agg(F.sort_array(F.collect_list(F.struct("node", "n", "sum", "sumsq"))).alias("k")).where(F.size("k") == 2)
-    a, b = F.col("k")[0], F.col("k")[1]
-    score = V.average_link(a["n"], a["sum"], a["sumsq"], b["n"], b["sum"], b["sumsq"]) if linkage == "average" else V.cosine_link(a["sum"], b["sum"])
-    return pair.select(F.col("parent").alias("node"), score.alias("score"))
+    a, b = ({c: F.col("k")[i][c] for c in ("n", "sum", "sumsq")} for i in (0, 1))
+    return pair.select(F.col("parent").alias("node"), link(linkage, a, b, centroid, similarity).alias("score"))
+
+
+def graft_grid(pairs: DataFrame, nodes: DataFrame, anc: DataFrame, node_stats: DataFrame, linkage: str = "cosine", centroid: str = "l2", similarity: str = "dot") -> DataFrame:
+    """(a, b, x, y, score, x_likes, y_likes) for pairs(a, b) of leaves: the cells of their paths below the common ancestor.
+
+    x lies on a's path and y on b's; a side likes the cell if its link is above
+    the score of the side's parent.  Scores are compared to nine decimals.
+    """
+    scores = node_scores(nodes, node_stats, linkage, centroid, similarity).select(F.col("node").alias("parent"), F.round("score", 9).alias("held"))
+    own = node_stats.join(nodes.select("node", "parent"), "node").join(scores, "parent")
+    side = lambda c: own.select(F.col("node").alias(c), *[F.col(s).alias(f"{c}_{s}") for s in ("n", "sum", "sumsq", "held")])
+    grid = paths_below_lca(pairs, anc).join(side("x"), "x").join(side("y"), "y")
+    a, b = ({s: F.col(f"{c}_{s}") for s in ("n", "sum", "sumsq")} for c in "xy")
+    scored = grid.withColumn("score", link(linkage, a, b, centroid, similarity))
+    likes = lambda c: F.round("score", 9) > F.col(f"{c}_held")
+    return scored.select("a", "b", "x", "y", "score", likes("x").alias("x_likes"), likes("y").alias("y_likes"))
+
+
+def best_graft(grid: DataFrame) -> DataFrame:
+    """(a, b, x, y, score): each pair's cell of the highest link that both sides like, ties to the least x, then y; pairs without one are left out."""
+    both = grid.where("x_likes and y_likes").groupBy("a", "b").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "x", "y", "score")).alias("m"))
+    return both.select("a", "b", "m.x", "m.y", "m.score")
 
 
 def swap(nodes: DataFrame, a: int, b: int) -> DataFrame:

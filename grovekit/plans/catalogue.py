@@ -293,13 +293,15 @@ def tree_swapped(spark, d):
 
 @query(HEAP + """ SELECT node, CASE WHEN node = 8 THEN 2 WHEN node IN (12, 9) THEN -1 ELSE parent END AS parent FROM nodes WHERE node <> 4 UNION ALL SELECT -1, 6""")
 def tree_spliced(spark, d):
-    moved = tree.make_sibling(heap(spark, d), 12, 9, -1)
-    return moved.select("node", "parent").withColumn("parent", F.when(F.col("node") == 8, F.lit(2).cast("long")).otherwise(F.col("parent")))
+    return tree.make_sibling(heap(spark, d), 12, 9, -1).select("node", "parent")
 
 
-@query(f"WITH RECURSIVE {_HEAP} SELECT 'none' AS problem, count(*) AS n FROM nodes WHERE false")
+@query(GEO + """ SELECT 'not two children' AS problem, parent AS node FROM nodes WHERE parent IS NOT NULL GROUP BY parent HAVING count(*) <> 2
+UNION ALL SELECT 'unknown parent', node FROM nodes WHERE parent IS NOT NULL AND parent NOT IN (SELECT node FROM nodes)
+UNION ALL SELECT 'repeated', node FROM nodes GROUP BY node HAVING count(*) > 1""")
 def tree_problems(spark, d):
-    return tree.problems(heap(spark, d)).agg(F.count("*").alias("n")).select(F.lit("none").alias("problem"), "n")
+    """What keeps the geographical tree from being binary."""
+    return tree.problems(geo(spark, d))
 
 
 # tree scores
@@ -416,71 +418,81 @@ def flat_cut_distance(spark, d):
     return cut.by_distance(anc, tree.leaves(h), heights, 3)
 
 
-@query(f"""WITH RECURSIVE {_HEAP_STATS}, {_SCORE_COS}, th AS (SELECT unnest(quantile_cont(score, [0.25, 0.5, 0.75])) AS t FROM sc) SELECT round(t, 6) + 0.0 AS threshold FROM th""")
+@query(f"""WITH RECURSIVE {_HEAP_STATS}, {_SCORE_COS}, th AS (SELECT unnest(quantile_disc(round(score, 9), [0.25, 0.5, 0.75])) AS t FROM sc) SELECT round(t, 6) + 0.0 AS threshold FROM th""")
 def candidate_thresholds(spark, d):
     _, _, scores = _heap_scores(spark, d)
     return cut.candidate_thresholds(scores, 3).select(_r("threshold").alias("threshold"))
 
 
-# rearrangements of a given tree by a new point: the first embedding's neighbour outside the tree is embedding 0 itself
+# rearrangements of a given tree
 
 
-@query(f"""WITH RECURSIVE {_HEAP_STATS}, {_SCORE_COS}, {_E}, q AS (SELECT * FROM e WHERE id = 0),
-near AS (SELECT b.id + n AS leaf FROM q a, e b, k WHERE b.id <> 0 ORDER BY round({_COS}, 9) DESC, b.id LIMIT 1),
-path AS (SELECT ancestor, dist FROM anc JOIN near ON anc.node = leaf),
-walk AS (SELECT path.dist, path.ancestor, round({_COS}, 9) < round(sc.score, 9) AS up FROM path, q a, st b, nodes m, sc WHERE b.node = path.ancestor AND m.node = path.ancestor AND sc.node = m.parent),
-stop AS (SELECT coalesce(min(dist) FILTER (WHERE NOT up), (SELECT max(dist) FROM path)) AS dist FROM walk)
-SELECT path.ancestor AS spot, path.dist::INTEGER AS climbed FROM path JOIN stop USING (dist)""")
+@query(f"""WITH RECURSIVE {_HEAP_STATS}, {_SCORE_COS}, {_E},
+near AS (SELECT q, leaf FROM (SELECT a.id AS q, b.id + n AS leaf, row_number() OVER (PARTITION BY a.id ORDER BY round({_COS}, 9) DESC, b.id) AS r FROM e a, e b, k WHERE b.id <> a.id) WHERE r = 1),
+path AS (SELECT q, ancestor, dist FROM anc JOIN near ON anc.node = leaf),
+walk AS (SELECT path.q, path.dist, round({_COS}, 9) < round(sc.score, 9) AS up FROM path JOIN e a ON a.id = path.q JOIN st b ON b.node = path.ancestor JOIN nodes m ON m.node = path.ancestor JOIN sc ON sc.node = m.parent),
+stop AS (SELECT path.q, coalesce(min(path.dist) FILTER (WHERE NOT walk.up), max(path.dist)) AS dist FROM path LEFT JOIN walk ON walk.q = path.q AND walk.dist = path.dist GROUP BY path.q)
+SELECT path.q AS vec_id, path.ancestor AS spot, path.dist::INTEGER AS climbed FROM path JOIN stop ON stop.q = path.q AND stop.dist = path.dist""")
 def rotate_position(spark, d):
-    """Where rotation puts embedding 0: from its nearest leaf up to the first ancestor that isn't passed."""
+    """Where rotation puts each embedding: from its nearest other leaf up to the first ancestor that isn't passed."""
     p = _points(spark, d)
     h = heap(spark, d)
     n = p.count()
     anc = tree.closure(h)
     stats = _heap_stats(spark, d, h, anc)
     scores = tree.node_scores(h, stats, "cosine").select(F.col("node").alias("parent"), "score")
-    q = p.where("id = 0").select(V.wide("vec").alias("q"))
-    near = knn.exact(p.where("id = 0"), p, 1).select((F.col("neighbour") + n).alias("node"))
-    path = anc.join(F.broadcast(near), "node").select(F.col("ancestor").alias("node"), "dist")  # one path
-    seen = path.join(stats.select("node", "sum"), "node").join(h.select("node", "parent"), "node").join(scores, "parent", "left").crossJoin(F.broadcast(q))
+    near = knn.exact(p.withColumn("vec", V.wide("vec")), p, 1).select(F.col("query").alias("vec_id"), (F.col("neighbour") + n).alias("node"))
+    path = near.join(anc, "node").select("vec_id", F.col("ancestor").alias("node"), "dist")
+    seen = path.join(stats.select("node", "sum"), "node").join(h.select("node", "parent"), "node").join(scores, "parent", "left").join(p.select(F.col("id").alias("vec_id"), V.wide("vec").alias("q")), "vec_id")
     passes = F.round(V.cosine(F.col("q"), F.col("sum")), 9) < F.round("score", 9)
-    marked = seen.select("node", "dist", F.coalesce(passes, F.lit(False)).alias("up"))
-    return marked.where("not up").agg(F.min(F.struct("dist", "node")).alias("m")).select(F.col("m.node").alias("spot"), F.col("m.dist").alias("climbed"))
+    marked = seen.select("vec_id", "node", "dist", F.coalesce(passes, F.lit(False)).alias("up"))
+    return marked.where("not up").groupBy("vec_id").agg(F.min(F.struct("dist", "node")).alias("m")).select("vec_id", F.col("m.node").alias("spot"), F.col("m.dist").alias("climbed"))
 
 
-@query(f"""WITH RECURSIVE {_HEAP_STATS}, {_SCORE_COS}, pr AS (SELECT n + 1 AS a, n + (n // 2) AS b FROM k),
-m AS (SELECT x.ancestor AS lca, x.dist AS da, y.dist AS db FROM pr JOIN anc x ON x.node = a JOIN anc y ON y.node = b AND y.ancestor = x.ancestor ORDER BY x.dist LIMIT 1),
-g AS (SELECT x.ancestor AS x, y.ancestor AS y FROM pr, m, anc x, anc y WHERE x.node = a AND y.node = b AND x.dist < da AND y.dist < db),
-f AS (SELECT g.x, g.y, {_COS} AS score, sx.score AS px, sy.score AS py FROM g JOIN st a ON a.node = g.x JOIN st b ON b.node = g.y
-  JOIN nodes nx ON nx.node = g.x JOIN nodes ny ON ny.node = g.y JOIN sc sx ON sx.node = nx.parent JOIN sc sy ON sy.node = ny.parent)
-SELECT x, y, round(score, 6) + 0.0 AS score, round(score, 9) > round(px, 9) AS x_likes, round(score, 9) > round(py, 9) AS y_likes FROM f""")
-def graft_candidates(spark, d):
-    """The grid of paths below the common ancestor of two leaves: link of each cell, and who prefers it."""
+def _grid_sql(score: str, sc: str, then: str) -> str:
+    """The grids of all pairs of leaves n // 2 apart, cell by cell."""
+    return f"""WITH RECURSIVE {_HEAP_STATS}, {sc}, pr AS (SELECT x.node AS a, x.node + n // 2 AS b FROM leaf x, k WHERE x.node + n // 2 IN (SELECT node FROM leaf)),
+m AS (SELECT * FROM (SELECT a, b, x.dist AS da, y.dist AS db, row_number() OVER (PARTITION BY a, b ORDER BY x.dist) AS r FROM pr JOIN anc x ON x.node = a JOIN anc y ON y.node = b AND y.ancestor = x.ancestor) WHERE r = 1),
+g AS (SELECT m.a AS pa, m.b AS pb, x.ancestor AS x, y.ancestor AS y FROM m JOIN anc x ON x.node = m.a AND x.dist < da JOIN anc y ON y.node = m.b AND y.dist < db),
+f AS (SELECT pa, pb, g.x, g.y, {score} AS score, sx.score AS px, sy.score AS py FROM g JOIN st a ON a.node = g.x JOIN st b ON b.node = g.y
+  JOIN nodes nx ON nx.node = g.x JOIN nodes ny ON ny.node = g.y JOIN sc sx ON sx.node = nx.parent JOIN sc sy ON sy.node = ny.parent),
+c AS (SELECT pa AS a, pb AS b, x, y, score, round(score, 9) > round(px, 9) AS x_likes, round(score, 9) > round(py, 9) AS y_likes FROM f) {then}"""
+
+
+_BEST = """, w AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY round(score, 9) DESC, x, y) AS r FROM c WHERE x_likes AND y_likes) SELECT a, b, x, y, round(score, 6) + 0.0 AS score FROM w WHERE r = 1"""
+
+
+def _grid(spark: SparkSession, d: str, linkage: str, similarity: str = "dot") -> DataFrame:
     h = heap(spark, d)
     n = _read(spark, d, "embeddings").count()
     anc = tree.closure(h)
-    stats = _heap_stats(spark, d, h, anc)
-    scores = tree.node_scores(h, stats, "cosine").select(F.col("node").alias("parent"), "score")
-    pair = spark.createDataFrame([(n + 1, n + n // 2)], "a long, b long")
-    side = lambda c: stats.select(F.col("node").alias(c), F.col("sum").alias(f"s{c}")).join(h.select(F.col("node").alias(c), "parent"), c).join(scores, "parent").select(c, f"s{c}", F.col("score").alias(f"p{c}"))
-    grid = tree.paths_below_lca(pair, anc).join(side("x"), "x").join(side("y"), "y")
-    s = V.cosine(F.col("sx"), F.col("sy"))
-    likes = lambda c: F.round(s, 9) > F.round(c, 9)
-    return grid.select("x", "y", _r(s).alias("score"), likes("px").alias("x_likes"), likes("py").alias("y_likes"))
+    leaf = tree.leaves(h).select("node")
+    pairs = leaf.select(F.col("node").alias("a")).join(leaf.select((F.col("node") - n // 2).alias("a"), F.col("node").alias("b")), "a")
+    return tree.graft_grid(pairs, h, anc, _heap_stats(spark, d, h, anc), linkage, "l2", similarity)
 
 
-@query(f"""WITH RECURSIVE {_HEAP_STATS}, z AS (SELECT n + 3 AS z FROM k),
-c AS (SELECT s.node AS s FROM z JOIN anc x ON x.node = z AND x.dist > 0 JOIN nodes n ON n.node = x.ancestor JOIN nodes s ON s.parent = n.parent AND s.node <> n.node)
-SELECT c.s AS candidate, round({_COS}, 6) + 0.0 AS score FROM c, z, st a, st b WHERE a.node = z AND b.node = c.s""")
+@query(_grid_sql(_COS, _SCORE_COS, "SELECT a, b, x, y, round(score, 6) + 0.0 AS score, x_likes, y_likes FROM c"))
+def graft_candidates(spark, d):
+    """The grids of paths below the common ancestors of all pairs of leaves half the points apart: link of each cell, and who prefers it."""
+    return _grid(spark, d, "cosine").withColumn("score", _r("score"))
+
+
+@query(_grid_sql(_COS, _SCORE_COS, _BEST))
+def graft_best(spark, d):
+    """The best cell of each grid that both sides prefer."""
+    return tree.best_graft(_grid(spark, d, "cosine")).withColumn("score", _r("score"))
+
+
+@query(f"""WITH RECURSIVE {_HEAP_STATS} SELECT z.node AS leaf, c.node AS candidate, round({_COS}, 6) + 0.0 AS score
+FROM leaf z JOIN anc x ON x.node = z.node AND x.dist > 0 JOIN nodes n ON n.node = x.ancestor JOIN nodes c ON c.parent = n.parent AND c.node <> n.node JOIN st a ON a.node = z.node JOIN st b ON b.node = c.node""")
 def restructure_candidates(spark, d):
-    """Siblings of a leaf's ancestors, with their link to the leaf."""
+    """Siblings of each leaf's ancestors, with their link to the leaf."""
     h = heap(spark, d)
-    z = _read(spark, d, "embeddings").count() + 3
     anc = tree.closure(h)
     stats = _heap_stats(spark, d, h, anc)
-    outer = anc.where((F.col("node") == z) & (F.col("dist") > 0)).select(F.col("ancestor").alias("node")).join(tree.siblings(h), "node").select("sibling")
-    own = stats.where(F.col("node") == z).select(F.col("sum").alias("zs"))
-    return outer.join(stats, outer["sibling"] == stats["node"]).crossJoin(F.broadcast(own)).select(F.col("sibling").alias("candidate"), _r(V.cosine(F.col("zs"), F.col("sum"))).alias("score"))
+    outer = anc.where("dist > 0").join(tree.leaves(h).select("node"), "node", "left_semi").select(F.col("node").alias("leaf"), F.col("ancestor").alias("node")).join(tree.siblings(h), "node").select("leaf", F.col("sibling").alias("candidate"))
+    side = lambda c: stats.select(F.col("node").alias(c), F.col("sum").alias(f"s_{c}"))
+    return outer.join(side("leaf"), "leaf").join(side("candidate"), "candidate").select("leaf", "candidate", _r(V.cosine(F.col("s_leaf"), F.col("s_candidate"))).alias("score"))
 
 
 # clustering scores
@@ -583,10 +595,21 @@ def text_words(spark, d):
     return docs.select("doc_id", F.size("w").alias("n_words"), F.size(F.array_distinct("w")).alias("n_distinct"), at(1).alias("first_word"), at(-1).alias("last_word"))
 
 
-@query()
+_WORDS = f"""w AS (SELECT conv_id, turn, list_filter(string_split_regex(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[/.\\-'']', ' \\0 ', 'g'), '[^\\p{{L}}\\p{{N}}\\s]+', ' ', 'g'), '\\s+'), lambda x: x <> '' AND x NOT IN ({_STOP})) AS w FROM conversations)"""
+_BUCKET = "(('0x' || substr(md5({0}), 1, 8))::BIGINT // 2)"
+
+
+@query(f"""WITH {_WORDS}, b AS (SELECT *, list_transform(w, lambda x: {_BUCKET.format('x')} % 16384) AS b FROM w)
+SELECT conv_id, turn, CASE WHEN len(w) = 0 THEN -1 ELSE {_BUCKET.format("array_to_string(w, ' ')")} % 1048576 END::INTEGER AS bucket, len(list_distinct(b))::INTEGER AS n_buckets,
+len(w)::INTEGER AS n_words, coalesce(list_max(list_transform(list_distinct(b), lambda y: len(list_filter(b, lambda z: z = y)))), 0)::DOUBLE AS most FROM b""")
 def text_hashed_features(spark, d):
     docs = _read(spark, d, "conversations").select("conv_id", "turn", FE.words(F.col("text")).alias("w"))
-    return docs.select("conv_id", "turn", FE.single_bucket(F.col("w")).alias("bucket"), F.size(FE.hashed_counts(F.col("w"), 1 << 14)).alias("n_buckets"), F.size("w").alias("n_words"))
+    counts = FE.hashed_counts(F.col("w"), 1 << 14, FE.md5_hash)
+    made = docs.select("conv_id", "turn", "w", counts.alias("c"))
+    return made.select(
+        "conv_id", "turn", FE.single_bucket(F.col("w"), hashed=FE.md5_hash).alias("bucket"), F.size("c").alias("n_buckets"), F.size("w").alias("n_words"),
+        F.coalesce(F.array_max(F.map_values("c")), F.lit(0.0)).alias("most"),
+    )
 
 
 # reshaping
@@ -638,10 +661,10 @@ def dev_blocks(spark, d):
     return sizes.where("n <= 50").orderBy(F.desc("n"), "conv_id").limit(50)
 
 
-@query("SELECT label, count(*) AS n, round(avg(embedding[1]::DOUBLE), 6) + 0.0 AS mean, round(sum(embedding[1]::DOUBLE), 5) + 0.0 AS total, round(var_pop(embedding[1]::DOUBLE), 8) AS variance FROM embeddings GROUP BY label")
+@query("WITH c AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT label, pos::INTEGER AS pos, count(*) AS n, round(avg(x), 6) + 0.0 AS mean, round(sum(x), 5) + 0.0 AS total, round(var_pop(x), 8) AS variance FROM c GROUP BY label, pos")
 def value_moments(spark, d):
-    x = F.col("embedding")[0].cast("double")
-    return _read(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"), _r(F.avg(x)).alias("mean"), _r(F.sum(x), 5).alias("total"), F.round(F.var_pop(x), 8).alias("variance"))
+    x = F.col("x").cast("double")
+    return _read(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("pos", "x")).groupBy("label", "pos").agg(F.count("*").alias("n"), _r(F.avg(x)).alias("mean"), _r(F.sum(x), 5).alias("total"), F.round(F.var_pop(x), 8).alias("variance"))
 
 
 # learned trees: no SQL form; tests compare them with plain versions

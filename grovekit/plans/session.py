@@ -2,14 +2,48 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_MADE: list[tuple[SparkSession, str]] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only a local master may do without one (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="grovekit-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver exits."""
+    path = f"{shared_folder(spark)}/grovekit/{name}-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(_sweep)
+    _MADE.append((spark, path))
+    return path
+
+
+def _sweep() -> None:
+    for spark, path in _MADE:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session is gone already
+            return
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder; where none is set (tests), to a temporary one."""
+    """``df`` written to the session's checkpoint folder."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="grovekit-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

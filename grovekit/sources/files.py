@@ -130,6 +130,11 @@ def write_result(spark: SparkSession, path: str, algorithm: str, dataset: str, v
     spark.createDataFrame([(f"{algorithm}\t{dataset}\t{value}",)], "value string").coalesce(1).write.mode("append").text(path)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes one string as one file."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.option("lineSep", "\n").mode("overwrite").text(path)
+
+
 def save_version(nodes: DataFrame, path: str, version: int) -> None:
     """A snapshot of the tree without derived columns, as one partition."""
     derived = ("sum", "sumsq", "score", "centroid")

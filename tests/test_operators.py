@@ -183,7 +183,7 @@ def _check_tree(out):
             assert sum(r["n"] for r in below) == n[parent]
 
 
-@pytest.mark.parametrize("linkage", ["cosine", "average"])
+@pytest.mark.parametrize("linkage", ["cosine", "average", "centroid"])
 def test_online_on_separable_data(spark, linkage):
     v, labels = _separable()
     order = np.random.default_rng(2).permutation(len(v))
@@ -278,3 +278,76 @@ def test_online_queries_build_one_tree(spark):
         assert len({r["pid"] for r in rows if r["pid"] is not None}) == n
     told = [r["value"] for r in QUERIES["online_statistics"](spark, sf_dir).collect() if r["name"] == "points"]
     assert told == [n]
+
+
+def _shape(rows):
+    """A tree as the set of its nodes' point sets."""
+    below = {}
+    up = {r["node"]: r["parent"] for r in rows}
+    for r in rows:
+        if r["pid"] is not None:
+            at = r["node"]
+            while at is not None:
+                below.setdefault(at, set()).add(r["pid"])
+                at = up[at]
+    return {frozenset(s) for s in below.values()}
+
+
+@pytest.mark.parametrize("config", [online.ClusterConfig(), online.ClusterConfig(linkage="average"), online.ClusterConfig(linkage="centroid", similarity="sql2", centroid="none", graft_search="grid")])
+def test_a_stored_tree_grows_as_a_new_one(spark, config):
+    rng = np.random.default_rng(5)
+    rows = [(b, f"{b}{i}", str(i % 3), rng.standard_normal(6).tolist(), i) for b in "xyz" for i in range(1 if b == "z" else 24)]
+    df = spark.createDataFrame(rows, "block string, pid string, label string, vec array<double>, seq long")
+    first, rest = df.where("seq < 10 and block <> 'y'"), df.where("seq >= 10 or block = 'y'")
+    grown = online.extend(online.build(first, config, "block"), first, rest, config).collect()
+    whole = online.build(df, config, "block").collect()
+    for b in "xyz":
+        _check_tree([r for r in grown if r["block"] == b])
+        assert _shape([r for r in grown if r["block"] == b]) == _shape([r for r in whole if r["block"] == b])
+        assert {r["pid"] for r in grown if r["pid"] is not None and r["block"] == b} == {r[1] for r in rows if r[0] == b}
+
+
+def test_a_collapsed_tree_grows(spark):
+    rng = np.random.default_rng(6)
+    config = online.ClusterConfig(max_leaves=5)
+    df = spark.createDataFrame([("x", str(i), "a", rng.standard_normal(4).tolist(), i) for i in range(30)], "block string, pid string, label string, vec array<double>, seq long")
+    first, rest = df.where("seq < 18"), df.where("seq >= 18")
+    grown = online.extend(online.build(first, config, "block"), first, rest, config).collect()
+    assert sorted(r["pid"] for r in grown if r["pid"] is not None) == sorted(str(i) for i in range(30))
+    assert _shape(grown) == _shape(online.build(df, config, "block").collect())
+
+
+def test_stream_adds_to_stored_trees(spark, tmp_path):
+    from grovekit.streaming import incremental
+
+    rng = np.random.default_rng(7)
+    rows = [("xy"[i % 2], str(i), "a", rng.standard_normal(4).tolist(), i) for i in range(40)]
+    df = spark.createDataFrame(rows, "block string, pid string, label string, vec array<double>, seq long")
+    root = f"file://{tmp_path}/store"
+    incremental.update(spark, root, df.where("seq < 12"), 0)
+    incremental.update(spark, root, df.where("seq >= 8 and seq < 30"), 1)  # some again
+    incremental.update(spark, root, df.where("seq >= 30 and block = 'x'"), 2)
+    incremental.update(spark, root, df.where("seq >= 30 and block = 'x'"), 2)  # replayed
+    got = incremental.current(spark, root).collect()
+    want = online.build(df.where("seq < 30 or block = 'x'"), None, "block").collect()
+    for b in "xy":
+        assert _shape([r for r in got if r["block"] == b]) == _shape([r for r in want if r["block"] == b])
+
+
+def test_hashed_counts_equal_a_plain_count(spark):
+    texts = [[], ["a"], ["a", "b", "a", "c", "a"], ["w%d" % (i % 50) for i in range(3000)]]
+    df = spark.createDataFrame([(t,) for t in texts], "t array<string>")
+    for r in df.select("t", FE.hashed_counts(F.col("t"), 1 << 10).alias("c"), F.transform("t", lambda w: F.pmod(F.hash(w), F.lit(1 << 10))).alias("b")).collect():
+        plain = {}
+        for b in r["b"]:
+            plain[b] = plain.get(b, 0) + 1.0
+        assert r["c"] == plain
+
+
+def test_development_thresholds_come_from_the_trees(spark):
+    v, labels = _separable()
+    df = spark.createDataFrame([(i % 2, i, v[i].tolist(), labels[i]) for i in range(len(v))], "block int, id long, vec array<double>, gold int")
+    told = train.dev_evaluation(df, "block", 6).collect()
+    assert len(told) == 6 and sum(r["best"] for r in told) == 1 and max(r["f1"] for r in told) > 0.5
+    sizes = spark.createDataFrame([("a", "1")] * 4 + [("b", "1")] * 2 + [("b", "-1")] * 2 + [("c", None)] * 9, "block string, gold string")
+    assert [tuple(r) for r in train.dev_blocks(sizes, "block", "gold", 9, 5).collect()] == [("a", 4, 4), ("b", 4, 2)]
