@@ -1,16 +1,16 @@
 """Nearest-neighbour search over ``points(id, vec)``; ties go to the smaller id.
 
-``exact`` multiplies blocks of queries with blocks of points in Arrow batches,
-keeping only each query's best ``k`` of a block, so what is shuffled is
-``queries * k`` rows for each block of points, never all pairs.  ``expression``
+``exact`` multiplies blocks of queries with blocks of points in tasks, keeping
+only each query's best ``k`` of a block, so what is shuffled is the rows once for
+each block of the other side, and ``queries * k`` results for each, never all pairs.  ``expression``
 is the same in plain Column arithmetic, for small tables and SQL parity.
 ``approximate`` joins by locality-sensitive hashing and reranks exactly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
+import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from grovekit.functions import vectors as V
 
-#: Bytes of query vectors that are broadcast at once.
-BLOCK_BYTES = 64 << 20
+#: Rows of a block.
+BLOCK = 4096
 
 
 def top_k(pairs: DataFrame, k: int, query: str = "query", score: str = "score", neighbour: str = "neighbour") -> DataFrame:
@@ -62,31 +62,25 @@ def _block_scores(similarity: str, q: np.ndarray, p: np.ndarray) -> np.ndarray:
 def exact(queries: DataFrame, points: DataFrame, k: int, similarity: str = "cosine") -> DataFrame:
     """(query, neighbour, score, rank): each query's nearest points other than itself.
 
-    The queries are a stated set; they are taken in blocks of ``BLOCK_BYTES``,
-    each of which is broadcast and passes once over the points.
+    Queries and points are dealt into blocks of about ``BLOCK`` rows, and each
+    pair of blocks is one matrix product in a task, of which each query's best
+    ``k`` are kept; nothing passes through the driver.
     """
-    size = queries.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
-    blocks = max(1, -(-(size["n"] * 8 * ((size["d"] or 1) + 1)) // BLOCK_BYTES))
-    found = []
-    for b in range(blocks):
-        block = queries.select("id", V.wide("vec").alias("vec")).where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toPandas()
-        if len(block):
-            found.append(_search(points, block, k, similarity))
-    if not found:
-        return points.sparkSession.createDataFrame([], "query long, neighbour long, score double, rank int")
-    return top_k(reduce(DataFrame.unionByName, found), k)
-
-
-def _search(points: DataFrame, block: pd.DataFrame, k: int, similarity: str) -> DataFrame:
-    ids, vectors = block["id"].to_numpy(), np.array(block["vec"].to_list(), np.float64)
-    shared = points.sparkSession.sparkContext.broadcast((ids, vectors))  # BLOCK_BYTES at most
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = shared.value
-        for batch in batches:
-            pid, p = batch["id"].to_numpy(), np.array(batch["vec"].to_list(), np.float64)
-            if not len(pid):
-                continue
+    spark = points.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = max(queries.count(), points.count())
+    # at least so many blocks that their pairs occupy the tasks
+    blocks = max(1, -(-most // BLOCK), min(math.isqrt(width), -(-most // 256)))
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        at = F.pmod(F.xxhash64("id"), F.lit(blocks)).alias(own)
+        return df.select("id", V.wide("vec").alias("vec"), at, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias(other))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(left) and len(right):
+            ids, pid = left["id"].to_numpy(), right["id"].to_numpy()
+            q, p = (np.array(x["vec"].to_list(), np.float64) for x in (left, right))
             for at in range(0, len(ids), 512):
                 part = ids[at : at + 512]
                 s = _block_scores(similarity, q[at : at + 512], p)
@@ -95,9 +89,12 @@ def _search(points: DataFrame, block: pd.DataFrame, k: int, similarity: str) ->
                 rows = np.repeat(np.arange(len(part)), order.shape[1])
                 cols = order.ravel()
                 keep = np.isfinite(s[rows, cols])
-                yield pd.DataFrame({"query": part[rows[keep]], "neighbour": pid[cols[keep]], "score": s[rows, cols][keep]})
+                found.append(pd.DataFrame({"query": part[rows[keep]], "neighbour": pid[cols[keep]], "score": s[rows, cols][keep]}))
+        return pd.concat(found) if found else pd.DataFrame({"query": np.empty(0, np.int64), "neighbour": np.empty(0, np.int64), "score": np.empty(0)})
 
-    return points.select("id", V.wide("vec").alias("vec")).mapInPandas(run, "query long, neighbour long, score double")
+    kind = points.schema["id"].dataType.simpleString()
+    left, right = dealt(queries, "i", "j").groupBy("i", "j"), dealt(points, "j", "i").groupBy("i", "j")
+    return top_k(left.cogroup(right).applyInPandas(run, f"query {kind}, neighbour {kind}, score double"), k)
 
 
 def approximate(queries: DataFrame, points: DataFrame, k: int, similarity: str = "cosine", radius: float = 1.5, tables: int = 6, bucket: float = 1.0, seed: int = 7) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from grovekit.functions import vectors as V
 from grovekit.plans.session import checkpointed
 
+#: Positions of a vector that are summed as columns.
+WIDE = 256
 NODES = T.StructType([T.StructField("node", T.LongType()), T.StructField("parent", T.LongType()), T.StructField("label", T.StringType())])
 
 
@@ -90,10 +92,16 @@ def leaf_counts(anc: DataFrame, leaf_nodes: DataFrame) -> DataFrame:
 def stats(anc: DataFrame, points: DataFrame) -> DataFrame:
     """(node, n, sum, sumsq) of the leaf vectors ``points(node, vec)`` below each node.
 
-    Sums are by position with partial aggregation, so a node with any number of
-    leaves costs one partial sum for each position and task.
+    Sums are partial aggregates, one row for each node and task, so a node may
+    have any number of leaves.  Vectors of up to ``WIDE`` positions are summed as
+    that many columns, longer ones by position.
     """
     vec = points.select("node", V.wide("vec").alias("vec"))
+    widest = points.agg(F.max(F.size("vec"))).first()[0] or 0
+    if widest <= WIDE:
+        sums = [F.sum(F.col("vec")[i]) for i in range(widest)]
+        found = anc.join(vec, "node").groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("n"), F.array(*sums).cast("array<double>").alias("sum"), F.sum(V.dot(F.col("vec"), F.col("vec"))).alias("sumsq"))
+        return found.select("node", "n", "sum", "sumsq")
     size = anc.join(vec.select("node", V.dot(F.col("vec"), F.col("vec")).alias("sq")), "node").groupBy("ancestor").agg(F.count("*").alias("n"), F.sum("sq").alias("sumsq"))
     parts = anc.join(vec.select("node", F.posexplode("vec").alias("pos", "x")), "node").groupBy("ancestor", "pos").agg(F.sum("x").alias("x"))
     sums = parts.groupBy("ancestor").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("sum"))

@@ -573,11 +573,13 @@ def weighted_similarity(spark, d):
     return both.select("a", F.col("idy").alias("b"), _r(FE.similarity(specs, at("x"), at("y"), weights)).alias("score"))
 
 
-@query(f"""WITH {_E}, s AS (SELECT a.id AS a, b.id AS b, {_COS} AS s FROM e a JOIN e b ON a.id < b.id), m AS (SELECT min(s) AS lo, max(s) AS hi FROM s)
+@query(f"""WITH {_E}, s AS (SELECT a.id AS a, b.id AS b, {_COS} AS s FROM e a JOIN e b ON b.id BETWEEN a.id + 1 AND a.id + 5), m AS (SELECT min(s) AS lo, max(s) AS hi FROM s)
 SELECT a, b, round(1 / (1 + greatest(s, lo) - least(0.0, lo)), 6) AS distance, round(hi - s, 6) + 0.0 AS below, round(s, 6) + 0.0 AS back FROM s, m""")
 def similarity_to_distance(spark, d):
+    """Similarities of points up to five places apart, as distances by two rules, and back."""
     p = _points(spark, d).select("id", V.wide("vec").alias("v"))
-    pairs = p.select(F.col("id").alias("a"), F.col("v").alias("x")).join(p.select(F.col("id").alias("b"), F.col("v").alias("y")), F.col("a") < F.col("b")).select("a", "b", V.cosine(F.col("x"), F.col("y")).alias("s"))
+    near = p.select(F.col("id").alias("a"), F.col("v").alias("x"), F.explode(F.sequence(F.col("id") + 1, F.col("id") + 5)).alias("b"))
+    pairs = near.join(p.select(F.col("id").alias("b"), F.col("v").alias("y")), "b").select("a", "b", V.cosine(F.col("x"), F.col("y")).alias("s"))
     ends = pairs.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
     dist = FE.distance_from_similarity(F.col("s"), F.col("lo"))
     return pairs.crossJoin(F.broadcast(ends)).select("a", "b", _r(dist).alias("distance"), _r(FE.distance_below_largest(F.col("s"), F.col("hi"))).alias("below"), _r(FE.similarity_from_distance(dist, F.col("lo"))).alias("back"))
@@ -628,13 +630,10 @@ def join_point_cluster(spark, d):
     return files.join_clusters(matrix, clusters).join(matrix.select("pid", "n_chars"), "pid").select("pid", "label", "n_chars")
 
 
-@query("SELECT doc_id, row_number() OVER (ORDER BY md5('34|' || doc_id), doc_id) AS place FROM documents")
+@query("SELECT doc_id, md5('34|' || doc_id) AS shuffle_key FROM documents")
 def deterministic_shuffle(spark, d):
-    """Places in the shuffled order; the window is over ids alone, as the query returns places."""
-    from pyspark.sql import Window as W
-
-    docs = files.shuffled(_read(spark, d, "documents").select("doc_id"), 1, "doc_id")
-    return docs.select("doc_id", F.row_number().over(W.orderBy("shuffle_key", "doc_id")).cast("long").alias("place"))
+    """Documents in the order of their hash with a seed, by which they are range-partitioned."""
+    return files.shuffled(_read(spark, d, "documents").select("doc_id"), 1, "doc_id")
 
 
 @query("SELECT vec_id, md5('node-' || vec_id) AS name, regexp_replace(coalesce(label::VARCHAR, 'None'), '[^\\w .:-]', '_', 'g') AS clean FROM embeddings")
