@@ -183,6 +183,11 @@ def clean_label(label: Column) -> Column:
     return F.regexp_replace(F.coalesce(label, F.lit("None")), r"[^\w .:-]", "_")
 
 
+def random_name() -> Column:
+    """A name that no other node has."""
+    return F.expr("uuid()")
+
+
 def node_name(seq: Column) -> Column:
     """A deterministic name of the ``seq``-th node."""
     return F.md5(F.concat(F.lit("node-"), seq.cast("string")))

@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from grovekit.functions import vectors as V
+from grovekit.plans.session import checkpointed
 
 #: Rows of a block.
 BLOCK = 4096
@@ -129,6 +130,32 @@ def graph_renamed(links: DataFrame, names: DataFrame) -> DataFrame:
     return links.where("src <> dst").groupBy("src", "dst").agg(F.max("score").alias("score"))
 
 
+def climb(queries: DataFrame, points: DataFrame, links: DataFrame, k: int, roots: int = 3, similarity: Callable[[Column, Column], Column] = V.cosine, max_steps: int = 100, seed: int = 5) -> DataFrame:
+    """(query, neighbour, score, rank): the nearest points that a climb over ``links(src, dst)`` reaches.
+
+    All queries start at the same ``roots`` points (the least hashes) and step
+    together: a query's best ``k`` so far that weren't opened yet are opened, and
+    their links' ends are compared.  It ends when no query has one to open, or
+    after ``max_steps``.
+    """
+    vec = lambda df, c: df.select(F.col("id").alias(c), V.wide("vec").alias(f"v_{c}"))
+    ask, have = vec(queries, "query"), vec(points, "neighbour")
+    start = points.select("id").orderBy(F.xxhash64(F.lit(seed), F.col("id")), "id").limit(roots).select(F.col("id").alias("neighbour"))
+    scored = lambda pairs: pairs.join(ask, "query").join(have, "neighbour").select("query", "neighbour", similarity(F.col("v_query"), F.col("v_neighbour")).alias("score"), F.lit(False).alias("opened"))
+    # the roots are a handful of rows, which every query is to be compared with
+    seen = checkpointed(scored(queries.select(F.col("id").alias("query")).crossJoin(F.broadcast(start)).where("query <> neighbour")))
+    for _ in range(max_steps):
+        best = top_k(seen, k).select("query", "neighbour", "opened")
+        front = checkpointed(best.where("not opened").select("query", "neighbour"))
+        if front.isEmpty():
+            break
+        ends = front.join(links.select(F.col("src").alias("neighbour"), "dst"), "neighbour").select("query", F.col("dst").alias("neighbour")).where("query <> neighbour").distinct()
+        new = scored(ends.join(seen.select("query", "neighbour"), ["query", "neighbour"], "left_anti"))
+        marked = seen.join(front.withColumn("now", F.lit(True)), ["query", "neighbour"], "left").select("query", "neighbour", "score", (F.col("opened") | F.coalesce("now", F.lit(False))).alias("opened"))
+        seen = checkpointed(marked.unionByName(new))
+    return top_k(seen.drop("opened"), k)
+
+
 def improve(links: DataFrame, points: DataFrame, k: int, similarity: Callable[[Column, Column], Column] = V.cosine) -> DataFrame:
     """One round of neighbour-of-neighbour search over a link table: (src, dst, score)."""
     hop = links.select(F.col("src").alias("mid"), F.col("dst").alias("far"))

@@ -85,6 +85,12 @@ def class_counts(anc: DataFrame, leaf_labels: DataFrame) -> DataFrame:
     return anc.join(named, "node").groupBy(F.col("ancestor").alias("node"), "label").agg(F.count("*").alias("n"))
 
 
+def collapsible(nodes: DataFrame) -> DataFrame:
+    """(node): the inner nodes all of whose children are leaves."""
+    kids = with_leaf_flag(nodes).where("parent is not null").groupBy(F.col("parent").alias("node"))
+    return kids.agg(F.every("is_leaf").alias("flat")).where("flat").select("node")
+
+
 def leaf_counts(anc: DataFrame, leaf_nodes: DataFrame) -> DataFrame:
     return anc.join(leaf_nodes.select("node"), "node", "left_semi").groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("n_leaves"))
 

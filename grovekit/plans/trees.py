@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from grovekit.functions import features as FE
 from grovekit.functions import vectors as V
 from grovekit.operators import knn, online, train, tree
-from grovekit.plans.catalogue import _BEST, _E, _HEAP_STATS, _SQ, _SUMS, _grid, _grid_sql, _heap_stats, _label_pairs, _online_points, _points, _r, _read, heap, query
+from grovekit.plans.catalogue import _BEST, _E, _HEAP_STATS, _SCORE_COS, _SQ, _SUMS, _grid, _grid_sql, _heap_stats, _label_pairs, _online_points, _points, _r, _read, heap, query
 
 # linkage of centroids
 
@@ -176,3 +176,27 @@ def nn_without_offlimits(spark, d):
     wide = knn.exact(p, p, p.count(), "dot").drop("rank").withColumn("raw", F.col("score")).withColumn("score", F.round("score", 9))
     barred = wide.where((F.col("query") + F.col("neighbour")) % 3 == 0)
     return knn.top_k(knn.without(wide, barred), 2).select("query", "neighbour", _r("raw").alias("score"), "rank")
+
+
+@query(f"""WITH RECURSIVE {_HEAP_STATS}, {_SCORE_COS} SELECT sc.node, round(score, 6) + 0.0 AS score FROM sc
+WHERE NOT EXISTS (SELECT 1 FROM nodes c WHERE c.parent = sc.node AND c.node NOT IN (SELECT node FROM leaf))""")
+def collapsible_pairs(spark, d):
+    """The nodes of two leaves, with the score by which they would be collapsed."""
+    h = heap(spark, d)
+    scores = tree.node_scores(h, _heap_stats(spark, d, h, tree.closure(h)), "cosine")
+    return scores.join(tree.collapsible(h), "node").select("node", _r("score").alias("score"))
+
+
+@query()
+def online_snapshots(spark, d):
+    """The tree over the whole table after each quarter of the insertions."""
+    p = _online_points(spark, d)
+    return online.snapshots(p, -(-p.count() // 4))
+
+
+@query()
+def knn_graph_climb(spark, d):
+    """Nearest neighbours by climbing a capped link graph."""
+    p = _points(spark, d)
+    links = knn.graph_links(knn.exact(p, p, 8), 16)
+    return knn.climb(p, p, links, 5).select("query", "neighbour", _r("score").alias("score"), "rank")
