@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grovekit.llm import scratch
 from grovekit.llm.html_blocks import Block, blocks
 
 PATH, WORDS, MEASURES, HIDDEN = 256, 48, 8, 20
@@ -375,6 +376,7 @@ def extract(pages: list[str | None], net: Labeller) -> list[str]:
 def main_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """``pages``' columns but ``html``, with ``text`` and ``n_chars`` (columns of those names are replaced)."""
     own = [c for c in pages.columns if c not in ("text", "n_chars", html)]
+    scratch.small_batches(pages.sparkSession)
     net = pages.sparkSession.sparkContext.broadcast(train())  # a fixed number of weights
 
     @F.pandas_udf("string")
