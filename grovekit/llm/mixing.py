@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 #: Up to so many sources the table of rates is broadcast (a few hundred bytes each).
 BROADCAST_SOURCES = 20_000
@@ -92,17 +93,20 @@ def replicate(
     more = F.aggregate(F.sequence(F.lit(2), F.col("draws")), F.lit(0), lambda total, k: total + count(further(k)))
     counted = joined.withColumn("u", draw).withColumn("repeats", count(F.col("u")) + F.when(F.col("draws") > 1, more).otherwise(0)).where("repeats > 0")
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
-    dealt = copies.withColumn("place", F.xxhash64(F.lit(seed), F.col(names[key]), F.col("copy")))
+    # rows without a key are told apart by their other values, so that they don't all land in one task
+    plain = [F.col(a) for c, a in names.items() if isinstance(docs.schema[c].dataType, AtomicType)]
+    apart = F.when(F.col(names[key]).isNull(), F.xxhash64(*plain, F.lit(seed))).otherwise(F.lit(0).cast("long"))
+    dealt = copies.withColumn("place", F.xxhash64(F.lit(seed), F.col(names[key]), apart, F.col("copy")))
     columns = [F.col(a).alias(c) for c, a in names.items()]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return dealt.select(*names.values(), "copy", "repeats", "rate", "place").repartition(parts, "place").sortWithinPartitions("place").select(*columns, "copy", "repeats", "rate")
 
 
-#: The same rows in DuckDB, with alpha 0.5, max_rate 8 and seed 11; without max_rate they are equal where no rate is above 8.
+#: The same rows in DuckDB, with alpha 0.5 and seed 11, where no rate is above LARGEST_RATE.
 SQL = """
 WITH RECURSIVE counted AS (SELECT source AS src, count(*) AS n FROM documents GROUP BY 1),
 total AS (SELECT sum(n) AS all_n, sum(sqrt(n::DOUBLE)) AS all_w FROM counted),
-rated AS (SELECT src, least(8.0::DOUBLE, all_n * (sqrt(n::DOUBLE) / all_w) / n) AS rate FROM counted, total),
+rated AS (SELECT src, all_n * (sqrt(n::DOUBLE) / all_w) / n AS rate FROM counted, total),
 cdf AS (
   SELECT src, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rated
   UNION ALL

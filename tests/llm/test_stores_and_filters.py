@@ -1,5 +1,6 @@
 """Mixing, sharding, URL filters and the pipeline."""
 
+import itertools
 import math
 import os
 import random
@@ -7,6 +8,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +78,13 @@ def test_rare_sources_reach_their_weights(spark):
     assert len(each) == 10 and all(near(n, 1080) for n in each) and len(set(each)) > 5
 
 
+def test_rows_without_id_are_spread(spark):
+    docs = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.lit("s").alias("source"))
+    out = mixing.replicate(docs)
+    tasks = {r["p"]: r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()}
+    assert sum(tasks.values()) == out.count() and (not tasks or max(tasks.values()) < 0.5 * sum(tasks.values()))
+
+
 def test_store(spark):
     store = sharding.ShardStore(spark, scratch.fresh(spark, "store"), target_bytes=60_000, fanin=3, small_bytes=4_000)
     df = spark.range(6000).select(F.col("id"), F.md5(F.col("id").cast("string")).alias("text"), F.lit(None).cast("string").alias("shard_note"))
@@ -261,7 +270,47 @@ def test_query_equals_sql(spark, name):
     assert sorted((tuple(r) for r in got.select(*columns).collect()), key=str) == sorted((tuple(r[i] for i in order) for r in want.fetchall()), key=str)
 
 
-def test_pipeline(spark):
+def _firsts(texts):
+    """The least doc_id of each component of links, by all pairs."""
+    sets = {}
+    for i, t in texts.items():
+        w = t.encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if x and y and 100 * len(x & y) >= 80 * len(x | y):
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    return sorted(i for i in sets if find(i) == i)
+
+
+def _repeats(index, text):
+    """Whether a window of the benchmark lies within its budget of edits in the text, by the whole table."""
+    points = decontaminate.normalise(text)[0].astype(np.int64)
+    sizes = {len(w) for w in index.windows}
+    for m in sizes:
+        own = [i for i, w in enumerate(index.windows) if len(w) == m]
+        windows, edits = np.stack([index.windows[i] for i in own]).astype(np.int64), index.edits[own]
+        place = np.arange(m + 1)
+        column = np.broadcast_to(place, (len(own), m + 1)).copy()
+        for x in points:
+            new = column + 1
+            new[:, 1:] = np.minimum(new[:, 1:], column[:, :-1] + (windows != x))
+            new[:, 0] = 0
+            column = np.minimum.accumulate(new - place, axis=1) + place
+            if (column[:, -1] <= edits).any():
+                return True
+    return False
+
+
+def test_pipeline(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "jaccard_join", "decontamination", "mixing", "sharding"]
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     extra = [(10**6, None, None, None, None), (10**6 + 1, "", "en", "s", 0), (10**6 + 2, "12 !!", "en", "s", 5)]
@@ -273,16 +322,25 @@ def test_pipeline(spark):
             assert out.columns == docs.columns
         if name == "language_id":
             assert out.where("doc_id >= 1000000").count() == 0 and out.count() >= 0.98 * (before - 3)
+            known = {r["doc_id"]: r["lang"] for r in docs.collect()}
+            assert all(known[r["doc_id"]] is not None or r["text"] for r in out.collect())
         if name == "jaccard_join":
-            left = jaccard_join.join(out).where("doc_id <> component_id")
-            assert left.count() == 0 and out.count() < before
+            assert sorted(r["doc_id"] for r in out.collect()) == _firsts({r["doc_id"]: r["text"] for r in docs.collect()}) and out.count() < before
         if name == "decontamination":
             bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+            kept = {r["doc_id"] for r in out.collect()}
+            index = decontaminate.build_index([(r["item_id"], r["text"]) for r in bench.collect()])
+            short = [r for r in docs.collect() if len(r["text"]) <= 900]
+            assert {r["doc_id"] for r in short if not _repeats(index, r["text"])} == {r["doc_id"] for r in short} & kept and len(short) > 40
             assert decontaminate.leaks(out, bench).count() == 0 and out.count() < before
         if name == "mixing":
-            assert out.join(docs, "doc_id", "left_anti").count() == 0
+            c = duckdb.connect()
+            docs.coalesce(1).write.parquet(str(tmp_path / "docs"))
+            c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/docs/*.parquet'")
+            want = c.sql(f"SELECT doc_id, count(*) AS n FROM ({registry.ORACLE['op3_mixing']}) GROUP BY doc_id").fetchall()
+            assert sorted((r["doc_id"], r["n"]) for r in out.groupBy("doc_id").agg(F.count("*").alias("n")).collect()) == sorted(want)
         if name == "sharding":
-            assert out.count() == before
+            assert out.count() == before and out.select(*docs.columns).exceptAll(docs).count() == 0
         docs = out
     none = docs.select(*corpus_pipeline.STAGES and spark.read.parquet(f"{SMALL}/documents.parquet").columns).where("false")
     for _, stage in corpus_pipeline.STAGES:
