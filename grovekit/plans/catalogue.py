@@ -724,6 +724,14 @@ def dev_threshold(spark, d):
     return train.best_threshold(p, "block", [0.5, 0.8, 1.1, 1.4, 1.7, 2.0])
 
 
-@query()
+_COLOURS = ", ".join(f"'{c}'" for c in files.COLOURS)
+
+
+@query(HEAP + f""", {_COUNTS}, {_STRICT}, t AS (SELECT node, label::VARCHAR AS label, n, row_number() OVER (PARTITION BY node ORDER BY n DESC, label::VARCHAR) AS place FROM cnt),
+c AS (SELECT node, string_agg(label || '=' || n, '\\n' ORDER BY place) AS classes, count(*) AS kinds, min(label) AS one FROM t WHERE place <= 10 GROUP BY node),
+p AS (SELECT cnt.node, round(max(cnt.n) / any_value(tot.n), 3) AS purity FROM cnt JOIN tot USING (node) GROUP BY cnt.node)
+SELECT 'digraph tree {{' AS line UNION ALL SELECT '}}' UNION ALL SELECT '"' || parent || '" -> "' || node || '";' FROM nodes WHERE parent IS NOT NULL
+UNION ALL SELECT '"' || node || '" [style=filled,fillcolor=' || CASE WHEN kinds = 1 THEN [{_COLOURS}][{_BUCKET.format("one")} % {len(files.COLOURS)} + 1] ELSE 'grey' END || CASE WHEN parent IS NULL THEN ',shape=star' ELSE '' END
+  || ',label="' || node || '\\n' || every.n || ' leaves\\npurity ' || coalesce(purity::VARCHAR, '-') || '\\n' || coalesce(classes, '') || '"];' FROM nodes JOIN every USING (node) LEFT JOIN p USING (node) LEFT JOIN c USING (node)""")
 def tree_dot(spark, d):
     return files.dot_lines(heap(spark, d))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.functions.features import clean_label
+from grovekit.functions.features import clean_label, md5_hash
 from grovekit.functions import vectors as V
 from grovekit.operators import evaluate, tree
 
@@ -116,7 +116,7 @@ def dot_lines(nodes: DataFrame) -> DataFrame:
     leaf = tree.leaves(nodes)
     tops = evaluate.class_top(anc, leaf, 10).groupBy("node").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "label", "n"))), lambda s: F.concat(clean_label(s["label"]), F.lit("="), s["n"].cast("string"))), "\\n").alias("classes"), F.count("*").alias("kinds"), F.min("label").alias("only"))
     said = nodes.join(tree.leaf_counts(anc, leaf), "node").join(evaluate.node_purity(anc, leaf), "node", "left").join(tops, "node", "left")
-    colour = F.when(F.col("kinds") == 1, F.element_at(F.array(*[F.lit(c) for c in COLOURS]), (F.pmod(F.xxhash64("only"), F.lit(len(COLOURS))) + 1).cast("int"))).otherwise("grey")
+    colour = F.when(F.col("kinds") == 1, F.element_at(F.array(*[F.lit(c) for c in COLOURS]), (F.pmod(md5_hash(F.col("only")), F.lit(len(COLOURS))) + 1).cast("int"))).otherwise("grey")
     name = lambda c: F.concat(F.lit('"'), clean_label(F.col(c).cast("string")), F.lit('"'))
     body = said.select(F.concat(name("node"), F.lit(' [style=filled,fillcolor='), colour, F.when(F.col("parent").isNull(), ",shape=star").otherwise(""), F.lit(',label="'), F.col("node").cast("string"), F.lit("\\n"), F.col("n_leaves").cast("string"), F.lit(" leaves\\npurity "), F.coalesce(F.round("purity", 3).cast("string"), F.lit("-")), F.lit("\\n"), F.coalesce("classes", F.lit("")), F.lit('"];')).alias("line"))
     arrows = nodes.where("parent is not null").select(F.concat(name("parent"), F.lit(" -> "), name("node"), F.lit(";")).alias("line"))
