@@ -238,10 +238,11 @@ def removed_lines(later: np.ndarray, words: np.ndarray, owners: list[np.ndarray]
 
 
 def overlapping(keyed: DataFrame) -> DataFrame:
-    """(a, b): pairs of an earlier and a later document, from ``keyed(d, r, keys)``."""
-    held = keyed.select("d", "r", F.explode("keys").alias("key")).distinct()
-    shared = held.groupBy("key").agg(F.min_by("r", F.struct("d", "r")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    met = held.join(shared, "key")
+    """(a, b): pairs of an earlier and a later document, from ``keyed(d, r, keys)`` with a row for each document."""
+    held = keyed.select("d", "r", F.explode("keys").alias("key"))
+    # written first, so that Spark can split the join below where a key is frequent
+    shared, _ = scratch.settle(held.groupBy("key").agg(F.min_by("r", F.struct("d", "r")).alias("first"), F.count("*").alias("n")).where("n > 1"), "shared")
+    met = held.join(shared.hint("merge"), "key")
     rare = met.where(F.col("n") <= RARE)
     earlier, later = rare.select("key", F.col("d").alias("d0"), F.col("r").alias("a")), rare.select("key", F.col("d").alias("d1"), F.col("r").alias("b"))
     among = earlier.join(later, "key").where("d0 < d1 or (d0 = d1 and a < b)").select("a", "b")
@@ -266,9 +267,10 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", min_block_w
         for batch in batches:
             yield batch.assign(keys=[run_keys(np.asarray(h), np.asarray(w), min_block_words) for h, w in zip(batch["h"], batch["w"], strict=True)])
 
-    hashed, lines_path = scratch.settle(hashed.mapInPandas(runs, "d long, r long, h array<long>, w array<int>, keys array<long>"), "lines")
+    hashed = hashed.mapInPandas(runs, "d long, r long, h array<long>, w array<int>, keys array<long>").dropDuplicates(["r"])  # rows that repeat are equal
+    hashed, lines_path = scratch.settle(hashed, "lines")
     pairs, pairs_path = scratch.settle(overlapping(hashed.select("d", "r", "keys")), "pairs")
-    one = hashed.select(F.col("r").alias("node"), "h", "w").dropDuplicates(["node"])  # rows that repeat are equal
+    one = hashed.select(F.col("r").alias("node"), "h", "w")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         owner = np.empty(0, np.int64)
@@ -287,7 +289,8 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", min_block_w
     gone = gone.select("r", F.explode("gone").alias("g")).groupBy("r").agg(F.sort_array(F.collect_set("g")).alias("__gone"))  # a document's own lines
     gone, _ = scratch.settle(gone, "gone")
     scratch.drop(docs.sparkSession, lines_path, pairs_path)
-    parted = keyed.join(gone.withColumnRenamed("r", "__r"), F.col("__row") == F.col("__r"), "left").withColumn("__parts", F.split(F.col(text), "\n"))
+    # the same join at every size: both sides by the row's hash
+    parted = keyed.join(gone.withColumnRenamed("r", "__r").hint("merge"), F.col("__row") == F.col("__r"), "left").withColumn("__parts", F.split(F.col(text), "\n"))
     count = F.coalesce(F.size("__parts"), F.lit(0))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), "__gone")
     kept = F.array_join(F.transform(stay, lambda i: F.get("__parts", i)), "\n")
