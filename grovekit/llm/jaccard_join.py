@@ -55,7 +55,7 @@ BROADCAST_IDS = 1_000_000
 #: Sizes of a tier: from lo to 1.5 * lo.
 TIER_RATIO = 1.5
 #: Signatures that a task packs or sorts at once.
-SIGNATURES = 500_000
+SIGNATURES = 250_000
 #: Bytes kept of a signature besides its bucket; a chance agreement costs a search, not a wrong link.
 WIDTH = 5
 #: Points of a tile.
@@ -387,8 +387,17 @@ class _Work:
         """The leaders' links."""
         return self.verified(self.keep(_searched(self.pairs, self.points, self.percent), "near"))
 
-    def components(self, links: DataFrame) -> tuple[DataFrame, str]:
-        return stored_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    def components(self, links: DataFrame, before: DataFrame | None = None) -> tuple[DataFrame, str]:
+        """(node, component) of the links and those that gave ``before``, of which only the components are joined."""
+        if before is None:
+            return stored_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        named = lambda c: before.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+        edges = links.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("of_a", "a").alias("u"), F.coalesce("of_b", "b").alias("v"))
+        met, path = stored_components(edges)
+        moved = before.join(met.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        made = scratch.settle(moved.unionByName(met.join(before.select("node"), "node", "left_anti")), "components")
+        scratch.drop(self.spark, path)
+        return made
 
     def done(self) -> None:
         scratch.drop(self.spark, *self.paths)
@@ -398,17 +407,17 @@ class _Work:
 def _joined(docs: DataFrame, words: int, percent: int, key: str, text: str, sign_set: Callable[[np.ndarray, int], np.ndarray]) -> tuple[DataFrame, list[str]]:
     """(doc_id, k, n, group, least, class_size) for each row, and the paths that it is read from; group names a component of any rows."""
     work = _Work(docs, words, percent, key, text, sign_set)
-    links = work.led()
-    comps, path = work.components(links)
+    comps, path = work.components(work.led())
     tried = work.pairs
     for first in (True, False):  # likeliest pairs first: what they connect needs no more pairs; then all that are left
         left = work.keep(work.crossing(comps, first).join(tried, ["a", "b"], "left_anti"), "crossing")
         if left.limit(1).count():
             more = work.verified(left)
-            links, tried = links.union(more), tried.union(left)
+            tried = tried.union(left)
             if more.limit(1).count():
-                scratch.drop(work.spark, path)
-                comps, path = work.components(links)
+                old = path
+                comps, path = work.components(more, comps)
+                scratch.drop(work.spark, old)
     work.done()
 
     classes = work.sets.where("n > 0").groupBy("node", "check").agg(F.min("doc_id").alias("first"), F.count("*").alias("class_size"))

@@ -284,6 +284,7 @@ def _slices(tokens: float, each: int) -> int:
 def train(docs: DataFrame, text: str = "text") -> Model:
     """Counts the model of all rows of ``docs``."""
     spark = docs.sparkSession
+    scratch.small_batches(spark)
     rows = docs.select(F.col(text).cast("binary").alias("t"))
     size = rows.agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("t"), F.lit(0))).alias("b")).first()
     tokens = (size["b"] or 0) / 6 + size["n"]
@@ -421,6 +422,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs``' columns but the text, with n_tokens, n_known, train_tokens, base_score and score."""
     added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     own = [c for c in docs.columns if c not in (*added, text)]
+    scratch.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # sizes of files and totals only
 
     @F.pandas_udf("n_tokens long, n_known long, base_score double, score double")

@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grovekit.llm import scratch
+
 BITS = 15
 DIM = 1 << BITS
 ORDERS = (1, 2, 3)
@@ -38,13 +40,15 @@ _ALPHA: list[np.ndarray] = []
 def _tables() -> list[np.ndarray]:
     """For each code point: whether it is a letter, and its lower case."""
     if not _ALPHA:
-        chars = [chr(i) for i in range(0x110000)]
-        lower = np.arange(0x110000, dtype=np.uint32)
-        for i, c in enumerate(chars):
-            low = c.lower() if c.isalpha() else c
-            if low != c and len(low) == 1:
-                lower[i] = ord(low)
-        _ALPHA.extend([np.fromiter((c.isalpha() for c in chars), bool, len(chars)), lower])
+        alpha, lower = np.zeros(0x110000, bool), np.arange(0x110000, dtype=np.uint32)
+        for i in range(0x110000):
+            c = chr(i)
+            if c.isalpha():
+                alpha[i] = True
+                low = c.lower()
+                if low != c and len(low) == 1:
+                    lower[i] = ord(low)
+        _ALPHA.extend([alpha, lower])
     return _ALPHA
 
 
@@ -164,6 +168,7 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 500) -> LanguageModel:
     """Fits a model to the rows of ``labelled`` with a non-null ``lang``."""
+    scratch.small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null")
     sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
@@ -213,6 +218,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` appended (columns of those names are replaced)."""
+    scratch.small_batches(docs.sparkSession)
     kept = docs.select([c for c in docs.columns if c not in ("lang_pred", "score")])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

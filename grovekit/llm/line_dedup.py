@@ -237,16 +237,19 @@ def removed_lines(later: np.ndarray, words: np.ndarray, owners: list[np.ndarray]
     return np.flatnonzero(gone)
 
 
-def overlapping(keyed: DataFrame) -> DataFrame:
-    """(a, b): pairs of an earlier and a later document, from ``keyed(d, r, keys)`` with a row for each document."""
+def overlapping(keyed: DataFrame) -> tuple[DataFrame, str]:
+    """(a, b): pairs of an earlier and a later document, from ``keyed(d, r, keys)`` with a row for each document; and the path that they lie at."""
     held = keyed.select("d", "r", F.explode("keys").alias("key"))
-    # written first, so that Spark can split the join below where a key is frequent
-    shared, _ = scratch.settle(held.groupBy("key").agg(F.min_by("r", F.struct("d", "r")).alias("first"), F.count("*").alias("n")).where("n > 1"), "shared")
-    met = held.join(shared.hint("merge"), "key")
+    # both are written, so that Spark can split the join of the two where a key is frequent
+    shared, shared_path = scratch.settle(held.groupBy("key").agg(F.min_by("r", F.struct("d", "r")).alias("first"), F.count("*").alias("n")).where("n > 1"), "shared")
+    met, met_path = scratch.settle(held.join(shared.hint("merge"), "key"), "met")
     rare = met.where(F.col("n") <= RARE)
     earlier, later = rare.select("key", F.col("d").alias("d0"), F.col("r").alias("a")), rare.select("key", F.col("d").alias("d1"), F.col("r").alias("b"))
     among = earlier.join(later, "key").where("d0 < d1 or (d0 = d1 and a < b)").select("a", "b")
-    return met.where((F.col("n") > RARE) & (F.col("r") != F.col("first"))).select(F.col("first").alias("a"), F.col("r").alias("b")).union(among).distinct()
+    frequent = met.where((F.col("n") > RARE) & (F.col("r") != F.col("first"))).select(F.col("first").alias("a"), F.col("r").alias("b"))
+    pairs = scratch.settle(frequent.union(among).distinct(), "pairs")
+    scratch.drop(keyed.sparkSession, shared_path, met_path)
+    return pairs
 
 
 def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", min_block_words: int = 5) -> DataFrame:
@@ -269,7 +272,7 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", min_block_w
 
     hashed = hashed.mapInPandas(runs, "d long, r long, h array<long>, w array<int>, keys array<long>").dropDuplicates(["r"])  # rows that repeat are equal
     hashed, lines_path = scratch.settle(hashed, "lines")
-    pairs, pairs_path = scratch.settle(overlapping(hashed.select("d", "r", "keys")), "pairs")
+    pairs, pairs_path = overlapping(hashed.select("d", "r", "keys"))
     one = hashed.select(F.col("r").alias("node"), "h", "w")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
