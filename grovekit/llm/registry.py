@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.llm import decontaminate, html_extract, jaccard_join, kneserney, langid, line_dedup, minhash, mixing, sharding, urlfilter
+from grovekit.llm import collocations, decontaminate, filter_audit, html_extract, jaccard_join, kneserney, langid, line_dedup, minhash, mixing, quality, sharding, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.ledger(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return found.select("doc_id", *base, (~quality.passes(quality.BASE)).alias("base_failed"), quality.passes(quality.PROSE).alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_language_id": op2_language_id,
@@ -72,9 +86,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_lm_score": op9_lm_score,
     "op10_decontaminate": op10_decontaminate,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_collocations": op12_collocations,
+    "op13_quality_rules": op13_quality_rules,
 }
 ORACLE: dict[str, str] = {
     "op3_mixing": mixing.SQL,
     "op6_jaccard_join": jaccard_join.SQL,
     "op8_url_filter": urlfilter.SQL,
+    "op11_filter_audit": filter_audit.SQL,
+    "op12_collocations": collocations.SQL,
+    "op13_quality_rules": quality.SQL,
 }
