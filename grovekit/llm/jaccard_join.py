@@ -43,6 +43,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from grovekit.llm import scratch
 from grovekit.llm.components import stored_components
@@ -466,29 +467,34 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are the least doc_id of their component.
+    """One row of each component: that of the least doc_id, and of its texts the one of the least hash.
 
-    Repeats of a row count once.  A row without doc_id goes if its component has
-    one with a doc_id; else one of the component's rows stays, that with the
-    least hash of its text.  Rows without words link with nothing and stay.
+    Rows are told apart by doc_id and text: several texts under one doc_id are
+    different rows, and only rows equal in both are repeats, of which one stays
+    (that of the least hash of all its plain columns).  Rows without doc_id come
+    after all others.  Rows without words link with nothing, and all stay.
     """
     found, paths = _joined(docs, words, percent, key, text, signatures)
-    found, _ = scratch.settle(found, "joined")
+    found, joined_path = scratch.settle(found.where("n > 0").select("doc_id", "k", "group"), "joined")
     scratch.drop(docs.sparkSession, *paths)
-    gone = found.where("doc_id <> least").select(F.col("doc_id").alias(key)).distinct()
-    stay = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, key, "left_anti")
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("k").alias("at"))
+    # written, so that a large group is a join whose skew Spark splits
+    firsts, firsts_path = scratch.settle(found.groupBy("group").agg(F.min(order).alias("f"), F.count("*").alias("rows")).where("rows > 1").select("group", "f.id", "f.at"), "firsts")
+    gone, _ = scratch.settle(found.join(firsts, "group").where("not (doc_id <=> id and k = at)").select(F.col("doc_id").alias("_id"), F.col("k").alias("_at")).distinct(), "gone")
+    again, _ = scratch.settle(found.groupBy("doc_id", "k").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("k").alias("_at")), "repeats")
+    scratch.drop(docs.sparkSession, joined_path, firsts_path)
+
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    plain = [F.col(a) for c, a in names.items() if isinstance(docs.schema[c].dataType, AtomicType)]
+    rows = docs.select(*[F.col(c).alias(a) for c, a in names.items()]).withColumn("_k", F.xxhash64(F.col(names[text]).cast("binary")))
+    listed = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    same = F.col(names[key]).cast("long").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_at"))
+    stay = rows.join(listed(gone), same, "left_anti")
     if again.limit(1).count():
-        once = stay.join(again, key, "left_semi").dropDuplicates([key])
-        stay = stay.join(again, key, "left_anti").unionByName(once)
-    unnamed = found.where("doc_id is null and n > 0")
-    if unnamed.limit(1).count():
-        kept = unnamed.where("least is null").groupBy("group").agg(F.min("k").alias("_k"))
-        hashed = stay.where(F.col(key).isNull()).withColumn("_k", F.xxhash64(F.col(text).cast("binary")))
-        wordless = hashed.join(unnamed.select(F.col("k").alias("_k")).distinct(), "_k", "left_anti")
-        once = hashed.join(kept.select("_k"), "_k", "left_semi").dropDuplicates(["_k"])
-        stay = stay.where(F.col(key).isNotNull()).unionByName(wordless.unionByName(once).select(*docs.columns))
-    return stay
+        repeats = listed(again)
+        once = stay.join(repeats, same, "left_semi").groupBy(names[key], "_k").agg(F.min_by(F.struct(*names.values()), F.xxhash64(*plain)).alias("row")).select("row.*", "_k")
+        stay = stay.join(repeats, same, "left_anti").unionByName(once)
+    return stay.select(*[F.col(a).alias(c) for c, a in names.items()])
 
 
 #: The same rows in DuckDB (component_id by iterated minimum over the links).

@@ -87,21 +87,29 @@ def test_every_link_shares_a_signature():
 
 
 def test_fallback_signatures_link_too():
-    """With so few groups that many are empty, the least shingles stand in."""
-    hits, stood_in = 0, 0
+    """Sets that fill no more groups than they may differ in: their least shingles stand in, and link them."""
     rng = np.random.default_rng(1)
-    for _ in range(3000):
-        a = np.sort(rng.integers(0, 1 << 63, 8).astype(np.uint64))
-        b = np.sort(np.append(a[1:], rng.integers(0, 1 << 63, 1).astype(np.uint64))) if rng.random() < 0.5 else np.sort(np.append(a, rng.integers(0, 1 << 63, 1).astype(np.uint64)))
-        shared = len(np.intersect1d(a, b))
-        if 100 * shared >= 80 * (len(a) + len(b) - shared):
-            hits += 1
-            assert len(np.intersect1d(jaccard_join.signatures(a, 80), jaccard_join.signatures(b, 80)))
-            # without the stand-ins a set has at most one signature for each group of each tier
-            for _, hi in jaccard_join.tiers(8, 80):
-                d = jaccard_join.largest_difference(2 * hi, 80)
-                stood_in += len(jaccard_join.signatures(a, 80)) > d + 3 + d // 12
-    assert hits > 1000 and stood_in
+    _, hi = next(iter(jaccard_join.tiers(90, 80)))
+    d = jaccard_join.largest_difference(2 * hi, 80)
+    groups = d + 3 + d // 12
+    found = 0
+    for tier, top in jaccard_join.tiers(90, 80):
+        if top != hi:
+            continue
+        seed = np.uint64((tier + 1) * 0x8CB92BA72F3D8DD7 & 0xFFFFFFFFFFFFFFFF)
+        for _ in range(30):
+            # shingles of few groups only
+            pool = rng.integers(0, 1 << 63, 6000).astype(np.uint64)
+            some = np.sort(pool[jaccard_join.mix(pool ^ seed) % np.uint64(groups) < np.uint64(d - 2)][:94])
+            a, b = some[:90], np.sort(np.append(some[2:90], some[90:92]))
+            stand_ins = jaccard_join.mix(a[: d + 1] * np.uint64(0xD1342543DE82EF95) ^ seed)
+            sig = [jaccard_join.signatures(x, 80) for x in (a, b)]
+            found += bool(np.isin(stand_ins, sig[0]).all())
+            assert len(np.intersect1d(sig[0], sig[1]))
+            # and where they alone are compared
+            theirs = jaccard_join.mix(b[: d + 1] * np.uint64(0xD1342543DE82EF95) ^ seed)
+            assert len(np.intersect1d(stand_ins, theirs)) and np.isin(theirs, sig[1]).all()
+    assert found == 30
 
 
 def test_tree_finds_all_pairs():
@@ -140,6 +148,16 @@ def test_jaccard_edges(spark):
     assert sorted(kept, key=str) == [1, 2, 3, 4, 7]  # the row without doc_id is a copy of row 4
 
 
+def test_one_id_with_several_texts(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(1, a, "p"), (7, a, "q"), (7, b, "r"), (9, c, "s"), (9, d, "t"), (9, d, "t"), (8, d, "u"), (2, None, "v"), (2, None, "w"), (2, "", "x"), (3, b + " x", "y"), (3, c, "z"), (3, c, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _k string").repartition(5)
+    kept = sorted(map(tuple, jaccard_join.one_of_each(df, 5, 80).collect()), key=str)
+    twice = [r for r in kept if r[:2] == (3, c)]
+    assert len(twice) == 1 and twice[0][2] in "za"
+    assert [r for r in kept if r[:2] != (3, c)] == sorted([(1, a, "p"), (3, b + " x", "y"), (8, d, "u"), (2, None, "v"), (2, None, "w"), (2, "", "x")], key=str)
+
+
 def test_rows_without_doc_id_link(spark):
     words = [f"w{i}" for i in range(120)]
     near = lambda n: " ".join(words[n:] + [f"x{i}" for i in range(n)])
