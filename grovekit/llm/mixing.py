@@ -15,10 +15,11 @@ Target weights are given by source, or follow ``documents(source) ** alpha``.
 With given weights, sources that are not named share what is left of 1 in
 proportion to their documents.
 
-Defined results: a null source is a source of its own; a null doc_id draws as
-the empty text; repeated rows have equal draws; an empty table gives no rows;
-columns named as the operator's own (``copy``, ``repeats``, ``rate``) are
-replaced, all others pass through.  The text is not read.
+Defined results: a null source is a source of its own; a row with a null doc_id
+draws by a hash of all its plain columns, so only rows equal in them share a
+draw; repeated rows have equal draws; an empty table gives no rows; columns named
+as the operator's own (``copy``, ``repeats``, ``rate``) are replaced, all others
+pass through.  Only rows without a doc_id have their text hashed.
 """
 
 from __future__ import annotations
@@ -87,14 +88,15 @@ def replicate(
         salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         renamed = renamed.withColumn("salt", F.pmod(F.xxhash64(names[key]), F.lit(SALTS)).cast("int"))
         joined = renamed.join(salted, renamed[names[source]].eqNullSafe(salted["src"]) & (renamed["salt"] == salted["salt"]))
-    draw = uniform(F.lit(seed), F.col(names[key]))
-    further = lambda k: uniform(F.lit(seed), F.col(names[key]), k)
+    # rows without a key are told apart by their other values
+    plain = [F.col(a) for c, a in names.items() if isinstance(docs.schema[c].dataType, AtomicType)]
+    drawn_by = F.coalesce(F.col(names[key]).cast("string"), F.md5(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in plain])))
+    draw = uniform(F.lit(seed), drawn_by)
+    further = lambda k: uniform(F.lit(seed), drawn_by, k)
     count = lambda u: F.size(F.filter("cdf", lambda c: c <= u))
     more = F.aggregate(F.sequence(F.lit(2), F.col("draws")), F.lit(0), lambda total, k: total + count(further(k)))
     counted = joined.withColumn("u", draw).withColumn("repeats", count(F.col("u")) + F.when(F.col("draws") > 1, more).otherwise(0)).where("repeats > 0")
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
-    # rows without a key are told apart by their other values, so that they don't all land in one task
-    plain = [F.col(a) for c, a in names.items() if isinstance(docs.schema[c].dataType, AtomicType)]
     apart = F.when(F.col(names[key]).isNull(), F.xxhash64(*plain, F.lit(seed))).otherwise(F.lit(0).cast("long"))
     dealt = copies.withColumn("place", F.xxhash64(F.lit(seed), F.col(names[key]), apart, F.col("copy")))
     columns = [F.col(a).alias(c) for c, a in names.items()]
@@ -113,7 +115,7 @@ cdf AS (
   SELECT src, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf WHERE k < ceil(rate + 12 * sqrt(rate) + 40)
 ),
 drawn AS (
-  SELECT *, row_number() OVER () AS rid, ('0x' || substr(md5('11|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents
+  SELECT *, row_number() OVER () AS rid, ('0x' || substr(md5('11|' || coalesce(doc_id::VARCHAR, md5(concat_ws('|', '', coalesce(text, ''), coalesce(lang, ''), coalesce(source, ''), coalesce(n_chars::VARCHAR, ''))))), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents
 ),
 counts AS (
   SELECT d.rid, any_value(f.rate) AS rate, count(*) FILTER (WHERE f.c <= d.u) AS repeats

@@ -25,6 +25,7 @@ no edges; repeated rows are judged alike; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -73,21 +74,33 @@ def _query_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1), F.lit(""))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is written into the plan once, however often it occurs there."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _plain_path(path: Column) -> Column:
     """Without ``.`` and ``..`` segments."""
-    parts = F.split(F.substring(path, 2, 1 << 30), "/")
-    dots = F.when((F.element_at(parts, -1) == ".") | (F.element_at(parts, -1) == ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-    walked = F.aggregate(
-        parts, F.array().cast("array<string>"),
-        lambda seen, x: F.when(x == "..", F.slice(seen, 1, F.greatest(F.size(seen) - 1, F.lit(0)))).when(x == ".", seen).otherwise(F.concat(seen, F.array(x))),
-    )
-    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(F.concat(walked, dots), "/"))).otherwise(path)
+
+    def walked(parts: Column) -> Column:
+        dots = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        seen = F.aggregate(
+            parts, F.array().cast("array<string>"),
+            lambda seen, x: F.when(x == "..", F.slice(seen, 1, F.greatest(F.size(seen) - 1, F.lit(0)))).when(x == ".", seen).otherwise(F.concat(seen, F.array(x))),
+        )
+        return F.concat(F.lit("/"), F.array_join(F.concat(seen, dots), "/"))
+
+    return _let(path, lambda p: F.when(p.rlike(r"/\.\.?(/|$)"), _let(F.split(F.substring(p, 2, 1 << 30), "/"), walked)).otherwise(p))
 
 
 def node_of(url: Column) -> Column:
     """The url's node: //host/path?query; null without a host."""
-    host, path = host_of(url), _plain_path(path_of(url))
-    return F.when(host != "", F.concat(F.lit("//"), host, F.when(path == "", "/").otherwise(path), _query_of(url)))
+
+    def named(u: Column) -> Column:
+        path = _let(_plain_path(path_of(u)), lambda p: F.when(p == "", "/").otherwise(p))
+        return _let(host_of(u), lambda host: F.when(host != "", F.concat(F.lit("//"), host, path, _query_of(u))))
+
+    return _let(url, named)
 
 
 def _fits(host: Column, path: Column, rule: Rule) -> Column:
@@ -147,18 +160,22 @@ def _attribute(tag: Column, name: str) -> Column:
 
 def resolve(base: Column, to: Column) -> Column:
     """The target as a whole url; null for other schemes."""
-    root = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*", 0)
-    path = path_of(base)
-    folder = F.when(path.contains("/"), F.regexp_extract(path, r"(?s)^.*/", 0)).otherwise("/")
-    return (
-        F.when(to.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), to)
-        .when(to.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.lit(None).cast("string"))
-        .when(to.startswith("//"), F.concat(F.lit("http:"), to))
-        .when((to == "") | to.startswith("#"), base)
-        .when(to.startswith("/"), F.concat(root, to))
-        .when(to.startswith("?"), F.concat(root, path, to))
-        .otherwise(F.concat(root, folder, to))
-    )
+
+    def joined(x: Column) -> Column:
+        base, to = x["base"], x["to"]
+        root = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*", 0)
+        folder = _let(path_of(base), lambda path: F.when(path.contains("/"), F.regexp_extract(path, r"(?s)^.*/", 0)).otherwise("/"))
+        return (
+            F.when(to.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), to)
+            .when(to.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.lit(None).cast("string"))
+            .when(to.startswith("//"), F.concat(F.lit("http:"), to))
+            .when((to == "") | to.startswith("#"), base)
+            .when(to.startswith("/"), F.concat(root, to))
+            .when(to.startswith("?"), F.concat(root, path_of(base), to))
+            .otherwise(F.concat(root, folder, to))
+        )
+
+    return _let(F.struct(base.alias("base"), to.alias("to")), joined)
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -174,7 +191,7 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
     )
     base = F.coalesce(_attribute(F.get(tags("base"), F.lit(0)), "href"), F.lit(""))
     found = linking.select("url", base.alias("base"), F.explode(targets).alias("to"))
-    whole = resolve(F.coalesce(resolve(F.col("url"), F.col("base")), F.col("url")), F.col("to"))
+    whole = _let(F.coalesce(resolve(F.col("url"), F.col("base")), F.col("url")), lambda base: resolve(base, F.col("to")))
     return found.select(node_of(F.col("url")).alias("u"), node_of(F.when(F.col("to") == "", F.col("url")).otherwise(whole)).alias("v")).where("u is not null and v is not null and u <> v")
 
 

@@ -50,6 +50,25 @@ def test_mixing_edges(spark, monkeypatch):
         mixing.replicate(docs, max_rate=1000.0)
 
 
+def test_rows_without_an_id_draw_apart(spark, tmp_path):
+    rows = [(None, f"t{i}", None if i % 3 else "en", "only", i) for i in range(900)] + [(i, "t", "en", "b", 1) for i in range(60)] + [(None, "twice", "en", "b", None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = mixing.replicate(docs)
+    counts = {r["text"]: r["n"] for r in got.where("source = 'only'").groupBy("text").agg(F.count("*").alias("n")).collect()}
+    rate = got.where("source = 'only'").first()["rate"]
+    assert len(set(counts.values())) > 2 and abs(sum(counts.values()) - 900 * rate) < 5 * math.sqrt(900 * rate)
+    docs.coalesce(1).write.parquet(str(tmp_path / "d"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    want = c.sql(f"SELECT doc_id, text, copy, repeats FROM ({mixing.SQL})").fetchall()
+    assert sorted(map(tuple, got.select("doc_id", "text", "copy", "repeats").collect()), key=str) == sorted(want, key=str)
+
+
+def test_plans_of_aliases_stay_small(spark):
+    pages = spark.createDataFrame([(1, "http://a.example/", "<link rel=canonical href=b>")], "page_id long, url string, html string")
+    assert len(urlfilter.alias_edges(pages)._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+
+
 def test_rare_sources_reach_their_weights(spark):
     def rows(*sizes):
         docs = spark.range(sum(sizes)).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
@@ -209,7 +228,7 @@ def test_aliases_equal_plain_resolution(spark):
         return rng.choice(["{}", "{}", "{}", "<!-- {} -->", "<script>var x = '{}'</script>", "<style>{}</style>"]).format(made)
 
     rows = []
-    for i in range(250):
+    for i in range(420):
         url = f"http://{rng.choice(hosts)}/{some()}{rng.choice(['s', 's/', '?k=1', 's/../w', '#f'])}"
         base = f'<base href="{rng.choice(["/d/e/", "http://x.example/s/t", "u/"])}">' if rng.random() < 0.15 else ""
         rows.append((i, url, f"<html><head>{base}{tag() if rng.random() < 0.6 else ''}</head><body>canonical{tag() if rng.random() < 0.15 else ''}</body></html>"))
