@@ -44,13 +44,15 @@ from grovekit.llm.hashing import combine, word_hashes
 #: What ends a piece becomes a line end, and a tab a space.
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 #: Words whose n-grams a task adds up at once.
-WORDS = 500_000
+WORDS = 300_000
 #: Pieces that a task holds before it sends them on, and their bytes.
 PIECES, PIECE_BYTES = 200_000, 32 << 20
 #: What DuckDB may hold in a task before it spills.
 MEMORY = "400MB"
 #: Bytes of n-grams that a bucket should have, about, and the number of buckets beyond which they grow instead (and DuckDB spills).
 BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 20_000
+#: Parts of a language that are ranked apart first.
+SALTS = 16
 _BLOCK = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
 #: Whole decimals; what has no room in 38 digits is an error.
 _SCORE = "cast(cast(a as decimal(16,0)) * cast(a as decimal(16,0)) * cast(1000000 as decimal(7,0)) as decimal(38,0)) div (cast(l as decimal(18,0)) * cast(r as decimal(18,0)))"
@@ -199,7 +201,11 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, cover: int
     inner = F.explode(F.flatten(F.transform(F.sequence(F.lit(2), F.col("words") - 1), lambda m: F.transform(F.sequence(F.lit(1), F.col("words") - m + 1), lambda i: F.array_join(F.slice("w", i, m), " ")))))
     covers = phrases.where("words > 2").select("lang", inner.alias("phrase"), F.col("a").alias("longer")).groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     open_ = lowest.join(covers, ["lang", "phrase"], "left").where(f"longer is null or 100 * longer < {cover} * a")
-    ranked = open_.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))).where(F.col("rank") <= top)
+    # the best of each salted part first, so that a language's last ranking has no more than SALTS * top rows
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    salt = F.pmod(F.xxhash64("phrase"), F.lit(SALTS))
+    best = open_.withColumn("place", F.row_number().over(Window.partitionBy("lang", salt).orderBy(*order))).where(F.col("place") <= top)
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
