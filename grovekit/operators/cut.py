@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Most runs of scores that thresholds are clustered from.
+CELLS = 4096
+
 
 def by_similarity(anc: DataFrame, leaf_nodes: DataFrame, scores: DataFrame, threshold: float) -> DataFrame:
     """(node, cluster): from the root down, nodes with score below the threshold are opened; the first others are clusters.
@@ -46,11 +53,55 @@ def candidate_thresholds(scores: DataFrame, n: int) -> DataFrame:
     return scores.agg(F.percentile_approx("score", points, 1_000_000).alias("q")).select(F.explode("q").alias("threshold")).distinct()
 
 
-def clustered_thresholds(scores: DataFrame, n: int, seed: int = 3) -> DataFrame:
-    """(threshold): centres of the scores' k-means clusters."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def _cells(scores: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Means and weights of at most ``CELLS`` runs of the sorted scores: the distinct ones, or runs of equal share where they are more."""
+    x = scores.where("score is not null and not isnan(score)").select(F.col("score").cast("double").alias("x"))
+    few = x.groupBy("x").agg(F.count("*").alias("w")).limit(CELLS + 1).toPandas()
+    if len(few) <= CELLS:
+        few = few.sort_values("x")
+        return few["x"].to_numpy(), few["w"].to_numpy(float)
+    cuts = x.agg(F.percentile_approx("x", [i / CELLS for i in range(1, CELLS)], 100 * CELLS).alias("q")).first()["q"]
+    splits = [-math.inf, *sorted(set(cuts)), math.inf]
+    binned = Bucketizer(splits=splits, inputCol="x", outputCol="bin").transform(x)
+    runs = binned.groupBy("bin").agg(F.avg("x").alias("m"), F.count("*").alias("w")).toPandas().sort_values("bin")  # CELLS rows at most
+    return runs["m"].to_numpy(), runs["w"].to_numpy(float)
+
+
+def best_runs(x: np.ndarray, w: np.ndarray, k: int) -> list[int]:
+    """Where ``k`` runs of the sorted values begin so that the squared errors about their weighted means are least; ties to the earliest cuts."""
+    sums = [np.concatenate([[0.0], np.cumsum(v)]) for v in (w, w * (x - x.mean()), w * (x - x.mean()) ** 2)]
+
+    def error(i: np.ndarray, j: int) -> np.ndarray:
+        n, s, q = (t[j] - t[i] for t in sums)
+        return np.maximum(q - s * s / np.where(n > 0, n, 1.0), 0.0)
 
-    rows = scores.select(array_to_vector(F.array(F.col("score").cast("double"))).alias("features"))
-    centres = KMeans(k=n, seed=seed).fit(rows).clusterCenters()  # n numbers
-    return scores.sparkSession.createDataFrame([(float(c[0]),) for c in sorted(centres, key=lambda c: c[0])], "threshold double")
+    n = len(x)
+    best = np.array([0.0, *(error(np.array([0]), j)[0] for j in range(1, n + 1))])
+    came = []
+    for turn in range(2, k + 1):
+        new, at = np.full(n + 1, np.inf), np.zeros(n + 1, int)
+        for j in range(turn, n + 1):
+            i = np.arange(turn - 1, j)
+            total = best[i] + error(i, j)
+            at[j] = i[np.argmin(total)]
+            new[j] = total.min()
+        best = new
+        came.append(at)
+    starts, j = [], n
+    for at in reversed(came):
+        j = int(at[j])
+        starts.append(j)
+    return [0, *reversed(starts)]
+
+
+def clustered_thresholds(scores: DataFrame, n: int) -> DataFrame:
+    """(threshold): the means of the scores' ``n`` clusters of least squared error (k-means, which in one dimension a dynamic program solves exactly).
+
+    Up to ``CELLS`` distinct scores are taken as they are, more of them in so many
+    runs of equal share; nulls are left out, and fewer distinct scores than ``n``
+    give one threshold each.
+    """
+    x, w = _cells(scores)
+    starts = best_runs(x, w, min(n, len(x))) if len(x) and n > 0 else []
+    means = [float(np.average(x[a:b], weights=w[a:b])) for a, b in zip(starts, [*starts[1:], len(x)], strict=True)]
+    return scores.sparkSession.createDataFrame([(m,) for m in means], "threshold double")

@@ -13,43 +13,62 @@ def _choose_two(n: Column) -> Column:
     return n * (n - 1) / 2
 
 
+def purity_from(counts: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """(node, purity) from ``counts(node, label, n)``: the most frequent class's share of the labelled leaves, or of ``sizes(node, n_leaves)``."""
+    found = counts.groupBy("node").agg(F.max("n").alias("top"), F.sum("n").alias("labelled"))
+    if sizes is None:
+        return found.select("node", (F.col("top") / F.col("labelled")).alias("purity"))
+    return found.join(sizes, "node").select("node", (F.col("top") / F.col("n_leaves")).alias("purity"))
+
+
 def node_purity(anc: DataFrame, leaf_labels: DataFrame, strict: bool = False) -> DataFrame:
     """(node, purity): share of the most frequent class among the labelled leaves below (``strict``: among all leaves)."""
-    counts = tree.class_counts(anc, leaf_labels).groupBy("node").agg(F.max("n").alias("top"), F.sum("n").alias("labelled"))
-    if not strict:
-        return counts.select("node", (F.col("top") / F.col("labelled")).alias("purity"))
-    return counts.join(tree.leaf_counts(anc, leaf_labels), "node").select("node", (F.col("top") / F.col("n_leaves")).alias("purity"))
+    return purity_from(tree.class_counts(anc, leaf_labels), tree.leaf_counts(anc, leaf_labels) if strict else None)
 
 
-def class_purity(anc: DataFrame, leaf_labels: DataFrame) -> DataFrame:
-    """(node, label, purity): share of each class among the labelled leaves below."""
-    counts = tree.class_counts(anc, leaf_labels)
+def class_purity_from(counts: DataFrame) -> DataFrame:
+    """(node, label, purity): share of each class among the labelled leaves below, from ``counts(node, label, n)``."""
     totals = counts.groupBy("node").agg(F.sum("n").alias("labelled"))
     return counts.join(totals, "node").select("node", "label", (F.col("n") / F.col("labelled")).alias("purity"))
 
 
-def class_top(anc: DataFrame, leaf_labels: DataFrame, k: int = 10) -> DataFrame:
+def class_purity(anc: DataFrame, leaf_labels: DataFrame) -> DataFrame:
+    return class_purity_from(tree.class_counts(anc, leaf_labels))
+
+
+def class_top_from(counts: DataFrame, k: int = 10) -> DataFrame:
     """(node, label, n, place): the most frequent classes below each node."""
     from pyspark.sql import Window as W
 
     place = F.row_number().over(W.partitionBy("node").orderBy(F.desc("n"), "label"))
-    return tree.class_counts(anc, leaf_labels).withColumn("place", place).where(F.col("place") <= k)
+    return counts.withColumn("place", place).where(F.col("place") <= k)
+
+
+def class_top(anc: DataFrame, leaf_labels: DataFrame, k: int = 10) -> DataFrame:
+    return class_top_from(tree.class_counts(anc, leaf_labels), k)
 
 
 def dendrogram_purity(nodes: DataFrame, anc: DataFrame, leaf_labels: DataFrame, strict: bool = False, only: DataFrame | None = None) -> DataFrame:
     """One row ``purity``: mean over same-class leaf pairs of the class's share below their lowest common ancestor.
 
-    With n(v, c) leaves of class c below v, the pairs that meet at v number
-    C(n(v, c), 2) minus the same of v's children.  ``only(node)`` restricts the
-    pairs, not the shares.  Null if there are no pairs.
+    ``only(node)`` restricts the pairs, not the shares.  Null if there are no pairs.
     """
     every = tree.class_counts(anc, leaf_labels)
     paired = every if only is None else tree.class_counts(anc, leaf_labels.join(only.select("node"), "node", "left_semi"))
+    return dendrogram_purity_from(nodes, every, paired, tree.leaf_counts(anc, leaf_labels) if strict else None)
+
+
+def dendrogram_purity_from(nodes: DataFrame, every: DataFrame, paired: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """``dendrogram_purity`` from class counts ``every(node, label, n)``, those of the leaves whose pairs count, and ``sizes(node, n_leaves)`` if strict.
+
+    With n(v, c) leaves of class c below v, the pairs that meet at v number
+    C(n(v, c), 2) minus the same of v's children.
+    """
     up = nodes.where("parent is not null").select("node", "parent")
-    met = paired.select("node", "label", _choose_two(F.col("n")).alias("p"))
+    met = (every if paired is None else paired).select("node", "label", _choose_two(F.col("n")).alias("p"))
     below = met.join(up, "node").select(F.col("parent").alias("node"), "label", (-F.col("p")).alias("p"))
     pairs = met.unionByName(below).groupBy("node", "label").agg(F.sum("p").alias("p")).where("p <> 0")
-    size = tree.leaf_counts(anc, leaf_labels).select("node", F.col("n_leaves").alias("all")) if strict else every.groupBy("node").agg(F.sum("n").alias("all"))
+    size = sizes.select("node", F.col("n_leaves").alias("all")) if sizes is not None else every.groupBy("node").agg(F.sum("n").alias("all"))
     return pairs.join(every, ["node", "label"]).join(size, "node").agg((F.sum(F.col("p") * F.col("n") / F.col("all")) / F.sum("p")).alias("purity"))
 
 

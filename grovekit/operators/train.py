@@ -100,12 +100,12 @@ def dev_blocks(points: DataFrame, block: str, gold: str, below: int = 5000, most
     return sizes.where(F.col("n") < below).orderBy(F.desc("labelled"), "block").limit(most)
 
 
-def dev_evaluation(points: DataFrame, block: str, thresholds: int = 10, seed: int = 3) -> DataFrame:
+def dev_evaluation(points: DataFrame, block: str, thresholds: int = 10) -> DataFrame:
     """``best_threshold`` over thresholds taken from the trees: the centres of all merges' distances in ``thresholds`` clusters."""
     merges = hac.within_blocks(points, block).select(F.col("distance").alias("score"))
     if not merges.limit(1).count():
         return best_threshold(points, block, [0.0])
-    found = cut.clustered_thresholds(merges, thresholds, seed).collect()  # so many numbers
+    found = cut.clustered_thresholds(merges, thresholds).collect()  # so many numbers
     return best_threshold(points, block, sorted({r["threshold"] for r in found}))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from grovekit.functions import features as FE
 from grovekit.functions import vectors as V
-from grovekit.operators import cut, evaluate, hac, knn, online, train, tree
+from grovekit.operators import contraction, cut, evaluate, graph, hac, knn, online, train, tree
 from grovekit.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,7 +133,8 @@ def knn_lsh_top5(spark, d):
 def graph_improved(spark, d):
     p = _points(spark, d)
     rough = knn.graph_links(knn.approximate(p, p, 3), 6)
-    return knn.improve(rough, p, 5).select("src", "dst", _r("score").alias("score"))
+    near = knn.top_k(graph.descend(p, start=rough), 5, "src", "score", "dst")
+    return near.select("src", "dst", _r("score").alias("score"))
 
 
 # vectors
@@ -239,13 +240,12 @@ def tree_ancestors(spark, d):
 
 @query(GEO + " SELECT node, max(dist) AS depth FROM anc GROUP BY node")
 def tree_depth(spark, d):
-    return tree.closure(geo(spark, d)).groupBy("node").agg(F.max("dist").alias("depth"))
+    return contraction.depths(geo(spark, d)).select("node", F.col("depth").cast("int").alias("depth"))
 
 
 @query(GEO + " SELECT ancestor AS node, count(*) AS n_leaves FROM anc JOIN leaf USING (node) GROUP BY ALL")
 def tree_leaf_counts(spark, d):
-    g = geo(spark, d)
-    return tree.leaf_counts(tree.closure(g), tree.leaves(g))
+    return contraction.leaf_counts(geo(spark, d))
 
 
 @query(HEAP + " SELECT a.node, b.node AS sibling FROM nodes a JOIN nodes b ON a.parent = b.parent AND a.node <> b.node")
@@ -260,7 +260,7 @@ def tree_aunts(spark, d):
 
 @query(HEAP + " SELECT max(dist) AS height FROM anc")
 def tree_height(spark, d):
-    return tree.height(tree.closure(heap(spark, d)))
+    return contraction.heights(heap(spark, d)).agg(F.max("height").cast("int").alias("height"))
 
 
 @query(HEAP + " SELECT node, dist FROM anc WHERE ancestor = 5")
@@ -276,13 +276,13 @@ def tree_lca_pairs(spark, d):
     h = heap(spark, d)
     leaf = tree.leaves(h).select("node")
     pairs = leaf.select(F.col("node").alias("a")).join(leaf.select((F.col("node") - 7).alias("a"), F.col("node").alias("b")), "a")
-    return tree.lca(pairs, tree.closure(h))
+    return contraction.lca(pairs, h)
 
 
 @query(HEAP + f", {_COUNTS} SELECT node, list_sort(list(DISTINCT label::VARCHAR)) AS labels FROM cnt GROUP BY node")
 def tree_leaf_labels(spark, d):
     h = heap(spark, d)
-    counts = tree.class_counts(tree.closure(h), tree.leaves(h))
+    counts = contraction.class_counts(h, tree.leaves(h))
     return counts.groupBy("node").agg(F.sort_array(F.collect_set("label")).alias("labels"))
 
 
@@ -310,25 +310,25 @@ def tree_problems(spark, d):
 @query(GEO + f", {_COUNTS} SELECT node, round(max(cnt.n) / any_value(tot.n), 9) AS purity FROM cnt JOIN tot USING (node) GROUP BY node")
 def node_purity(spark, d):
     g = geo(spark, d)
-    return evaluate.node_purity(tree.closure(g), tree.leaves(g)).select("node", _r("purity", 9).alias("purity"))
+    return evaluate.purity_from(contraction.class_counts(g, tree.leaves(g))).select("node", _r("purity", 9).alias("purity"))
 
 
 @query(GEO + f", {_COUNTS}, {_STRICT} SELECT node, round(max(cnt.n) / any_value(every.n), 9) AS purity FROM cnt JOIN every USING (node) GROUP BY node")
 def node_purity_strict(spark, d):
     g = geo(spark, d)
-    return evaluate.node_purity(tree.closure(g), tree.leaves(g), strict=True).select("node", _r("purity", 9).alias("purity"))
+    return evaluate.purity_from(contraction.class_counts(g, tree.leaves(g)), contraction.leaf_counts(g)).select("node", _r("purity", 9).alias("purity"))
 
 
 @query(HEAP + f", {_COUNTS} SELECT cnt.node, label::VARCHAR AS label, round(cnt.n / tot.n, 9) AS purity FROM cnt JOIN tot USING (node)")
 def class_purity(spark, d):
     h = heap(spark, d)
-    return evaluate.class_purity(tree.closure(h), tree.leaves(h)).select("node", "label", _r("purity", 9).alias("purity"))
+    return evaluate.class_purity_from(contraction.class_counts(h, tree.leaves(h))).select("node", "label", _r("purity", 9).alias("purity"))
 
 
 @query(HEAP + f", {_COUNTS}, t AS (SELECT node, label::VARCHAR AS label, n, row_number() OVER (PARTITION BY node ORDER BY n DESC, label::VARCHAR) AS place FROM cnt) SELECT node, label, n, place::INTEGER AS place FROM t WHERE place <= 3")
 def class_top3(spark, d):
     h = heap(spark, d)
-    return evaluate.class_top(tree.closure(h), tree.leaves(h), 3)
+    return evaluate.class_top_from(contraction.class_counts(h, tree.leaves(h)), 3)
 
 
 def _purity_sql(head: str, size: str, only: str = "true") -> str:
@@ -341,13 +341,13 @@ SELECT round(avg(cnt.n / {size}.n), 9) AS purity FROM m JOIN cnt ON cnt.node = l
 @query(_purity_sql(HEAP, "tot"))
 def dendrogram_purity(spark, d):
     h = heap(spark, d)
-    return evaluate.dendrogram_purity(h, tree.closure(h), tree.leaves(h)).select(_r("purity", 9).alias("purity"))
+    return evaluate.dendrogram_purity_from(h, contraction.class_counts(h, tree.leaves(h))).select(_r("purity", 9).alias("purity"))
 
 
 @query(_purity_sql(HEAP, "every"))
 def dendrogram_purity_strict(spark, d):
     h = heap(spark, d)
-    return evaluate.dendrogram_purity(h, tree.closure(h), tree.leaves(h), strict=True).select(_r("purity", 9).alias("purity"))
+    return evaluate.dendrogram_purity_from(h, contraction.class_counts(h, tree.leaves(h)), sizes=contraction.leaf_counts(h)).select(_r("purity", 9).alias("purity"))
 
 
 @query(_purity_sql(HEAP, "tot", "x.node IN (SELECT vec_id + n FROM embeddings, k WHERE label <= 4) AND y.node IN (SELECT vec_id + n FROM embeddings, k WHERE label <= 4)"))
@@ -355,7 +355,8 @@ def expected_dendrogram_purity(spark, d):
     h = heap(spark, d)
     leaf = tree.leaves(h)
     ids = leaf.where(F.col("label").cast("int") <= 4)
-    return evaluate.dendrogram_purity(h, tree.closure(h), leaf, only=ids).select(_r("purity", 9).alias("purity"))
+    paired = contraction.class_counts(h, leaf.join(ids.select("node"), "node", "left_semi"))
+    return evaluate.dendrogram_purity_from(h, contraction.class_counts(h, leaf), paired).select(_r("purity", 9).alias("purity"))
 
 
 _HEAP_STATS = f"""{_HEAP}, {_ANC}, {_LEAF}, pt AS (SELECT vec_id + n AS node, embedding::DOUBLE[] AS v FROM embeddings, k),

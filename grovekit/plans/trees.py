@@ -192,11 +192,3 @@ def online_snapshots(spark, d):
     """The tree over the whole table after each quarter of the insertions."""
     p = _online_points(spark, d)
     return online.snapshots(p, -(-p.count() // 4))
-
-
-@query()
-def knn_graph_climb(spark, d):
-    """Nearest neighbours by climbing a capped link graph."""
-    p = _points(spark, d)
-    links = knn.graph_links(knn.exact(p, p, 8), 16)
-    return knn.climb(p, p, links, 5).select("query", "neighbour", _r("score").alias("score"), "rank")
