@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovekit.functions import vectors as V
-from grovekit.operators import batchwise, contraction, cut, graph, hac, knn, moves, tree
+from grovekit.operators import batchwise, contraction, cut, graph, knn, moves, tree
 from grovekit.plans.catalogue import _COS, _E, _HEAP_STATS, _SCORE_COS, _grid, _grid_sql, _points, _r, _read, heap, query
 
 # one round of bulk moves over the heap tree
@@ -137,10 +137,3 @@ def knn_graph_climb(spark, d):
     """Nearest neighbours by a beam over a navigable graph, which is built without exact search."""
     p = _points(spark, d)
     return graph.search(p, p, 5).select("query", "neighbour", _r("score").alias("score"), "rank")
-
-
-@query()
-def hac_over_links(spark, d):
-    """Average linkage over the links of a neighbour graph."""
-    links = graph.descend(_points(spark, d))
-    return hac.over_links(links.select("src", "dst", (1 - F.col("score")).alias("distance"))).select("node", "parent", _r("height").alias("height"), "size")

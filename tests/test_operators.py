@@ -147,8 +147,9 @@ def test_pairwise_example(spark):
     assert evaluate.pairwise_f1(empty).first()["f1"] == 0
 
 
-@pytest.mark.parametrize("block", [5, 4096])
-def test_hac_equals_one_at_a_time(spark, monkeypatch, block):
+@pytest.mark.parametrize(("finish", "block"), [(1, 5), (8, 4096), (2000, 4096)])
+def test_hac_equals_one_at_a_time(spark, monkeypatch, finish, block):
+    monkeypatch.setattr(hac, "FINISH", finish)
     monkeypatch.setattr(hac, "BLOCK", block)
     v = np.random.default_rng(5).standard_normal((24, 4))
     want = _brute_hac(v)
