@@ -114,13 +114,6 @@ def batch_round(spark, d):
     return batchwise.splice(nodes, moves.spots_by_priority(batchwise.spots(nodes, leaves, arrived), 3), stride)
 
 
-@query()
-def online_batchwise(spark, d):
-    """The same tree after the whole batch, with a round of grafts after each round of insertions."""
-    nodes, leaves, arrived, stride = _stored(spark, d)
-    return batchwise.insert(nodes, leaves, arrived, stride, graft=True)
-
-
 # neighbour graphs
 
 
