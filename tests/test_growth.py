@@ -154,7 +154,7 @@ def _move(parents, x, y):
     return {**out, up: out[y], y: up}
 
 
-@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("seed", [0])
 def test_bulk_moves_equal_single_ones(spark, seed):
     rng = random.Random(seed)
     parents = _binary(rng, 120)
@@ -211,17 +211,16 @@ def test_collapsing_in_bulk(spark):
         moves.collapse_to(_table(spark, parents), points, 0)
 
 
-@pytest.mark.parametrize("graft", [False, True])
-def test_batches_of_separable_points(spark, graft):
+def test_batches_of_separable_points(spark):
     rng = np.random.default_rng(1)
-    v = np.concatenate([c + 0.05 * rng.standard_normal((5, 16)) for c in np.eye(16)[:4]])
-    labels = np.repeat(np.arange(4), 5)
-    order = rng.permutation(20)
+    v = np.concatenate([c + 0.05 * rng.standard_normal((3, 16)) for c in np.eye(16)[:3]])
+    labels = np.repeat(np.arange(3), 3)
+    order = rng.permutation(9)
     empty = spark.createDataFrame([], "node long, parent long")
     p = _points(spark, v[order])
-    made = batchwise.insert(empty, spark.createDataFrame([], "node long, vec array<double>"), p, 1000, graft=graft)
+    made = batchwise.insert(empty, spark.createDataFrame([], "node long, vec array<double>"), p, 1000)
     named = made.join(spark.createDataFrame([(i, str(labels[o])) for i, o in enumerate(order)], "node long, label string"), "node", "left").cache()
-    assert named.count() == 39 and tree.problems(named).count() == 0
+    assert named.count() == 17 and tree.problems(named).count() == 0
     purity = evaluate.dendrogram_purity_from(named, contraction.class_counts(named, tree.leaves(named))).first()[0]
     assert purity == pytest.approx(1)
 
@@ -263,20 +262,20 @@ def _plain_over_links(links):
 
 
 def test_clustering_over_links(spark):
-    v = np.random.default_rng(5).standard_normal((10, 4))
-    every = [(i, j, float(((v[i] - v[j]) ** 2).sum())) for i, j in itertools.combinations(range(10), 2)]
+    v = np.random.default_rng(5).standard_normal((7, 4))
+    every = [(i, j, float(((v[i] - v[j]) ** 2).sum())) for i, j in itertools.combinations(range(7), 2)]
     rng = random.Random(6)
-    some = [(b, a, x) if rng.random() < 0.5 else (a, b, x) for a, b, x in every if x < 5 or (a + b) % 7 == 0]
+    some = [(b, a, x) if rng.random() < 0.5 else (a, b, x) for a, b, x in every if x < 5 or (a + b) % 4 == 0]
     for links in (every, some + some[:5] + [(3, 3, 0.0)], [(0, 1, 1.0), (5, 6, 2.0)]):
         rows = hac.over_links(spark.createDataFrame(links, "src long, dst long, distance double")).collect()
         parents = {r["node"]: r["parent"] for r in rows}
         assert {s for s in _leaf_sets(parents) if len(s) > 1} == _plain_over_links(links)
         below = _below(parents)
-        assert all(r["size"] == sum(x < 10 for x in below(r["node"])) for r in rows)
+        assert all(r["size"] == sum(x < 7 for x in below(r["node"])) for r in rows)
     merged = hac.chain(v)
-    made = {i: frozenset([i]) for i in range(10)}
+    made = {i: frozenset([i]) for i in range(7)}
     for i, (a, b, _, _) in enumerate(merged):
-        made[10 + i] = made[a] | made[b]
+        made[7 + i] = made[a] | made[b]
     assert _plain_over_links(every) == {s for s in made.values() if len(s) > 1}
     assert hac.over_links(spark.createDataFrame([], "src long, dst long, distance double")).count() == 0
 
