@@ -25,7 +25,7 @@ STOP_WORDS = "a an and are as at be by for from has he in is it its of on or tha
 class FeatureSpec:
     """One feature: its column, how two values compare, and how a cluster's values are averaged.
 
-    ``calc``: ``dot``, ``l2`` (squared distance), ``l2_gt_one`` (1 where the
+    ``calc``: ``dot``, ``cosine``, ``l2`` (squared distance), ``l2_gt_one`` (1 where the
     squared distance is above 1) or ``no_match`` (1 where both are known and
     differ).  ``centroid``: ``none``, ``l2`` or ``binary``.
     """
@@ -36,7 +36,7 @@ class FeatureSpec:
     centroid: str = "l2"
 
     def __post_init__(self) -> None:
-        if self.calc not in ("dot", "l2", "l2_gt_one", "no_match"):
+        if self.calc not in ("dot", "cosine", "l2", "l2_gt_one", "no_match"):
             raise ValueError(f"unknown comparison {self.calc!r}")
 
     def compare(self, left: Column, right: Column) -> Column:
@@ -46,10 +46,15 @@ class FeatureSpec:
             left, right = V.wide(left), V.wide(right)
             if self.calc == "dot":
                 return V.dot(left, right)
+            if self.calc == "cosine":
+                return V.cosine(left, right)
             distance = V.squared_distance(left, right)
         else:
             if self.calc == "dot":
                 return V.sparse_dot(left, right)
+            if self.calc == "cosine":
+                lengths = V.sparse_norm(left) * V.sparse_norm(right)
+                return F.when(lengths > 0, V.sparse_dot(left, right) / lengths).otherwise(F.lit(0.0))
             distance = V.sparse_squared_distance(left, right)
         return (distance > 1).cast("double") if self.calc == "l2_gt_one" else distance
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from grovekit.functions import features as FE
 from grovekit.functions import vectors as V
-from grovekit.operators import contraction, cut, evaluate, graph, hac, knn, online, train, tree
+from grovekit.operators import contraction, cut, evaluate, graph, hac, knn, online, search, train, tree
 from grovekit.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,16 +61,6 @@ t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) D
 SELECT query, neighbour, round(score, 6) + 0.0 AS score, rank::INTEGER AS rank FROM t WHERE rank <= {k}"""
 
 
-def _expressed(spark: SparkSession, d: str, k: int, similarity: str, allowed: Column | None = None) -> DataFrame:
-    p = _points(spark, d)
-    score = {**V.SIMILARITIES}[similarity]
-    left, right = (p.select(F.col("id").alias(f"{s}_id"), V.wide("vec").alias(f"{s}_vec"), F.col("label").alias(f"{s}_label")) for s in "qp")
-    on = F.col("q_id") != F.col("p_id")
-    scored = left.join(right, on if allowed is None else on & allowed).select(F.col("q_id").alias("query"), F.col("p_id").alias("neighbour"), score(F.col("q_vec"), F.col("p_vec")).alias("raw"))
-    best = knn.top_k(scored.withColumn("score", F.round("raw", 9)), k)
-    return best.select("query", "neighbour", _r("raw").alias("score"), "rank")
-
-
 def _searched(spark: SparkSession, d: str, k: int, similarity: str) -> DataFrame:
     p = _points(spark, d)
     return knn.exact(p, p, k, similarity).select("query", "neighbour", _r("score").alias("score"), "rank")
@@ -109,7 +99,8 @@ def knn_l2_top5(spark, d):
 
 @query(_knn_sql(_COS, 3, "a.label <> b.label"))
 def nn_offlimits_same_label(spark, d):
-    return _expressed(spark, d, 3, "cosine", F.col("q_label") != F.col("p_label"))
+    p = _points(spark, d)
+    return search.by_features(p, p, [FE.FeatureSpec("vec", "cosine")], 3, differ="label").withColumn("score", _r("score"))
 
 
 @query(f"""WITH {_E}, s AS (SELECT a.id AS query, b.id AS neighbour, {_COS} AS score FROM e a JOIN e b ON a.id <> b.id),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from grovekit.functions import features as FE
 from grovekit.functions import vectors as V
-from grovekit.operators import knn, online, train, tree
+from grovekit.operators import knn, online, search, train, tree
 from grovekit.plans.catalogue import _BEST, _E, _HEAP_STATS, _SCORE_COS, _SQ, _SUMS, _grid, _grid_sql, _heap_stats, _label_pairs, _online_points, _points, _r, _read, heap, query
 
 # linkage of centroids
@@ -168,14 +168,13 @@ def graph_renamed(spark, d):
     return knn.graph_renamed(links, ends.select("id", (F.col("id") - F.col("id") % 3).alias("new")))
 
 
-@query(f"""WITH {_E}, s AS (SELECT a.id AS query, b.id AS neighbour, list_inner_product(a.v, b.v) AS score FROM e a JOIN e b ON a.id <> b.id AND (a.id + b.id) % 3 <> 0),
+@query(f"""WITH {_E}, s AS (SELECT a.id AS query, b.id AS neighbour, list_inner_product(a.v, b.v) AS score FROM e a JOIN e b ON a.id <> b.id AND abs(a.id - b.id) > 5),
 t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, neighbour) AS rank FROM s) SELECT query, neighbour, round(score, 6) + 0.0 AS score, rank::INTEGER AS rank FROM t WHERE rank <= 2""")
 def nn_without_offlimits(spark, d):
-    """Nearest neighbours among pairs that a table of forbidden pairs doesn't list."""
+    """Nearest neighbours among pairs that a table of barred pairs (ids up to five apart) doesn't list."""
     p = _points(spark, d)
-    wide = knn.exact(p, p, p.count(), "dot").drop("rank").withColumn("raw", F.col("score")).withColumn("score", F.round("score", 9))
-    barred = wide.where((F.col("query") + F.col("neighbour")) % 3 == 0)
-    return knn.top_k(knn.without(wide, barred), 2).select("query", "neighbour", _r("raw").alias("score"), "rank")
+    barred = p.select(F.col("id").alias("query"), F.explode(F.sequence(F.col("id") - 5, F.col("id") + 5)).alias("neighbour"))
+    return search.by_features(p, p, [FE.FeatureSpec("vec")], 2, offlimits=barred).withColumn("score", _r("score"))
 
 
 @query(f"""WITH RECURSIVE {_HEAP_STATS}, {_SCORE_COS} SELECT sc.node, round(score, 6) + 0.0 AS score FROM sc
