@@ -3,7 +3,9 @@
 Texts are compared as runs of lower-case letters and digits with single spaces.
 A benchmark item is cut into windows of ``WINDOW`` characters, half overlapping
 (a shorter item is one window), each with a budget of ``RATE`` of its length in
-edits.  By the q-gram lemma, a part of a document within ``k`` edits of a window
+edits, and into windows of ``SHORT`` characters, one every ``STRIDE``, with a
+budget of ``SHORT_RATE``.  So a verbatim quote of ``SHORT + STRIDE - 1``
+characters or more is found wherever it starts.  By the q-gram lemma, a part of a document within ``k`` edits of a window
 of ``m`` characters shares ``m - q + 1 - k * q`` q-grams with it or more, on
 ``k + 1`` neighbouring diagonals.  So per document:
 
@@ -14,7 +16,7 @@ of ``m`` characters shares ``m - q + 1 - k * q`` q-grams with it or more, on
 4. verify each by banded alignment of the window with that part of the text.
 
 The benchmark is taken in blocks of about ``BLOCK_CHARS`` characters: a block's
-index is broadcast (about 40 bytes a character), and each block is one pass over
+index is broadcast (about 140 bytes a character), and each block is one pass over
 the documents, with one block's index in the workers at a time.
 
 An item of fewer than ``LEAST`` normalised characters has no room for edits: it
@@ -43,8 +45,10 @@ from grovekit.llm.hashing import mix
 Q = 9
 WINDOW = 100
 RATE = 0.08
+SHORT, STRIDE = 50, 10
+SHORT_RATE = 0.04
 LEAST = 24
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 500_000
 BITS = 20
 CHUNK = 1 << 17
 #: Shared q-grams that are counted at once.
@@ -94,9 +98,9 @@ def qgrams(points: np.ndarray, q: int = Q) -> np.ndarray:
     return mix(h)
 
 
-def budget(m: int) -> tuple[int, int]:
+def budget(m: int, rate: float = RATE) -> tuple[int, int]:
     """(edits, shared q-grams) for a window of ``m`` characters."""
-    k = max(0, min(int(RATE * m), (m - Q + 1 - 3) // Q))
+    k = max(0, min(int(rate * m), (m - Q + 1 - 3) // Q))
     return k, m - Q + 1 - k * Q
 
 
@@ -270,18 +274,22 @@ class Index:
 
 
 def build_index(items: list[tuple[int | None, str | None]]) -> Index:
-    ids, windows, item_of, start_of = [], [], [], []
+    ids, windows, item_of, start_of, limits = [], [], [], [], []
     for item_id, text in items:
         points, _ = normalise(text or "")
         if not len(points):
             continue
-        last = max(0, len(points) - WINDOW)
-        for start in sorted({*range(0, last, WINDOW // 2), last}):
-            windows.append(points[start : start + WINDOW].copy())
-            item_of.append(len(ids))
-            start_of.append(start)
+        for width, stride, rate in ((WINDOW, WINDOW // 2, RATE), (SHORT, STRIDE, SHORT_RATE)):
+            if width == SHORT and len(points) <= SHORT:
+                continue  # one window already
+            last = max(0, len(points) - width)
+            for start in sorted({*range(0, last, stride), last}):
+                windows.append(points[start : start + width].copy())
+                limits.append(budget(len(windows[-1]), rate))
+                item_of.append(len(ids))
+                start_of.append(start)
         ids.append(item_id)
-    limits = np.array([budget(len(w)) for w in windows], np.int64).reshape(-1, 2)
+    limits = np.array(limits, np.int64).reshape(-1, 2)
     short: dict[int, dict[int, list[int]]] = {}
     for w, points in enumerate(windows):
         if len(points) < LEAST:

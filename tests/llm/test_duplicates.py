@@ -438,6 +438,24 @@ def test_decontamination_equals_full_alignment():
     assert got == want and sum(map(len, want)) > 60
 
 
+def test_short_quotes_are_found_wherever_they_start():
+    rng = random.Random(13)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    items = [(i, prose(rng.randint(30, 80))) for i in range(20)]
+    index = decontaminate.build_index(items)
+    texts, want = [], []
+    for n in (59, 60, 66, 80, 99, 110, 120, 130):
+        for i, item in items:
+            for at in (0, len(item) - n, *(rng.randint(0, len(item) - n) for _ in range(4))):
+                quote = item[at : at + n].strip()
+                if len(quote) == n:
+                    texts.append(f"{prose(20)} {quote} {prose(20)}")
+                    want.append({i})
+    assert [{h[0] for h in hits} for hits in index.search(iter(texts))] == want and len(texts) > 600
+    others = [prose(200) for _ in range(50)] + [f"{prose(20)} {item[40:75]} {prose(20)}" for _, item in items]  # 35 characters are no leak
+    assert not any(index.search(iter(others)))
+
+
 def test_decontamination_of_texts_that_repeat_themselves(monkeypatch):
     monkeypatch.setattr(decontaminate, "HITS", 1000)
     index = decontaminate.build_index([(1, "ab " * 60), (2, "a " * 80), (3, "ab")])
