@@ -171,6 +171,14 @@ class Index:
         size = len(points) + 2 * WINDOW + 4
         many = self.first[row + 1] - self.first[row]
         code = count = np.empty(0, np.int64)
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []  # counts of parts, added to the rest once they are as many
+        held = 0
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            codes, counts = (np.concatenate(x) for x in zip((code, count), *waiting, strict=True))
+            codes, back = np.unique(codes, return_inverse=True)
+            return codes, np.bincount(back, counts, len(codes)).astype(np.int64)
+
         ends = np.cumsum(many)
         at = 0
         while at < len(row):  # a part of the hits at once, as those of a text that repeats itself are many
@@ -180,10 +188,12 @@ class Index:
             window, diagonal = self.window_of[flat], np.repeat(place[at:to], part) - self.place_of[flat]
             band = (diagonal + WINDOW) // (self.edits[window] + 1)  # diagonals below 0 too
             codes, counts = np.unique(np.concatenate([window * size + band, (window * size + band - 1)[band > 0]]), return_counts=True)
-            both = np.concatenate([code, codes])
-            code, back = np.unique(both, return_inverse=True)
-            count = np.bincount(back, np.concatenate([count, counts]), len(code)).astype(np.int64)
+            waiting.append((codes, counts))
+            held += len(codes)
+            if held > max(HITS, len(code)):
+                (code, count), waiting, held = added(), [], 0
             at = to
+        code, count = added()
         kept = []
         for c in code[count >= self.need[code // size]].tolist():
             w, b = divmod(c, size)
