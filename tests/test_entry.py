@@ -10,7 +10,7 @@ from grovekit.plans import catalogue
 
 SMALL = "/root/testdata/sf0.001"
 here = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
-FAST = ["knn_cosine_top5", "cluster_stats", "tree_siblings", "node_purity", "dendrogram_purity", "pairwise_f1", "feature_no_match", "text_words", "triplet_loss", "stored_points", "stored_libsvm", "stored_versions", "stored_weights", "linkage_centroid_by_label", "node_score_centroid", "sparse_vectors", "encoded_records", "text_hashed_features", "graph_renamed"]
+FAST = ["knn_cosine_top5", "cluster_stats", "tree_siblings", "node_purity", "dendrogram_purity", "pairwise_f1", "feature_no_match", "text_words", "triplet_loss", "stored_points", "stored_libsvm", "stored_versions", "stored_weights", "linkage_centroid_by_label", "node_score_centroid", "sparse_vectors", "encoded_records", "text_hashed_features", "graph_renamed", "nn_offlimits_same_label", "nn_without_offlimits", "sparse_dot_top3", "multifeature_top5"]
 
 
 def _plain(v):
