@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from grovekit.functions import vectors as V
 from grovekit.operators.knn import _block_scores, top_k
+from grovekit.plans.observed import Rounds
 from grovekit.plans.session import checkpointed
 
 #: Neighbourhoods that meet in one group of a task.
@@ -115,29 +116,35 @@ def _met(members: DataFrame, kind: str, k: int, groups: int, similarity: str) ->
     return dealt.groupBy("block").applyInPandas(run, f"src {kind}, dst {kind}, score double")
 
 
-def descend(points: DataFrame, options: SearchOptions | None = None, start: DataFrame | None = None) -> DataFrame:
+def link_rounds() -> Rounds:
+    """Metrics of the rounds of ``descend``: links held, links that are new, and the least and mean score."""
+    return Rounds(links=F.count("*"), changed=F.count_if("fresh"), least=F.min("score"), mean=F.avg("score"))
+
+
+def descend(points: DataFrame, options: SearchOptions | None = None, start: DataFrame | None = None, rounds: Rounds | None = None) -> DataFrame:
     """(src, dst, score): about the ``k`` nearest points of each, from random links or those of ``start(src, dst)``.
 
     Fewer than two points have no links.  A round compares what is new in each
     neighbourhood; of a point's reverse neighbours the ``reverse`` least by hash
-    take part, another set in each round.
+    take part, another set in each round.  ``rounds`` (``link_rounds()``) keeps
+    what each round counted; its round 0 is the start.
     """
+    rounds = rounds or link_rounds()
     o = options or SearchOptions()
     n = points.count()
     groups = _groups(n)
     kind = points.schema["id"].dataType.simpleString()
     given = _rough(points, n, o) if start is None else start.select("src", "dst").unionByName(_rough(points, n, o)).distinct()
     vec = points.select("id", V.wide("vec").alias("vec"))
-    links = checkpointed(_best(_scored(given, points, o.similarity).withColumn("fresh", F.lit(True)), o.k))
+    links, _ = rounds.checkpointed(_best(_scored(given, points, o.similarity).withColumn("fresh", F.lit(True)), o.k))
     for turn in range(o.max_rounds):
         forward = links.select(F.col("src").alias("at"), F.col("dst").alias("id"), "fresh")
         chance = F.row_number().over(W.partitionBy("dst").orderBy(F.xxhash64(F.lit(turn), "src"), "src"))
         back = links.withColumn("place", chance).where(F.col("place") <= o.reverse).select(F.col("dst").alias("at"), F.col("src").alias("id"), "fresh")
         members = forward.unionByName(back).groupBy("at", "id").agg(F.max("fresh").alias("fresh")).join(vec, "id")
         found = _met(members.select("at", "id", "fresh", "vec"), kind, o.k, groups, o.similarity).withColumn("fresh", F.lit(True))
-        links = checkpointed(_best(links.withColumn("fresh", F.lit(False)).unionByName(found), o.k))
-        changed = links.where("fresh").count()
-        if changed <= o.settled * n * o.k:
+        links, seen = rounds.checkpointed(_best(links.withColumn("fresh", F.lit(False)).unionByName(found), o.k))
+        if seen["changed"] <= o.settled * n * o.k:
             break
     return links.select("src", "dst", "score")
 
