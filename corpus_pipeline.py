@@ -15,6 +15,8 @@ from grovekit.llm import decontaminate, jaccard_join, langid, mixing, scratch, s
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a learned language; null texts and texts without letters go.
 
+    So do texts in other languages: those of which no learned language is likelier than all others together, and
+    those with fewer than half of their n-grams in labelled texts.
     Repeated rows are treated alike; without labelled rows no language is known and all documents go.
     """
     return langid.accept(docs, langid.train(docs))

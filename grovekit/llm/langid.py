@@ -10,6 +10,10 @@ penalties, then calibrated with one temperature.
   (doc_id, text), so the same rows are taken on every run.  A fifth of them is
   kept from the learner and fits the temperature.
 * A prediction reads the text alone.
+* ``accept`` keeps the texts that the model can tell: the calibrated score has
+  to be at least 0.5, so that the language is likelier than all others together,
+  and at least half of the n-grams have to occur in labelled texts, as the score
+  alone says little of letters that no labelled text has.
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
 rows with a null ``lang`` are never learned from; repeated rows are predicted
@@ -105,17 +109,24 @@ class LanguageModel:
     idf: np.ndarray = field(default_factory=lambda: np.ones(DIM, np.float32))
     w: np.ndarray = field(default_factory=lambda: np.zeros((DIM + 1, 0), np.float32))
     temperature: float = 1.0
+    seen: np.ndarray = field(default_factory=lambda: np.zeros(DIM, bool))  # buckets of the labelled texts' n-grams
 
     def logits(self, index: np.ndarray, count: np.ndarray) -> np.ndarray:
         return _weights(index, count, self.idf) @ self.w[index] + self.w[DIM]
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """The prediction, its score, and the share of the text's n-grams that occur in labelled texts."""
         counted = ngram_counts(text) if self.languages else None
         if counted is None:
-            return "und", 0.0
-        p = softmax(self.logits(*counted) / self.temperature)
+            return "und", 0.0, 0.0
+        index, count = counted
+        p = softmax(self.logits(index, count) / self.temperature)
         best = int(np.argmax(p))
-        return self.languages[best], float(min(1.0, max(0.0, p[best])))
+        known = float(count[self.seen[index]].sum(dtype=float) / count.sum(dtype=float))
+        return self.languages[best], float(min(1.0, max(0.0, p[best]))), known
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -213,20 +224,25 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     learn = [v for v, h in zip(vectors, held, strict=True) if not h]
     w = fit_ftrl(learn, labels[~held], len(languages))
     logits = np.array([x @ w[a] + w[DIM] for (a, x), h in zip(vectors, held, strict=True) if h])
-    return LanguageModel(languages, idf, w, fit_temperature(logits, labels[held]))
+    return LanguageModel(languages, idf, w, fit_temperature(logits, labels[held]), df[:DIM] > 0)
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` appended (columns of those names are replaced)."""
-    scratch.small_batches(docs.sparkSession)
     kept = docs.select([c for c in docs.columns if c not in ("lang_pred", "score")])
+    return kept.withColumn("__p", _judged(docs, model, text)).select(*kept.columns, "__p.lang_pred", "__p.score")
+
+
+def _judged(docs: DataFrame, model: LanguageModel, text: str) -> Column:
+    """(lang_pred, score, known) of the text."""
+    scratch.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def label(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+    @F.pandas_udf("lang_pred string, score double, known double")
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([shared.value.judge(t) for t in texts], columns=["lang_pred", "score", "known"])
 
-    return kept.withColumn("__p", label(F.col(text))).select(*kept.columns, "__p.lang_pred", "__p.score")
+    return judge(F.col(text))
 
 
 def fold(key: Column, folds: int) -> Column:
@@ -234,6 +250,11 @@ def fold(key: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % folds
 
 
-def accept(docs: DataFrame, model: LanguageModel, min_score: float = 0.0, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` in a learned language; ``und`` goes, and so do scores below ``min_score``."""
-    return predict(docs, model, text).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*docs.columns)
+def accept(docs: DataFrame, model: LanguageModel, min_score: float = 0.5, min_known: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` in a learned language.
+
+    ``und`` goes, and so do texts whose score is below ``min_score`` and those
+    with a lesser share than ``min_known`` of n-grams that labelled texts have.
+    """
+    told = docs.withColumn("__p", _judged(docs, model, text))
+    return told.where((F.col("__p.lang_pred") != "und") & (F.col("__p.score") >= min_score) & (F.col("__p.known") >= min_known)).select(*docs.columns)

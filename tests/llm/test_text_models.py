@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grovekit.llm import html_blocks, html_extract, kneserney, langid
+import corpus_pipeline
+from grovekit.llm import html_blocks, html_extract, kneserney, langid, scratch
 from grovekit.llm.hashing import word_hashes
 
 LONG = 300_000
@@ -134,6 +135,25 @@ def test_language(spark):
     assert langid.predict(docs.where("false"), model).count() == 0
 
 
+def test_other_languages_are_not_accepted(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    other = [
+        "Москва является столицей России и крупнейшим городом страны, расположенным на реке",
+        "Η Αθήνα είναι η πρωτεύουσα της Ελλάδας και η μεγαλύτερη πόλη της χώρας",
+        "北京是中华人民共和国的首都,是全国的政治中心和文化中心",
+        "xqzj wvkk zzpt qqrw jjxk vbnm qwrt zxcv plkj mnbv",
+    ]
+    more = spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate(other)], docs.schema)
+    model = langid.train(docs.unionByName(more))
+    assert langid.accept(docs, model).count() >= 0.99 * docs.where("rlike(text, '[a-zA-Z]')").count()
+    assert langid.accept(more, model).count() == 0
+    found, _ = scratch.settle(corpus_pipeline.language(spark, docs.unionByName(more), "unused"), "language")
+    assert found.where("doc_id >= 1000000").count() == 0 and found.count() == langid.accept(docs, model).count()
+    # named once, a language is a learned one
+    named = spark.createDataFrame([(10**6 + i, other[0], "ru") for i in range(40)], docs.schema)
+    assert langid.accept(named, langid.train(docs.unionByName(named))).count() == 40
+
+
 def test_ngrams_do_not_depend_on_blocks(monkeypatch):
     text = "Ab, cd é12 xyz " * 40
     whole = langid.ngram_counts(text)
