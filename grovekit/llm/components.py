@@ -4,7 +4,9 @@ Each step replaces every edge by one to the least known neighbour, so the edge
 table never grows, and the number of rounds is logarithmic in practice.  The
 table is written to the shared folder after each round, which cuts lineage and
 survives lost executors.  A hub is never gathered: minima are aggregated before
-the shuffle, and the join back on the hub is one whose skew Spark splits.
+the shuffle, and the join back on the hub is one whose skew Spark splits, or
+one with broadcast minima while edges are few.  The rounds end when every edge
+leads to a least node: no further round is run to see that nothing changes.
 """
 
 from __future__ import annotations
@@ -13,21 +15,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grovekit.llm import scratch
+from grovekit.llm.dealing import FEW, listed
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, few: bool) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u and v <> m").select(F.col("m").alias("u"), "v")
+    return both.join(listed(least, few), "u").where("v > u and v <> m").select(F.col("m").alias("u"), "v")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, few: bool) -> DataFrame:
     """Here u < v on every edge: each v sends its smaller neighbours to the least of them."""
     least = edges.groupBy("v").agg(F.min("u").alias("m"))
-    moved = edges.join(least, "v").where("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v"))
+    moved = edges.join(listed(least, few), "v").where("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v"))
     return moved.unionByName(least.select(F.col("m").alias("u"), "v"))
 
 
+def _state(edges: DataFrame) -> tuple[int, bool]:
+    """The number of edges, and whether they are stars: each v has one u, which is no v."""
+    ends = edges.select(F.col("v").alias("node"), F.lit(1).alias("below")).unionByName(edges.select(F.col("u").alias("node"), F.lit(0).alias("below")))
+    nodes = ends.groupBy("node").agg(F.sum("below").alias("below"), F.min("below").alias("least"))
+    seen = nodes.agg(F.sum("below").alias("n"), F.bool_or(F.expr("below > 1 or below = 1 and least = 0")).alias("more")).first()
+    return seen["n"] or 0, not seen["more"]
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges(u, v)``; component is the least node.
 
@@ -41,13 +52,11 @@ def stored_components(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFrame
     spark = edges.sparkSession
     start = edges.where("u is not null and v is not null and u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     now, path = scratch.settle(start, "edges")
-    mark = None
     for _ in range(max_rounds):
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
-        if seen["n"] == 0 or (seen["n"], seen["h"]) == mark:
+        n, stars = _state(now)
+        if stars:
             break
-        mark = (seen["n"], seen["h"])
-        after, new_path = scratch.settle(_small_star(_large_star(now)).distinct(), "edges")
+        after, new_path = scratch.settle(_small_star(_large_star(now, n <= FEW), n <= FEW).distinct(), "edges")
         scratch.drop(spark, path)
         now, path = after, new_path
     else:

@@ -47,7 +47,7 @@ from pyspark.sql.types import AtomicType
 
 from grovekit.llm import scratch
 from grovekit.llm.components import stored_components
-from grovekit.llm.dealing import dealt
+from grovekit.llm.dealing import FEW, dealt, listed
 from grovekit.llm.hashing import mix, shingle_set, word_hashes
 from grovekit.llm.rtree import CountTree, count_vector, packed, unpacked
 
@@ -230,7 +230,7 @@ def _led(signed: DataFrame) -> DataFrame:
     return signed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(run, "a long, b long").distinct()
 
 
-def _searched(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+def _searched(pairs: DataFrame, points: DataFrame, percent: int, few: bool) -> DataFrame:
     """The pairs (a, b) that remain when a searches the R-tree of its partners."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -255,10 +255,10 @@ def _searched(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
                 yield pd.concat(made)
         yield from found()
 
-    return dealt(pairs, points, "data").mapInPandas(search, "a long, b long")
+    return dealt(pairs, points, "data", few=few).mapInPandas(search, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, few: bool) -> DataFrame:
     """The pairs (a, b) that link, by their exact sets."""
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -275,11 +275,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                 links.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.loc[np.array(links, bool), ["a", "b"]]
 
-    return dealt(pairs, texts, "data").mapInPandas(verify, "a long, b long")
+    if not few:  # fewer texts to shuffle
+        texts = texts.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
+    return dealt(pairs, texts, "data", few=few).mapInPandas(verify, "a long, b long")
 
 
-def _crossing(pairs: DataFrame, comps: DataFrame, points: DataFrame, percent: int, first: bool) -> DataFrame:
-    """(a, b): pairs of classes led by one class, in different components, that the R-tree can't rule out.
+def _crossing(pairs: DataFrame, comps: DataFrame, points: DataFrame, percent: int, first: bool, few: bool) -> DataFrame:
+    """(a, b): pairs of classes led by one class, in different components, that the R-tree can't rule out; some come more than once.
 
     Two classes that share a block have its leader in common, so all classes of
     one leader are searched together, each once.  A leader's classes are dealt
@@ -287,10 +289,10 @@ def _crossing(pairs: DataFrame, comps: DataFrame, points: DataFrame, percent: in
     ``first``, a class gets only its likeliest partner in each leaf of the tree.
     """
     own = comps.select(F.col("node").alias("b"), F.col("component").alias("comp"))
-    members = pairs.join(own, "b", "left").select(F.col("a").alias("leader"), F.col("b").alias("node"), F.coalesce("comp", "b").alias("comp"))
+    members = pairs.join(listed(own, few), "b", "left").select(F.col("a").alias("leader"), F.col("b").alias("node"), F.coalesce("comp", "b").alias("comp"))
     # each class has met the leader: what is left are two more of different components
     open_ = members.groupBy("leader").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / TILE).alias("tiles")).where("low <> high").select("leader", "tiles")
-    tiled = members.join(open_, "leader").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles")).join(points, "node")
+    tiled = points.join(listed(members.join(listed(open_, few), "leader").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles")), few), "node")
     met = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda other: F.struct(F.least("tile", other).alias("i"), F.greatest("tile", other).alias("j"))))
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = tiled.select("leader", met.alias("met"), "tile", "node", "comp", "data").select("leader", "met.i", "met.j", "tile", "node", "comp", "data")
@@ -325,29 +327,29 @@ def _crossing(pairs: DataFrame, comps: DataFrame, points: DataFrame, percent: in
         if rows:
             yield from found(group, rows)
 
-    return spread.mapInPandas(search, "a long, b long").distinct()
+    return spread.mapInPandas(search, "a long, b long")
 
 
-def _chosen(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def _chosen(sets: DataFrame, pairs: DataFrame, few: bool) -> DataFrame:
     """(node, doc_id, k): a row of each class that has a pair, by its doc_id and its text's hash, so that one without a doc_id is found as well."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    return sets.where("n > 0").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min_by("k", "doc_id"), F.min("k")).alias("k"))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    return sets.where("n > 0").join(F.broadcast(wanted) if few else wanted.distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min_by("k", "doc_id"), F.min("k")).alias("k"))
 
 
-def _texts(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+def _texts(rows: DataFrame, chosen: DataFrame, few: bool) -> DataFrame:
     """(node, data): the texts of the chosen rows; rows that repeat give a node several times."""
-    ids = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
+    ids = listed(chosen, few or chosen.count() <= BROADCAST_IDS)
     return rows.join(ids, rows["doc_id"].eqNullSafe(ids["doc_id"]) & (rows["k"] == ids["k"])).select("node", F.col("t").alias("data"))
 
 
 def _points(texts: DataFrame, words: int) -> DataFrame:
-    """(node, data): the group counts of each class."""
+    """(node, data, text): the group counts and a text of each class."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "data": [packed(count_vector(shingle_set(h, words))) for h in word_hashes(batch["data"])]})
+            yield pd.DataFrame({"node": batch["node"], "data": [packed(count_vector(shingle_set(h, words))) for h in word_hashes(batch["data"])], "text": batch["data"]})
 
-    return texts.mapInPandas(count, "node long, data binary").dropDuplicates(["node"])
+    return texts.mapInPandas(count, "node long, data binary, text binary").dropDuplicates(["node"])
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -360,43 +362,44 @@ class _Work:
 
     def __init__(self, docs: DataFrame, words: int, percent: int, key: str, text: str, sign_set: Callable[[np.ndarray, int], np.ndarray]):
         self.spark, self.words, self.percent, self.paths = docs.sparkSession, words, percent, []
-        self.rows = rows = _rows(docs, key, text)
+        rows = _rows(docs, key, text)
         self.sets, self.sets_path = scratch.settle(_sets(rows, words), "sets")
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         total = self.sets.agg(F.sum("n")).first()[0] or 0
         self.pairs = self.keep(_led(_signed(rows, words, percent, sign_set, max(parts, total // (4 * SIGNATURES)))), "pairs")
-        self.chosen = self.keep(_chosen(self.sets, self.pairs), "chosen")
-        self.points = self.keep(_points(_texts(rows, self.chosen), words), "points")
+        self.few = self.pairs.count() <= FEW
+        chosen = _chosen(self.sets, self.pairs, self.few)
+        self.points = self.keep(_points(_texts(rows, chosen if self.few else self.keep(chosen, "chosen"), self.few), words), "points")
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         made, path = scratch.settle(df, name)
         self.paths.append(path)
         return made
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        texts = self.keep(_texts(self.rows, self.chosen.join(named, "node", "left_semi")).dropDuplicates(["node"]), "texts")
-        links = self.keep(_verified(pairs, texts, self.words, self.percent), "links")
-        self.paths.remove(path := self.paths[-2])
-        scratch.drop(self.spark, path)
-        return links
+    def verified(self, pairs: DataFrame, few: bool) -> DataFrame:
+        texts = self.points.select("node", F.col("text").alias("data"))
+        return self.keep(_verified(pairs, texts, self.words, self.percent, few), "links")
 
-    def crossing(self, comps: DataFrame, first: bool) -> DataFrame:
-        return _crossing(self.pairs, comps, self.points, self.percent, first)
+    def crossing(self, comps: DataFrame, first: bool, tried: DataFrame, tried_few: bool) -> tuple[DataFrame, int]:
+        """The pairs to be verified that weren't ``tried``, and their number."""
+        met = _crossing(self.pairs, comps, self.points.select("node", "data"), self.percent, first, self.few)
+        left = self.keep(met.join(listed(tried, tried_few), ["a", "b"], "left_anti").distinct(), "crossing")
+        return left, left.count()
 
     def led(self) -> DataFrame:
         """The leaders' links."""
-        return self.verified(self.keep(_searched(self.pairs, self.points, self.percent), "near"))
+        return self.verified(self.keep(_searched(self.pairs, self.points.select("node", "data"), self.percent, self.few), "near"), self.few)
 
     def components(self, links: DataFrame, before: DataFrame | None = None) -> tuple[DataFrame, str]:
         """(node, component) of the links and those that gave ``before``, of which only the components are joined."""
         if before is None:
             return stored_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        named = lambda c: before.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+        few = before.count() + links.count() <= FEW
+        named = lambda c: listed(before.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), few)
         edges = links.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("of_a", "a").alias("u"), F.coalesce("of_b", "b").alias("v"))
         met, path = stored_components(edges)
-        moved = before.join(met.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        made = scratch.settle(moved.unionByName(met.join(before.select("node"), "node", "left_anti")), "components")
+        moved = before.join(listed(met.select(F.col("node").alias("component"), F.col("component").alias("to")), few), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        made = scratch.settle(moved.unionByName(met.join(listed(before.select("node"), few), "node", "left_anti")), "components")
         scratch.drop(self.spark, path)
         return made
 
@@ -409,12 +412,12 @@ def _joined(docs: DataFrame, words: int, percent: int, key: str, text: str, sign
     """(doc_id, k, n, group, least, class_size) for each row, and the paths that it is read from; group names a component of any rows."""
     work = _Work(docs, words, percent, key, text, sign_set)
     comps, path = work.components(work.led())
-    tried = work.pairs
+    tried, few = work.pairs, work.few
     for first in (True, False):  # likeliest pairs first: what they connect needs no more pairs; then all that are left
-        left = work.keep(work.crossing(comps, first).join(tried, ["a", "b"], "left_anti"), "crossing")
-        if left.limit(1).count():
-            more = work.verified(left)
-            tried = tried.union(left)
+        left, n = work.crossing(comps, first, tried, few)
+        if n:
+            more = work.verified(left, n <= FEW)
+            tried, few = tried.union(left), few and n <= FEW
             if more.limit(1).count():
                 old = path
                 comps, path = work.components(more, comps)
@@ -453,7 +456,9 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id
     """
     work = _Work(docs, words, percent, key, text, signatures)
     nobody = work.pairs.select(F.col("a").alias("node"), F.col("a").alias("component")).where("false")
-    found = work.led().union(work.verified(work.keep(work.crossing(nobody, False).join(work.pairs, ["a", "b"], "left_anti"), "crossing")))
+    found = work.led()
+    left, n = work.crossing(nobody, False, work.pairs, work.few)
+    found = found.union(work.verified(left, n <= FEW))
     both, _ = scratch.settle(found.union(found.select("b", "a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "verified")
     work.done()
     classes = work.sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("size"))
@@ -487,11 +492,10 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     plain = [F.col(a) for c, a in names.items() if isinstance(docs.schema[c].dataType, AtomicType)]
     rows = docs.select(*[F.col(c).alias(a) for c, a in names.items()]).withColumn("_k", F.xxhash64(F.col(names[text]).cast("binary")))
-    listed = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     same = F.col(names[key]).cast("long").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_at"))
-    stay = rows.join(listed(gone), same, "left_anti")
+    stay = rows.join(listed(gone, gone.count() <= BROADCAST_IDS), same, "left_anti")
     if again.limit(1).count():
-        repeats = listed(again)
+        repeats = listed(again, again.count() <= BROADCAST_IDS)
         once = stay.join(repeats, same, "left_semi").groupBy(names[key], "_k").agg(F.min_by(F.struct(*names.values()), F.xxhash64(*plain)).alias("row")).select("row.*", "_k")
         stay = stay.join(repeats, same, "left_anti").unionByName(once)
     return stay.select(*[F.col(a).alias(c) for c, a in names.items()])

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grovekit.llm import dealing, decontaminate, jaccard_join, line_dedup, minhash
+from grovekit.llm import components as components_module
+from grovekit.llm import dealing, decontaminate, jaccard_join, line_dedup, minhash, scratch
 from grovekit.llm.components import components
 from grovekit.llm.rtree import GROUPS, CountTree, coarse, count_vector, packed, unpacked
 
@@ -215,6 +216,31 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u string, v string")).count() == 0
 
 
+def test_components_are_not_run_again_when_settled(spark, monkeypatch):
+    made, settle = [], scratch.settle
+    monkeypatch.setattr(scratch, "settle", lambda df, name: made.append(name) or settle(df, name))
+    stars = spark.createDataFrame([(10 * i, 10 * i + j) for i in range(5) for j in range(1, 6)], "u long, v long")
+    assert components(stars).count() == 30 and made == ["edges"]
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_few_pairs_join_as_many(spark, monkeypatch, few):
+    made, settle = [], scratch.settle
+    monkeypatch.setattr(scratch, "settle", lambda df, name: made.append(name) or settle(df, name))
+    monkeypatch.setattr(jaccard_join, "FEW", few)
+    monkeypatch.setattr(components_module, "FEW", few)
+    monkeypatch.setattr(dealing, "SALT", 3)
+    texts = _corpus(4, 120)
+    df = spark.createDataFrame([(i % 110, t) for i, t in enumerate(texts)] + [(None, texts[5]), (7, texts[7])], "doc_id long, text string")
+    plain = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {i: _shingles(t, 5) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.join(plain, 5, 80).collect()} == _components(list(sets), sets, 80)
+    assert "texts" not in made  # the classes' texts are read from the input once
+    linked = {i: sum(1 for j in sets if j != i and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])) for i in sets}
+    assert {r["doc_id"]: r["n_links"] for r in jaccard_join.links(plain, 5, 80).collect()} == linked
+    assert jaccard_join.join(df, 5, 80).count() == 122
+
+
 def test_fingerprints_of_edited_texts(spark):
     rng = random.Random(5)
     rows = [(rng.randrange(10**6), " ".join(rng.choice(WORDS) for _ in range(rng.choice((0, 1, 4, 30, 200))))) for _ in range(80)]
