@@ -22,16 +22,16 @@ def listed(ids: DataFrame, few: bool) -> DataFrame:
 def dealt(pairs: DataFrame, data: DataFrame, *columns: str, few: bool = False) -> DataFrame:
     """(a, salt, own, b, columns): for each pair (a, b) what b has, after a row marked ``own`` that holds what a has.
 
-    ``data`` has ``node`` and the columns.  The partners of one a are dealt to
-    about one salt for each ``SALT``, so an a of any number of pairs is spread
-    over tasks, and a task holds one a at a time.  If the pairs are ``few``,
-    they go to where the data are, which are then shuffled once.
+    ``data`` has ``node``, each once, and the columns.  The partners of one a
+    are dealt to about one salt for each ``SALT``, so an a of any number of pairs
+    is spread over tasks, and a task holds one a at a time.  The data are read
+    once, for both sides.  If the pairs are ``few``, they go to where the data
+    are, which are then shuffled once.
     """
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salts = F.ceil(F.col("many") / SALT)
     many = pairs.groupBy("a").agg(F.count("*").alias("many"))
-    salted = pairs.join(listed(many, few), "a").select("a", F.pmod(F.xxhash64("b"), salts).alias("salt"), "b")
-    partners = data.withColumnRenamed("node", "b").join(listed(salted, few), "b").select("a", "salt", F.lit(False).alias("own"), "b", *columns)
-    own = many.select("a", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
-    leaders = data.withColumnRenamed("node", "a").join(listed(own, few), "a").select("a", "salt", F.lit(True).alias("own"), F.col("a").alias("b"), *columns)
-    return leaders.unionByName(partners).repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.desc("own"))
+    partners = pairs.join(listed(many, few), "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), salts).alias("salt"), F.lit(False).alias("own"))
+    leaders = many.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), F.lit(True).alias("own"))
+    met = data.join(listed(leaders.unionByName(partners), few), "node").select("a", "salt", "own", F.col("node").alias("b"), *columns)
+    return met.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.desc("own"))

@@ -105,18 +105,19 @@ def _set_hash(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def _sets(rows: DataFrame, words: int) -> DataFrame:
-    """(doc_id, k, n, node, check): size and two hashes of each document's set."""
+    """(doc_id, k, n, node, check, data): size, two hashes and group counts of each document's set; an empty one has no counts."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = []
+            found, data = [], []
             for h in word_hashes(batch["t"]):
                 tokens = shingle_set(h, words)
                 found.append((len(tokens), *(_set_hash(tokens) if len(tokens) else (0, 0))))
+                data.append(packed(count_vector(tokens)) if len(tokens) else None)
             n, node, check = (np.array(c, np.int64) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "k": batch["k"], "n": n, "node": node, "check": check})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "k": batch["k"], "n": n, "node": node, "check": check, "data": data})
 
-    return rows.mapInPandas(measure, "doc_id long, k long, n long, node long, check long")
+    return rows.mapInPandas(measure, "doc_id long, k long, n long, node long, check long, data binary")
 
 
 def pack(sig: np.ndarray, node: np.ndarray, buckets: int) -> pd.DataFrame:
@@ -275,8 +276,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, few:
                 links.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.loc[np.array(links, bool), ["a", "b"]]
 
-    if not few:  # fewer texts to shuffle
-        texts = texts.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
     return dealt(pairs, texts, "data", few=few).mapInPandas(verify, "a long, b long")
 
 
@@ -330,26 +329,24 @@ def _crossing(pairs: DataFrame, comps: DataFrame, points: DataFrame, percent: in
     return spread.mapInPandas(search, "a long, b long")
 
 
-def _chosen(sets: DataFrame, pairs: DataFrame, few: bool) -> DataFrame:
-    """(node, doc_id, k): a row of each class that has a pair, by its doc_id and its text's hash, so that one without a doc_id is found as well."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
-    return sets.where("n > 0").join(F.broadcast(wanted) if few else wanted.distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min_by("k", "doc_id"), F.min("k")).alias("k"))
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
 
 
-def _texts(rows: DataFrame, chosen: DataFrame, few: bool) -> DataFrame:
-    """(node, data): the texts of the chosen rows; rows that repeat give a node several times."""
-    ids = listed(chosen, few or chosen.count() <= BROADCAST_IDS)
-    return rows.join(ids, rows["doc_id"].eqNullSafe(ids["doc_id"]) & (rows["k"] == ids["k"])).select("node", F.col("t").alias("data"))
-
+def _points(sets: DataFrame, pairs: DataFrame, few: bool) -> DataFrame:
+    """(node, doc_id, k, data): each class that has a pair, with its group counts, and one of its rows by doc_id and its text's hash, so that one without a doc_id is found as well."""
+    wanted = _ends(pairs)
+    met = sets.where("n > 0").join(F.broadcast(wanted) if few else wanted.distinct(), "node", "left_semi")
+    return met.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min_by("k", "doc_id"), F.min("k")).alias("k"), F.first("data").alias("data"))
 
-def _points(texts: DataFrame, words: int) -> DataFrame:
-    """(node, data, text): the group counts and a text of each class."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "data": [packed(count_vector(shingle_set(h, words))) for h in word_hashes(batch["data"])], "text": batch["data"]})
-
-    return texts.mapInPandas(count, "node long, data binary, text binary").dropDuplicates(["node"])
+def _texts(rows: DataFrame, points: DataFrame, pairs: DataFrame, few: bool) -> DataFrame:
+    """(node, data): a text of each class in ``pairs``, once, though its row may repeat."""
+    ends = _ends(pairs)
+    chosen = points.select("node", "doc_id", "k").join(F.broadcast(ends) if few else ends.distinct(), "node", "left_semi")
+    ids = listed(chosen, few or chosen.count() <= BROADCAST_IDS)
+    found = rows.join(ids, rows["doc_id"].eqNullSafe(ids["doc_id"]) & (rows["k"] == ids["k"])).select("node", F.col("t").alias("data"))
+    return found.dropDuplicates(["node"])
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -362,14 +359,13 @@ class _Work:
 
     def __init__(self, docs: DataFrame, words: int, percent: int, key: str, text: str, sign_set: Callable[[np.ndarray, int], np.ndarray]):
         self.spark, self.words, self.percent, self.paths = docs.sparkSession, words, percent, []
-        rows = _rows(docs, key, text)
+        self.rows = rows = _rows(docs, key, text)
         self.sets, self.sets_path = scratch.settle(_sets(rows, words), "sets")
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         total = self.sets.agg(F.sum("n")).first()[0] or 0
         self.pairs = self.keep(_led(_signed(rows, words, percent, sign_set, max(parts, total // (4 * SIGNATURES)))), "pairs")
         self.few = self.pairs.count() <= FEW
-        chosen = _chosen(self.sets, self.pairs, self.few)
-        self.points = self.keep(_points(_texts(rows, chosen if self.few else self.keep(chosen, "chosen"), self.few), words), "points")
+        self.points = self.keep(_points(self.sets, self.pairs, self.few), "points")
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         made, path = scratch.settle(df, name)
@@ -377,8 +373,8 @@ class _Work:
         return made
 
     def verified(self, pairs: DataFrame, few: bool) -> DataFrame:
-        texts = self.points.select("node", F.col("text").alias("data"))
-        return self.keep(_verified(pairs, texts, self.words, self.percent, few), "links")
+        """The links among ``pairs``; only texts of their classes are fetched."""
+        return self.keep(_verified(pairs, _texts(self.rows, self.points, pairs, few), self.words, self.percent, few), "links")
 
     def crossing(self, comps: DataFrame, first: bool, tried: DataFrame, tried_few: bool) -> tuple[DataFrame, int]:
         """The pairs to be verified that weren't ``tried``, and their number."""
@@ -388,7 +384,8 @@ class _Work:
 
     def led(self) -> DataFrame:
         """The leaders' links."""
-        return self.verified(self.keep(_searched(self.pairs, self.points.select("node", "data"), self.percent, self.few), "near"), self.few)
+        near = self.keep(_searched(self.pairs, self.points.select("node", "data"), self.percent, self.few), "near")
+        return self.verified(near, self.few or near.count() <= FEW)
 
     def components(self, links: DataFrame, before: DataFrame | None = None) -> tuple[DataFrame, str]:
         """(node, component) of the links and those that gave ``before``, of which only the components are joined."""

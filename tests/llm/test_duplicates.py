@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -241,6 +242,38 @@ def test_few_pairs_join_as_many(spark, monkeypatch, few):
     assert jaccard_join.join(df, 5, 80).count() == 122
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_texts_of_unlike_classes_are_not_stored(spark, monkeypatch, tmp_path, few):
+    monkeypatch.setattr(jaccard_join, "FEW", few)
+    written, settle = [], scratch.settle
+
+    def measured(df, name):
+        made, path = settle(df, name)
+        written.append(sum(f.stat().st_size for f in Path(path.removeprefix("file:")).rglob("*.parquet")))
+        return made, path
+
+    rng = random.Random(6)
+    texts = [" ".join(f"{rng.getrandbits(48):012x}" for _ in range(1000)) for _ in range(40)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2).write.parquet(f"{tmp_path}/docs")
+    monkeypatch.setattr(scratch, "settle", measured)
+    one_block = lambda tokens, percent: np.array([7], np.uint64)
+    rows = jaccard_join.join(spark.read.parquet(f"{tmp_path}/docs"), 5, 80, sign_set=one_block).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {i: i for i in range(40)}
+    assert 0 < sum(written) < sum(map(len, texts)) / 4
+
+
+def test_repeated_rows_without_doc_id_send_one_text(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FEW", 0)
+    rng = random.Random(7)
+    text = [rng.choice(WORDS) for _ in range(100)]
+    near = [" ".join([*text[:99], f"x{i}"]) for i in range(3)]
+    df = spark.createDataFrame([(None, near[0])] * 50 + [(5, near[1]), (4, near[2])], "doc_id long, text string")
+    sent, verified = [], jaccard_join._verified
+    monkeypatch.setattr(jaccard_join, "_verified", lambda pairs, texts, *rest: sent.append(texts.count()) or verified(pairs, texts, *rest))
+    assert {r["component_id"] for r in jaccard_join.join(df, 5, 80).collect()} == {4}
+    assert sent == [3]
+
+
 def test_fingerprints_of_edited_texts(spark):
     rng = random.Random(5)
     rows = [(rng.randrange(10**6), " ".join(rng.choice(WORDS) for _ in range(rng.choice((0, 1, 4, 30, 200))))) for _ in range(80)]
