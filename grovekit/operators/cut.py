@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -103,5 +104,5 @@ def clustered_thresholds(scores: DataFrame, n: int) -> DataFrame:
     """
     x, w = _cells(scores)
     starts = best_runs(x, w, min(n, len(x))) if len(x) and n > 0 else []
-    means = [float(np.average(x[a:b], weights=w[a:b])) for a, b in zip(starts, [*starts[1:], len(x)], strict=True)]
+    means = [float(np.average(x[a:b], weights=w[a:b])) for a, b in itertools.pairwise([*starts, len(x)])]
     return scores.sparkSession.createDataFrame([(m,) for m in means], "threshold double")
