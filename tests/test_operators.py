@@ -375,3 +375,37 @@ def test_development_thresholds_come_from_the_trees(spark):
     assert max(r["f1"] for r in told) > 0.9  # the thresholds are means of distances, so the very best cut need not be among them
     sizes = spark.createDataFrame([("a", "1")] * 4 + [("b", "1")] * 2 + [("b", "-1")] * 2 + [("c", None)] * 9, "block string, gold string")
     assert [tuple(r) for r in train.dev_blocks(sizes, "block", "gold", 9, 5).collect()] == [("a", 4, 4), ("b", 4, 2)]
+
+
+@pytest.mark.parametrize("options", [{}, {"linkage": "average", "max_leaves": 30}, {"linkage": "centroid", "similarity": "l2", "centroid": "none"}])
+def test_nearest_leaves_are_exact_though_few_are_compared_in_full(options):
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(300, 12))
+    points[200:] = points[:100]  # ties
+    full = []
+
+    class Watched(online.Tree):
+        def _link(self, a, others):
+            full.append(len(others))
+            return super()._link(a, others)
+
+        def nearest(self, node, k, barred=frozenset()):
+            leaves = np.array(sorted(x for x in range(len(self.parent)) if self.live[x] and self.kids[x] is None and x != node and x not in barred))
+            before = self.stats["comparisons"]
+            full.clear()
+            found = super().nearest(node, k, barred)
+            seen = sum(full)
+            if len(leaves):
+                link = np.round(self._link(node, leaves), 12)
+                assert np.allclose(self._link(node, np.array(found)), np.sort(link)[::-1][:k])
+                assert len(found) == min(k, len(leaves)) and self.stats["comparisons"] == before + len(leaves)
+                assert seen <= max(20, 4 * k)
+            return found
+
+    tree = Watched(online.ClusterConfig(**options))
+    tree.fill(list(points))
+    assert sorted(p for x in tree.leaves(tree.root) for p in tree.members[x]) == list(range(300))
+    for x in range(len(tree.parent)):  # statistics are what lies below
+        if tree.live[x]:
+            below = [p for y in tree.leaves(x) for p in tree.members[y]]
+            assert tree.n[x] == len(below) and np.allclose(tree.sums[x], points[below].sum(0)) and np.allclose(tree.length[x], (points[below].sum(0) ** 2).sum())
