@@ -295,3 +295,14 @@ def test_thresholds_are_the_best_runs(spark, monkeypatch):
     assert [r[0] for r in cut.clustered_thresholds(scores, 3).collect()] == pytest.approx(whole, abs=0.1)
     assert cut.clustered_thresholds(scores.where("false"), 3).count() == 0
     assert cut.clustered_thresholds(spark.createDataFrame([(2.0,), (2.0,)], "score double"), 3).collect()[0][0] == 2.0
+
+
+def test_guesses_at_sizes_stay_numbers_of_a_few_digits(spark):
+    from grovekit.plans.session import checkpointed
+
+    now = checkpointed(spark.range(8))
+    for _ in range(6):  # eightfold the digits in each round before
+        side = lambda i: now.select("id", F.col("id").alias(f"x{i}"))  # noqa: B023, E731
+        now = checkpointed(side(0).join(side(1), "id").join(side(2), "id").join(side(3), "id").select("id"))
+    assert now.count() == 8
+    assert len(str(now._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 25
