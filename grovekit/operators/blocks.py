@@ -94,3 +94,12 @@ def meet(left: Packed, right: Packed, begin: Callable[[pa.Table], object], schem
     spread = left.blocks.repartition(left.n)
     others = right.blocks.select(F.col("data").alias("other")).repartition(groups)
     return spread.crossJoin(others.hint("shuffle_replicate_nl")).mapInPandas(run, schema)
+
+
+def gathered(df: DataFrame, most: int) -> pa.Table | None:
+    """The whole table in the driver, if it is at most ``most`` bytes, else None; it is written first, so that a large one never gets there."""
+    made = packed(df, 1 << 16)
+    if made.size > most:
+        return None
+    parts = [_read(bytes(r["data"])) for r in made.blocks.select("data").toLocalIterator()]
+    return pa.concat_tables(parts) if parts else None

@@ -306,3 +306,22 @@ def test_guesses_at_sizes_stay_numbers_of_a_few_digits(spark):
         now = checkpointed(side(0).join(side(1), "id").join(side(2), "id").join(side(3), "id").select("id"))
     assert now.count() == 8
     assert len(str(now._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 25
+
+
+def test_points_in_every_task_give_what_joins_give(spark, monkeypatch):
+    from grovekit.plans.session import checkpointed
+
+    rng = np.random.default_rng(12)
+    p = checkpointed(spark.createDataFrame([(3 * i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 5)))], "id long, vec array<float>"))
+    o = graph.SearchOptions(max_rounds=2, k=5, width=6, opened=4, max_degree=5, starts=2)
+    told = lambda df: sorted(tuple(r) for r in df.collect())
+    found = []
+    for most in (graph.MOST_HELD, 0):
+        monkeypatch.setattr(graph, "MOST_HELD", most)
+        links = checkpointed(graph.descend(p, o))
+        thin = checkpointed(graph.navigable(links, p, 5))
+        near = graph.beam(p, p, thin, 4, o).select("query", "neighbour", "score", "rank")
+        found.append((told(links), told(thin), told(near)))
+        # a step of joins is a job; with the points in every task the walk is part of the plan
+        assert ("MapInPandas" in near._jdf.queryExecution().toString()) == (most > 0)
+    assert found[0] == found[1]
