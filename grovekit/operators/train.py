@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from grovekit.functions.features import FeatureSpec, FeatureWeights
 from grovekit.functions import vectors as V
 from grovekit.operators import cut, evaluate, hac
+from grovekit.plans.session import checkpointed
 
 
 def sample_triplets(points: DataFrame, per_cluster: int, seed: int = 1) -> DataFrame:
@@ -102,19 +103,21 @@ def dev_blocks(points: DataFrame, block: str, gold: str, below: int = 5000, most
 
 def dev_evaluation(points: DataFrame, block: str, thresholds: int = 10) -> DataFrame:
     """``best_threshold`` over thresholds taken from the trees: the centres of all merges' distances in ``thresholds`` clusters."""
-    merges = hac.within_blocks(points, block).select(F.col("distance").alias("score"))
+    merges = checkpointed(hac.within_blocks(points, block))
     if not merges.limit(1).count():
-        return best_threshold(points, block, [0.0])
-    found = cut.clustered_thresholds(merges, thresholds).collect()  # so many numbers
-    return best_threshold(points, block, sorted({r["threshold"] for r in found}))
+        return best_threshold(points, block, [0.0], merges)
+    found = cut.clustered_thresholds(merges.select(F.col("distance").alias("score")), thresholds).collect()  # so many numbers
+    return best_threshold(points, block, sorted({r["threshold"] for r in found}), merges)
 
 
-def best_threshold(points: DataFrame, block: str, thresholds: list[float]) -> DataFrame:
+def best_threshold(points: DataFrame, block: str, thresholds: list[float], merges: DataFrame | None = None) -> DataFrame:
     """(threshold, precision, recall, f1, best): pairwise scores of cutting each block's average-linkage tree at each distance.
 
     ``points(block, id, vec, gold)``; rows with gold null or '-1' aren't scored.
+    The trees are made once, or are the given ``merges`` (``hac.within_blocks``).
     """
-    merges = hac.within_blocks(points, block)
+    if merges is None:
+        merges = checkpointed(hac.within_blocks(points, block))
     spark = points.sparkSession
     order = points.select(F.col(block).alias("block"), "id", "gold", (F.row_number().over(W.partitionBy(block).orderBy("id")) - 1).cast("long").alias("leaf"))
     sizes = order.groupBy("block").agg(F.count("*").alias("n_leaves"))
@@ -134,8 +137,6 @@ def best_threshold(points: DataFrame, block: str, thresholds: list[float]) -> Da
 
 def _climb(edges: DataFrame, leaves: DataFrame, cuts: DataFrame) -> DataFrame:
     """(block, leaf, threshold, cluster) by pointer doubling over the edges that each threshold allows."""
-    from grovekit.plans.session import checkpointed
-
     allowed = edges.crossJoin(cuts).where("distance <= threshold").select("threshold", "block", F.col("child").alias("node"), "parent")
     now = leaves.select("block", "leaf").crossJoin(cuts).select("threshold", "block", "leaf", F.col("leaf").alias("at"))
     jump = allowed

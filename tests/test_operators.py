@@ -409,3 +409,23 @@ def test_nearest_leaves_are_exact_though_few_are_compared_in_full(options):
         if tree.live[x]:
             below = [p for y in tree.leaves(x) for p in tree.members[y]]
             assert tree.n[x] == len(below) and np.allclose(tree.sums[x], points[below].sum(0)) and np.allclose(tree.length[x], (points[below].sum(0) ** 2).sum())
+
+
+def test_development_trees_are_made_once(spark, monkeypatch):
+    v, gold = _separable(groups=3, each=5)
+    df = _points(spark, v, gold).withColumn("gold", F.col("label")).withColumn("block", F.lit(0))
+    made, within = spark.sparkContext.accumulator(0), hac.chain
+
+    def chain(vectors):
+        made.add(1)
+        return within(vectors)
+
+    monkeypatch.setattr(hac, "chain", chain)
+    want = hac.within_blocks(df, "block").select("distance")
+    top = max(r["distance"] for r in want.collect())
+    before = made.value
+    told = train.best_threshold(df, "block", [0.001, top / 2, top]).collect()
+    assert made.value == before + 1 and [r["f1"] for r in told if r["best"]] == [1.0]
+    before = made.value
+    assert sum(r["best"] for r in train.dev_evaluation(df, "block", 4).collect()) == 1
+    assert made.value == before + 1
